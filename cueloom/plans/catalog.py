@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
-from . import cue_queries, evidence_queries  # noqa: F401
+from . import cue_queries, evidence_queries, script_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
