@@ -112,19 +112,23 @@ class Parser:
         self.tables = [self._table([t for lang, t in sample if lang == one]) for one in self.languages]
 
     def _table(self, texts: list[str]) -> np.ndarray:
-        """Flat look-up: at state*alphabet + symbol stands next_state*alphabet << 1 | (a phrase ended)."""
+        """Flat look-up: at state*alphabet + symbol stands next_state*alphabet << 2 | phrases counted (0 to 2).
+
+        A symbol that can't continue the open phrase ends it and opens the next; one that the sample
+        lacks altogether is a phrase by itself.
+        """
         got, _ = self.symbols(texts)
-        # what the sample does not hold, and the end of a text, must end a phrase
         step = suffix_automaton(got, self.alphabet)
         step[:, [UNKNOWN, PAD]] = -1
-        from_root = np.maximum(step[0], 0)
-        ended = step < 0
-        nxt = np.where(ended, from_root[None, :], step).astype(np.int64)
-        ended[0] = False  # at the root no phrase is open
-        ended[0, UNKNOWN] = True  # an unknown letter is a phrase by itself
-        nxt[:, PAD] = 0
-        ended[1:, PAD] = True
-        return ((nxt * self.alphabet) << 1 | ended).astype(np.int32 if nxt.max() * self.alphabet < 1 << 30 else np.int64).ravel()
+        miss = step < 0
+        nxt = np.where(miss, np.maximum(step[0], 0)[None, :], step).astype(np.int64)
+        phrases = miss.astype(np.int64)
+        phrases[0] = 0  # at the root no phrase is open
+        alone = step[0] < 0
+        alone[PAD] = False
+        phrases += miss & alone[None, :]
+        kind = np.int32 if int(nxt.max()) * self.alphabet < 1 << 28 else np.int64
+        return ((nxt * self.alphabet) << 2 | phrases).astype(kind).ravel()
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts in one array, runs of separators as one, and the texts' lengths in it."""
@@ -161,8 +165,8 @@ class Parser:
                 for t in range(int(size[0])):
                     m = int(active[t])
                     got = table[state[:m] + padded[at[:m] + t]]
-                    ended[:m] += got & 1
-                    state[:m] = got >> 1
+                    ended[:m] += got & 3
+                    state[:m] = got >> 2
                 ended += state > 0
                 counts[:, k] = np.bincount(lane_owner, ended, len(texts)).astype(np.int64)
         is_letter = np.concatenate([[0], np.cumsum(symbols != SEPARATOR)])
