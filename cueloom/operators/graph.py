@@ -4,19 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only a local session without one gets its own."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        where = held.get() if held.isDefined() else None
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(where)
+    return where.rstrip("/")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder of spark.checkpoint.dir; only a local session without one gets its own."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            where = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(where)
+    """Cut lineage in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

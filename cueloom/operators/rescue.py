@@ -105,7 +105,7 @@ def credible_hits(v3: DataFrame, templates: tuple[str, ...] = TEMPLATES) -> Data
     return joined.withColumn("suppressed", quiet & (F.coalesce("t", F.lit(False)) | F.coalesce("r", F.lit(False)))).drop("t", "r", "norm")
 
 
-def plan_targets(v3: DataFrame, durations: DataFrame, *, pad_ms: int = 750, window_ms: int = 8_000, max_windows: int = 24, max_total_ms: int = 120_000, ratio: float = 0.35) -> tuple[DataFrame, DataFrame]:
+def plan_targets(v3: DataFrame, durations: DataFrame, *, pad_ms: int = 750, window_ms: int = 8_000, max_windows: int = 24, max_total_ms: int = 120_000, ratio: float = 0.35, near_full: float = 0.9) -> tuple[DataFrame, DataFrame]:
     """(windows, guard): narrow windows around credible hits; a recording over its limits gets none (L4, E5)."""
     hits = credible_hits(v3).filter("not suppressed")
     spans = _padded(hits, durations, pad_ms, "credible_v3_candidate").filter(F.col(END) > F.col(START))
@@ -121,7 +121,7 @@ def plan_targets(v3: DataFrame, durations: DataFrame, *, pad_ms: int = 750, wind
     guard = guard.withColumn("reasons", F.array_compact(F.array(
         F.when(F.col("windows") > max_windows, F.lit("window_count_limit")),
         F.when(F.col("inference_ms") > F.col("allowed_ms"), F.lit("coverage_duration_limit")),
-        F.when(F.col("unique_ms") / F.col("duration_ms") >= 0.9, F.lit("near_full_audio_coverage")),
+        F.when(F.col("unique_ms") / F.col("duration_ms") >= near_full, F.lit("near_full_audio_coverage")),
     )))
     fine = guard.filter(F.size("reasons") == 0).select("audio_id")
     return assign_ids(tiles.join(fine, "audio_id", "left_semi"), "T", "audio_id", [START, END], "window_id"), guard

@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
-from . import cue_queries, evidence_queries, manifest_queries, review_queries, script_queries  # noqa: F401
+from . import cue_queries, evidence_queries, manifest_queries, more_queries, review_queries, script_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

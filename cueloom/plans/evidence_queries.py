@@ -267,11 +267,11 @@ def _(s, d):
     return iv.spread_sample(cand(s, d), 7, "audio_id", ["start_ms", "end_ms", "event_id"]).select("audio_id", "event_id")
 
 
-@query("e3_distant_repeats", f"""n AS (SELECT *, {NORM.format('text')} AS norm FROM fx_candidate WHERE event_id % 4 = 0)
+@query("e3_distant_repeats", f"""n AS (SELECT *, {NORM.format('text')} AS norm FROM fx_candidate)
 SELECT audio_id, norm, count(*) AS n, max(start_ms) - min(start_ms) AS spread_ms FROM n WHERE norm <> '' GROUP BY audio_id, norm
-HAVING count(*) >= 2 AND max(start_ms) - min(start_ms) >= 20000 AND count(no_speech_prob) = count(*) AND min(no_speech_prob) >= 0.3""", C)
+HAVING count(*) >= 2 AND max(start_ms) - min(start_ms) >= 20000 AND count(no_speech_prob) = count(*) AND min(no_speech_prob) >= 0.05""", C)
 def _(s, d):
-    return rs.distant_repeats(cand(s, d).filter("event_id % 4 = 0"), no_speech=0.3)
+    return rs.distant_repeats(cand(s, d), no_speech=0.05)
 
 
 CREDIBLE = f"""n AS (SELECT *, {NORM.format('text')} AS norm FROM fx_candidate WHERE model_role = 'v3'),
@@ -305,12 +305,11 @@ def _(s, d):
     return narrow(s, d)[1].select("audio_id", "windows", "inference_ms", "unique_ms", F.array_join("reasons", ",").alias("reasons"))
 
 
-LOOSE = PLAN.replace("FROM fx_candidate WHERE model_role = 'v3'", "FROM fx_candidate WHERE model_role = 'v3' AND event_id % 10 = 0")
-
-
-@query("l4_narrow_plan", LOOSE + " SELECT audio_id, printf('T%06d', row_number() OVER (PARTITION BY audio_id ORDER BY s, e)) AS window_id, CAST(s AS BIGINT) AS start_ms, CAST(e AS BIGINT) AS end_ms FROM tiles WHERE audio_id IN (SELECT audio_id FROM guarded WHERE reasons = '')", CD)
+@query("l4_narrow_plan", PLAN + " SELECT audio_id, printf('T%06d', row_number() OVER (PARTITION BY audio_id ORDER BY s, e)) AS window_id, CAST(s AS BIGINT) AS start_ms, CAST(e AS BIGINT) AS end_ms FROM tiles", CD)
 def _(s, d):
-    return rs.plan_targets(cand(s, d).filter("model_role = 'v3' AND event_id % 10 = 0"), fx(s, d, "fx_duration"))[0].select("audio_id", "window_id", "start_ms", "end_ms")
+    """With limits wide enough for dense speech."""
+    c = cand(s, d).filter("model_role = 'v3'")
+    return rs.plan_targets(c, fx(s, d, "fx_duration"), max_windows=10**6, max_total_ms=10**9, ratio=10.0, near_full=2.0)[0].select("audio_id", "window_id", "start_ms", "end_ms")
 
 
 def wins(s, d):
@@ -343,7 +342,7 @@ def _(s, d):
     return rs.plan_rescue(cand(s, d), labels(s, d), wins(s, d), fx(s, d, "fx_duration")).select("audio_id", "window_id", "start_ms", "end_ms", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("g3_budget", """w AS (SELECT audio_id, event_id, start_ms AS s, start_ms + 7000 AS e, event_id % 4 AS prio FROM fx_candidate WHERE event_id % 9 = 0),
+@query("g3_budget", """w AS (SELECT audio_id, event_id, start_ms AS s, start_ms + 7000 AS e, event_id % 4 AS prio FROM fx_candidate),
 g AS (SELECT *, row_number() OVER (PARTITION BY audio_id, prio ORDER BY s, e) - 1 AS pos, count(*) OVER (PARTITION BY audio_id, prio) AS n FROM w),
 k AS (SELECT g.*, kk.k FROM g JOIN range(1, 25) kk(k) ON kk.k <= g.n WHERE kk.k = g.n OR (kk.k = 1 AND pos = floor(n / 2)) OR (kk.k > 1 AND list_contains([CAST(round_even(i * (n - 1) / (kk.k - 1), 0) AS BIGINT) for i in range(kk.k)], pos))),
 cost AS (SELECT audio_id, prio, k, sum(e - s) AS cost, count(*) AS size FROM k GROUP BY audio_id, prio, k),
@@ -354,7 +353,7 @@ st(audio_id, lvl, room, slots, k) AS (
 SELECT k.audio_id, k.s AS start_ms, k.e AS end_ms FROM k JOIN st ON st.audio_id = k.audio_id AND st.lvl = k.prio AND st.k = k.k""", CD)
 def _(s, d):
     names = F.element_at(F.array(F.lit("quarantined_candidate_region"), F.lit("main_channel_gap"), F.lit("uncertain_candidate"), F.lit("abnormally_long_segment")), (F.col("event_id") % 4 + 1).cast("int"))
-    w = cand(s, d).filter("event_id % 9 = 0").select("audio_id", "start_ms", (F.col("start_ms") + 7000).alias("end_ms"), F.array(names).alias("reasons"))
+    w = cand(s, d).select("audio_id", "start_ms", (F.col("start_ms") + 7000).alias("end_ms"), F.array(names).alias("reasons"))
     return rs.apply_budget(w, fx(s, d, "fx_duration")).select("audio_id", "start_ms", "end_ms")
 
 

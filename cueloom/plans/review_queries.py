@@ -25,13 +25,13 @@ def _(s, d):
     return tl.pick_anchor(c, ["audio_id", "grp"]).select("audio_id", "grp", "event_id", "rank")
 
 
-@query("i4_fragments", WORDS + """, sl AS (SELECT event_id, start_ms + 100 AS a, CAST(floor((start_ms + end_ms) / 2) AS BIGINT) + 1 AS b, start_ms, end_ms, text, legacy_srt FROM fx_candidate WHERE event_id % 3 = 0),
+@query("i4_fragments", WORDS + """, sl AS (SELECT event_id, start_ms + 100 AS a, CAST(floor((start_ms + end_ms) / 2) AS BIGINT) + 1 AS b, start_ms, end_ms, text, legacy_srt FROM fx_candidate),
 fr AS (SELECT sl.event_id, string_agg(t, '' ORDER BY s, wt.rowid_) AS fragment, min(s) AS evidence_start, max(e) AS evidence_end FROM sl JOIN (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY s, e) AS rowid_ FROM wt) wt USING (event_id) WHERE s + e >= 2 * a AND s + e < 2 * b GROUP BY sl.event_id)
 SELECT event_id, trim(fragment) AS fragment, evidence_start, evidence_end FROM fr UNION ALL
 SELECT event_id, text, start_ms, end_ms FROM sl WHERE legacy_srt AND start_ms + end_ms >= 2 * a AND start_ms + end_ms < 2 * b""", C)
 def _(s, d):
-    c = tl.with_words(cand(s, d)).filter("event_id % 3 = 0").withColumn("k", F.col("event_id"))
-    sl = cand(s, d).filter("event_id % 3 = 0").select(F.col("event_id").alias("k"), (F.col("start_ms") + 100).alias("start_ms"), (F.floor((F.col("start_ms") + F.col("end_ms")) / 2) + 1).alias("end_ms"))
+    c = tl.with_words(cand(s, d)).withColumn("k", F.col("event_id"))
+    sl = cand(s, d).select(F.col("event_id").alias("k"), (F.col("start_ms") + 100).alias("start_ms"), (F.floor((F.col("start_ms") + F.col("end_ms")) / 2) + 1).alias("end_ms"))
     return tl.fragments(c, sl, ["k"]).select("event_id", "fragment", "evidence_start", "evidence_end")
 
 
