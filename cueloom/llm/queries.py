@@ -68,16 +68,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": linededup.ORACLE, "op6_exact_topk": TOPK}
+    return {"op1_secret_scan": secrets.ORACLE, "op3_line_dedup": linededup.ORACLE, "op6_exact_topk": TOPK}
 
 
 TOPK = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-         coalesce(list_sum(list_transform(list_zip(q.v, c.v), z -> coalesce(z[1] * z[2], 0))), 0)::BIGINT AS score
+         coalesce(list_sum([coalesce(z[1] * z[2], 0) for z in list_zip(q.v, c.v)]), 0)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored

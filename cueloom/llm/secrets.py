@@ -15,6 +15,8 @@ repeated rows too. Columns of the names added are replaced; others pass through
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import materialize
@@ -29,9 +31,11 @@ MIN_SECRET = 6
 #: Weak candidates: kind, order behind the base kinds, role, pattern.
 WEAK = (
     ("account", 3, "access", r"""(?i:access_?key_?id|client_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}"""),
-    ("opaque", 4, "secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}"),
+    ("opaque", 4, "secret", r"[A-Za-z0-9+/_-]{20,}"),
     ("endpoint", 5, "endpoint", r"""(?:https?|ftp|postgres(?:ql)?|mysql|redis|amqp|mongodb)://[^\s"'<>]+"""),
 )
+#: An opaque string counts only with a digit, a capital and a small letter.
+MIXED = ("opaque", ("[0-9]", "[A-Z]", "[a-z]"))
 WINDOW = 256
 
 SPAN = "array<struct<start:int,ord:int,end:int,kind:string,role:string>>"
@@ -42,7 +46,11 @@ def _spans(text: Column, pattern: str, kind: str, order: int, role: str, group:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     size = F.regexp_extract_all(text, F.lit(pattern), F.lit(group[0])) if group else found
-    parts = F.transform(F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("b"), found.alias("m"), size.alias("g")), lambda x: F.struct(F.length(x["b"]).alias("b"), F.length(x["m"]).alias("m"), F.length(x["g"]).alias("g")))
+    mixed = lambda m: reduce(lambda a, b: a & b, [m.rlike(c) for c in MIXED[1]]) if kind == MIXED[0] else F.lit(True)
+    parts = F.transform(
+        F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("b"), found.alias("m"), size.alias("g")),
+        lambda x: F.struct(F.length(x["b"]).alias("b"), F.length(x["m"]).alias("m"), F.when(mixed(x["m"]), F.length(x["g"])).otherwise(-1).alias("g")),
+    )
     none = F.array().cast("array<struct<start:int,end:int,g:int>>")
     placed = F.aggregate(
         parts,
@@ -53,8 +61,8 @@ def _spans(text: Column, pattern: str, kind: str, order: int, role: str, group:
         ),
         lambda a: a["out"],
     )
-    if group:
-        placed = F.filter(placed, lambda x: x["g"] >= group[1])
+    if group or kind == MIXED[0]:
+        placed = F.filter(placed, lambda x: x["g"] >= (group[1] if group else 0))
     spans = F.transform(placed, lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("ord"), x["end"].alias("end"), F.lit(kind).alias("kind"), F.lit(role).alias("role")))
     return F.when(F.coalesce(text, F.lit("")).rlike(pattern), spans).otherwise(F.array()).cast(SPAN)
 
@@ -120,3 +128,34 @@ def redact(docs: DataFrame, *, mark: str = "[SECRET]", window: int = WINDOW) ->
     )
     text = F.when(F.size("_spans") > 0, F.array_join(cut, mark)).otherwise(F.col("text"))
     return found.join(linked, "_rid", "left").withColumn("_spans", spans).withColumn("text", text).select(*cols)
+
+
+def _oracle_kind(kind: str, order: int, role: str, pattern: str, group: tuple[int, int] | None) -> str:
+    quoted = pattern.replace("'", "''")
+    size = f"regexp_extract_all(text, '{quoted}', {group[0] if group else 0})"
+    test = f"length(g[i]) >= {group[1]}" if group else " AND ".join(f"regexp_matches(m[i], '{c}')" for c in MIXED[1]) if kind == MIXED[0] else "TRUE"
+    return f"""SELECT doc_id, '{kind}' AS kind, {order} AS ord, '{role}' AS role,
+  (coalesce(list_sum([length(x) for x in b[1:i]]), 0) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0))::BIGINT AS s,
+  (coalesce(list_sum([length(x) for x in b[1:i]]), 0) + coalesce(list_sum([length(x) for x in m[1:i]]), 0))::BIGINT AS e
+FROM (SELECT doc_id, m, b, g, unnest(range(1, len(m) + 1)) AS i FROM (
+  SELECT doc_id, regexp_extract_all(text, '{quoted}') AS m, string_split_regex(text, '{quoted}') AS b, {size} AS g FROM documents WHERE text IS NOT NULL)) WHERE {test}"""
+
+
+#: The same in DuckDB SQL, for the query's columns.
+ORACLE = (
+    "WITH spans AS (\n"
+    + "\nUNION ALL ".join(
+        [_oracle_kind("assign", 0, "secret", ASSIGN, (2, MIN_SECRET)), _oracle_kind("access", 1, "access", ACCESS, None), _oracle_kind("hex", 2, "secret", HEX, None)]
+        + [_oracle_kind(kind, order, role, pattern, None) for kind, order, role, pattern in WEAK]
+    )
+    + f"""),
+alone AS (SELECT * FROM spans a WHERE ord > 2 AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.doc_id = a.doc_id AND b.ord <= 2 AND b.s < a.e AND a.s < b.e)),
+met AS (SELECT a.*, bool_or(b.role = 'access') AS has_access, bool_or(b.role = 'secret') AS has_secret FROM alone a JOIN spans b
+  ON a.doc_id = b.doc_id AND a.role <> b.role AND b.role <> 'endpoint' AND b.s <= a.e + {WINDOW} AND a.s <= b.e + {WINDOW} GROUP BY ALL),
+shown AS (SELECT doc_id, kind, ord, s, e FROM spans WHERE ord <= 2 UNION ALL
+  SELECT doc_id, kind, ord, s, e FROM met WHERE CASE role WHEN 'access' THEN has_secret WHEN 'secret' THEN has_access ELSE has_access AND has_secret END)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord, e) FILTER (ord <= 2), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord, e), '') AS spans
+FROM documents d LEFT JOIN shown USING (doc_id) GROUP BY d.doc_id"""
+)
