@@ -157,7 +157,7 @@ def _(s, d):
     return table(s, d, "benchmark").select("item_id", tx.norm_align(F.col("text")).alias("norm"))
 
 
-@query("j3_norm_alnum", "SELECT item_id, lower(regexp_replace(text, '[^a-zA-Z0-9]', '', 'g')) AS norm FROM benchmark")
+@query("j3_norm_alnum", "SELECT item_id, lower(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS norm FROM benchmark")
 def _(s, d):
     return table(s, d, "benchmark").select("item_id", tx.norm_alnum(F.col("text")).alias("norm"))
 
@@ -178,7 +178,7 @@ def _(s, d):
 
 
 DICE = """CASE WHEN length({a}) < 2 OR length({b}) < 2 THEN CAST({a} = {b} AS DOUBLE) ELSE
-2 * list_sum([least(len(list_filter({ga}, y -> y = x)), len(list_filter({gb}, y -> y = x))) for x in list_distinct({ga})]) / (len({ga}) + len({gb})) END"""
+2 * list_sum([least(len([y for y in {ga} if y = x]), len([y for y in {gb} if y = x])) for x in list_distinct({ga})]) / (len({ga}) + len({gb})) END"""
 GRAMS = "[substr({0}, i, 2) for i in range(1, length({0}))]"
 
 

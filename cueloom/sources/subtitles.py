@@ -100,8 +100,9 @@ def extract_srt(text: Column) -> Column:
     closed = F.regexp_extract(text, r"(?s)```[a-z]*\n(.*?)```", 1)
     opened = F.regexp_extract(text, r"(?s)```[a-z]*\n(.*)$", 1)
     bare = F.regexp_extract(text, r"(?s)((?:^|(?<=\n))[^\n]*\n" + ARROW + r"\s*-->.*)$", 1)
-    use = lambda c: F.when(c.contains("-->"), F.trim(c))
-    return F.coalesce(use(closed), use(opened), F.when(bare != "", F.trim(bare)), F.trim(text))
+    trim = lambda c: F.btrim(c, F.lit(" \t\r\n"))
+    use = lambda c: F.when(c.contains("-->"), trim(c))
+    return F.coalesce(use(closed), use(opened), F.when(bare != "", trim(bare)), trim(text))
 
 
 def reindex(cues: DataFrame, by: str = "audio_id", order: tuple[str, ...] = ("start_ms", "end_ms", "cue_index")) -> DataFrame:
