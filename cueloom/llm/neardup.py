@@ -5,11 +5,14 @@
    signature), and BANDS band keys of BAND_ROWS minima each.
 2. Documents of equal sets (exact copies and the like) are one class, represented by its smallest
    doc_id; only representatives go on, so groups of copies are never paired.
-3. In every band bucket each member meets the bucket's smallest member only. The signature's equal
-   lanes, counted bit-parallel and corrected for chance collisions, estimate the similarity; pairs
-   clearly under the threshold go, the others are confirmed on their full sets.
+3. In every band bucket each member meets the bucket's centre only: the member that shares its
+   buckets with most others. The signature's equal lanes, counted bit-parallel and corrected for
+   chance collisions, estimate the similarity; pairs clearly under the threshold go, the others are
+   confirmed on their full texts.
 4. Confirmed links join components. Buckets that still hold members of different components are
-   searched again, for pairs across components only, so no link that the bands show is lost.
+   searched again, for pairs across components only. A semi join keeps the members whose estimate
+   comes near another component's member; a join of these compares the full sets in its condition,
+   so it gives links and no candidates, and no link the bands show is lost.
 
 The bands miss a pair of similarity s with probability (1 - s^BAND_ROWS)^BANDS: 2e-6 at 0.75. The
 estimate is MARGIN below the threshold, over four standard deviations.
@@ -34,7 +37,7 @@ WIDTH = 5
 THRESHOLD = 75  # per cent
 MINIMA, BANDS, BAND_ROWS, BITS = 256, 48, 5, 2
 MARGIN = 0.12
-WORD_MEMORY = 400_000
+WORD_MEMORY = 150_000
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -185,6 +188,21 @@ def confirm(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> Da
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def shingle_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep, shingles (the full set of shingle hashes) of the representatives named."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Sketcher()
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                b = whole.slice(start, 512)
+                sets = [make.shingles(t.as_py() or "").view(np.int64) for t in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps, "rep", "left_semi")
+    return texts.mapInArrow(run, "rep long, shingles array<long>")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """v, c: every node of edges(a, b) and the smallest node it reaches.
 
@@ -219,31 +237,38 @@ def duplicates(docs: DataFrame, *, threshold: int = THRESHOLD) -> DataFrame:
     signed = reps.select("rep", "n", "sig")
 
     banded = reps.select("rep", F.explode("bands").alias("key"))
-    centres = banded.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("other")).filter("centre <> other").select("key", "centre")
-    buckets = materialize(banded.join(centres, "key"), "buckets")
-
-    def with_signatures(pairs: DataFrame) -> DataFrame:
-        named = lambda x: signed.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-        return pairs.join(named("a"), "a").join(named("b"), "b").filter(_close(threshold)).select("a", "b").distinct()
-
-    stars = buckets.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    tried = materialize(with_signatures(stars), "tried")
+    shared = banded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
+    sized = materialize(banded.join(shared.select("key", "size"), "key"), "sized")
+    fame = sized.groupBy("rep").agg(F.sum("size").alias("fame"))
+    buckets = materialize(sized.join(fame, "rep").select("key", "rep", "fame"), "buckets")
+    centres = buckets.groupBy("key").agg(F.max(F.struct("fame", -F.col("rep"))).alias("top")).select("key", (-F.col("top")["col2"]).alias("centre"))
+
+    named = lambda x: signed.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+    stars = buckets.join(centres, "key").filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
+    tried = stars.join(named("a"), "a").join(named("b"), "b").filter(_close(threshold)).select("a", "b")
     links = materialize(confirm(tried, docs, threshold), "links")
     labels = components(links)
 
     owned = buckets.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("c"))
     mixed = owned.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
     open_ = materialize(owned.join(mixed, "key", "left_semi").join(signed, "rep"), "open")
-    side = lambda x: open_.select("key", F.col("rep").alias(x), F.col("c").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    across = side("a").join(side("b"), "key").filter((F.col("c_a") > F.col("c_b")) & _close(threshold)).select("a", "b").distinct()
-    more = across.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    more = materialize(confirm(materialize(more, "across"), docs, threshold), "links2")
+    other = open_.select(F.col("key").alias("k"), F.col("c").alias("c_b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
+    mine = open_.withColumnsRenamed({"n": "n_a", "sig": "sig_a"})
+    close = materialize(mine.join(other, (F.col("key") == F.col("k")) & (F.col("c") != F.col("c_b")) & _close(threshold), "left_semi").withColumnsRenamed({"n_a": "n", "sig_a": "sig"}), "close")
+    sets = materialize(shingle_sets(docs, close.select("rep").distinct()), "sets")
+    full_rows = close.join(sets, "rep")
+    side = lambda x: full_rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "c", "n", "sig", "shingles")])
+    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    near = 100 * both >= threshold * (F.col("n_a") + F.col("n_b") - both)
+    left, right = side("a"), side("b")
+    across = left.join(right, (left["key"] == right["key"]) & (F.col("c_a") > F.col("c_b")) & _close(threshold) & near)
+    more = materialize(across.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), "links2")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
-    named = classes.join(labels, classes["rep"] == labels["v"], "left").select("d1", "d2", F.coalesce("c", "rep").alias("component"))
+    component = classes.join(labels, classes["rep"] == labels["v"], "left").select("d1", "d2", F.coalesce("c", "rep").alias("component"))
     return (
-        sketch.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
+        sketch.select("doc_id", "n_shingles", "d1", "d2").join(component, ["d1", "d2"], "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
         .withColumn("kept", F.col("doc_id") == F.col("component_id"))
     )
