@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import TEMPLATES, norm_text, texts_support
-from .graph import connected_components
+from .graph import checkpoint, connected_components
 from .intervals import END, START, interval_pairs
 
 Support = Callable[[Column, Column], Column]
@@ -134,7 +134,7 @@ def components(c: DataFrame, gap_ms: int = 800) -> DataFrame:
 
 def align_candidates(c: DataFrame, gap_ms: int = 800, max_ms: int = 15_000) -> DataFrame:
     """Windows with members: audio_id, component, start_ms, end_ms, split, event_id, model_role (L1)."""
-    members = components(c, gap_ms)
+    members = checkpoint(components(c, gap_ms))
     return window_members(slice_components(members, max_ms), members)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import TEMPLATES, norm_text
+from .graph import checkpoint
 from .evidence import is_suspicious, match_templates, with_labels
 from .intervals import END, START, assign_ids, coverage_gaps, dedup_overlapping, merge_intervals, tile
 
@@ -62,6 +63,7 @@ def apply_budget(windows: DataFrame, durations: DataFrame, *, window_ms: int = 1
         F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.bround(i * (F.col("n") - 1) / (F.col("k") - 1), 0).cast("int"))
     )
     taken = rows.withColumn("k", k).filter((F.col("k") == F.col("n")) | F.array_contains(place, F.col("pos")))
+    taken = checkpoint(taken)  # each level reads it, and what the levels before left
     cost = taken.groupBy("audio_id", "prio", "k").agg(F.sum(F.col(END) - F.col(START)).alias("cost"), F.count(F.lit(1)).alias("size"))
     allowed = F.least(F.lit(max_total_ms).cast("double"), F.greatest(F.least(F.col("duration_ms"), F.lit(window_ms)).cast("double"), F.col("duration_ms") * ratio))
     left = durations.select("audio_id", allowed.alias("room"), F.lit(max_windows).cast("long").alias("slots"))
@@ -69,6 +71,7 @@ def apply_budget(windows: DataFrame, durations: DataFrame, *, window_ms: int = 1
     for level in sorted({*PRIORITY.values(), 99}):
         fit = cost.filter(F.col("prio") == level).join(left, "audio_id").filter((F.col("cost") <= F.col("room")) & (F.col("size") <= F.col("slots")) & (F.col("room") > 0))
         best = fit.groupBy("audio_id").agg(F.max_by(F.struct("k", "cost", "size"), "k").alias("b")).select("audio_id", F.lit(level).alias("prio"), F.col("b.k").alias("k"), F.col("b.cost").alias("cost"), F.col("b.size").alias("size"))
+        best = checkpoint(best)
         left = left.join(best.select("audio_id", "cost", "size"), "audio_id", "left").select(
             "audio_id", (F.col("room") - F.coalesce("cost", F.lit(0))).alias("room"), (F.col("slots") - F.coalesce("size", F.lit(0))).alias("slots")
         )

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import SUPPORT_RATIO, norm_text
+from .graph import checkpoint
 from .intervals import END, START, assign_ids, with_islands
 
 
@@ -180,8 +181,9 @@ def build_timeline(c: DataFrame, decisions: DataFrame, support: Callable[[str, s
     from .evidence import with_labels
 
     labelled = with_labels(c, decisions).filter((F.col("label") != "hallucination") & (F.col(END) > F.col(START)))
-    worded = with_words(labelled)
-    return partition_overlaps(build_items(worded, group_candidates(worded, support), max_ms), max_ms)
+    worded = checkpoint(with_words(labelled))
+    groups = checkpoint(group_candidates(worded, support))
+    return partition_overlaps(checkpoint(build_items(worded, groups, max_ms)), max_ms)
 
 
 def check_timeline(t: DataFrame, max_ms: int = 15_000) -> DataFrame:
