@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import TEMPLATES, norm_text, texts_support
 from .graph import checkpoint, connected_components
-from .intervals import END, START, interval_pairs
+from .intervals import END, START, interval_pairs, with_islands
 
 Support = Callable[[Column, Column], Column]
 CREDIBLE = 0.6
@@ -126,10 +126,42 @@ def window_members(slices: DataFrame, members: DataFrame, key: str = "event_id")
 
 
 def components(c: DataFrame, gap_ms: int = 800) -> DataFrame:
-    """Candidates with their component: linked only through rows of another role (L1)."""
+    """Candidates with their component: linked only through rows of another role (L1).
+
+    A component never leaves its island, so islands are joined up one by one, each in one pass over
+    its rows in time order. component_table() does the same from pairs for islands of any size.
+    """
+    slim = with_islands(c, "audio_id", gap_ms).select("audio_id", "island", "event_id", "model_role", START, END)
+
+    def join_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values([START, END, "event_id"])
+        up = {e: e for e in rows["event_id"]}
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        live: list[tuple[int, str, int]] = []
+        for e, role, start, end in zip(rows["event_id"], rows["model_role"], rows[START], rows[END]):
+            live = [x for x in live if start <= x[2] + gap_ms]
+            for other, other_role, _ in live:
+                if other_role != role:
+                    a, b = top(e), top(other)
+                    up[max(a, b)] = min(a, b)
+            live.append((e, role, end))
+        return pd.DataFrame({"event_id": list(up), "component": [top(e) for e in up]})
+
+    found = slim.groupBy("audio_id", "island").applyInPandas(join_up, "event_id long, component long")
+    return c.join(found, "event_id")
+
+
+def component_table(c: DataFrame, gap_ms: int = 800) -> DataFrame:
+    """event_id, component by rounds over the pairs: for islands too large for one task."""
     edges = interval_pairs(c, gap_ms=gap_ms).select(F.col("event_id_a").alias("a"), F.col("event_id_b").alias("b")).filter("a < b")
     labels = connected_components(edges).select(F.col("v").alias("event_id"), F.col("c").alias("component"))
-    return c.join(labels, "event_id", "left").withColumn("component", F.coalesce("component", "event_id"))
+    return c.select("event_id").join(labels, "event_id", "left").withColumn("component", F.coalesce("component", "event_id"))
 
 
 def align_candidates(c: DataFrame, gap_ms: int = 800, max_ms: int = 15_000) -> DataFrame:

@@ -204,6 +204,11 @@ def _(s, d):
     return ev.components(cand(s, d)).select("event_id", "component")
 
 
+@query("l1_components_by_rounds", COMPONENTS.strip() + " SELECT event_id, component FROM comp", C)
+def _(s, d):
+    return ev.component_table(cand(s, d))
+
+
 SLICES = COMPONENTS + """,
 mem AS (SELECT c.*, component FROM fx_candidate c JOIN comp USING (event_id)),
 bounds AS (SELECT audio_id, component, min(start_ms) AS s, max(end_ms) AS e FROM mem GROUP BY audio_id, component),
