@@ -31,7 +31,7 @@ MAX_TEXT_CHARS = 4_000
 #: Letters told apart; others count as one unknown letter.
 MAX_LETTERS = 250
 LANE = 512
-CHUNK_CHARS = 1 << 22
+CHUNK_CHARS = 1 << 20
 
 SEPARATOR, UNKNOWN, PAD, FIRST = 0, 1, 2, 3
 
@@ -120,15 +120,18 @@ class Parser:
         got, _ = self.symbols(texts)
         step = suffix_automaton(got, self.alphabet)
         step[:, [UNKNOWN, PAD]] = -1
+        root = step[0].copy()
         miss = step < 0
-        nxt = np.where(miss, np.maximum(step[0], 0)[None, :], step).astype(np.int64)
-        phrases = miss.astype(np.int64)
-        phrases[0] = 0  # at the root no phrase is open
-        alone = step[0] < 0
+        np.copyto(step, np.maximum(root, 0)[None, :], where=miss)
+        alone = root < 0
         alone[PAD] = False
-        phrases += miss & alone[None, :]
-        kind = np.int32 if int(nxt.max()) * self.alphabet < 1 << 28 else np.int64
-        return ((nxt * self.alphabet) << 2 | phrases).astype(kind).ravel()
+        if len(step) * self.alphabet >= 1 << 29:
+            step = step.astype(np.int64)
+        step *= self.alphabet
+        step <<= 2
+        step[1:] += miss[1:]  # at the root no phrase is open
+        step += miss & alone[None, :]
+        return step.ravel()
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts in one array, runs of separators as one, and the texts' lengths in it."""
@@ -243,8 +246,8 @@ def keep_identified(docs: DataFrame, *, reject_rate: float = REJECT_RATE) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = parser(sample).judge
         for b in batches:
-            for start in range(0, b.num_rows, 1024):
-                part = b.slice(start, 1024)
+            for start in range(0, b.num_rows, 256):
+                part = b.slice(start, 256)
                 langs, _, rates = judge([t or "" for t in part.column(at).to_pylist()])
                 stays = pa.array([x != "und" and r <= reject_rate for x, r in zip(langs, rates)], pa.bool_())
                 held = list(part.columns)
