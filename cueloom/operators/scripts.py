@@ -10,6 +10,8 @@ from ..functions.text import keyword, track_id
 LINE_ENDS = r"(?<=\r\n)|(?<=\r)(?!\n)|(?<=[\n\x0b\x0c\x1c\x1d\x1e\x85  ])"
 #: Titles that begin a segment of a merged script.
 TITLES = r"(?m)(Track\s*\d+|第\s*\d+\s*[話章]|^【[^】]+】|^\d+[\.、]\s|^■\s*.+?$)"
+#: Characters of a keyword by which scripts are looked up.
+GRAM = 8
 
 
 def line_catalog(scripts: DataFrame, by: str = "script_id", text: str = "text") -> DataFrame:
@@ -68,22 +70,39 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
+def grams(text: Column, chars: Column, lengths: list[int]) -> Column:
+    """Distinct substrings of the lengths given; chars are the text's characters. Length 0 gives the empty string."""
+    of = lambda n: F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(*[F.array(F.lit("")) if n == 0 else F.when(F.length(text) >= n, of(n)).otherwise(none) for n in lengths]))
+
+
 def match_keyword(audio: DataFrame, scripts: DataFrame) -> DataFrame:
     """The first script in name order whose content holds the recording's title words.
 
-    Whoever holds the keyword holds its first inner word as a whole word, or, for keywords of one or
-    two words, a word that holds it; keywords are looked up by the rarest of their inner words. A
-    keyword without an inner word is tested by a join that is broadcast when the audio side is small.
+    Whoever holds the keyword holds its inner words as whole words, so it is looked up by the longest
+    of them. A keyword without one is looked up by its first GRAM characters: up to that length the
+    look-up is the answer, and each text's first script is known before the join. Other candidates
+    get the content once per pair. All joins are equi joins.
     """
     a = audio.select("asset_key", keyword(F.col("audio_base")).alias("kw"))
     parts = F.split(F.lower("kw"), r"[^\p{L}\p{N}]+")
     inner = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: w != "")
     keyed = a.withColumn("word", F.when(F.size(inner) > 0, F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]))
-    s = scripts.select("script_base", "content")
-    by_word = keyed.filter("word IS NOT NULL").join(s.withColumn("word", F.explode(words(F.col("content")))), "word").filter(F.col("content").contains(F.col("kw")))
-    plain = keyed.filter("word IS NULL").join(s, F.col("content").contains(F.col("kw")))
-    both = by_word.select("asset_key", "script_base").unionByName(plain.select("asset_key", "script_base"))
-    return both.groupBy("asset_key").agg(F.min("script_base").alias("script_base"))
+    s = scripts.select("script_base", "content").filter("content IS NOT NULL")
+    by_word = keyed.filter("word IS NOT NULL").join(s.select("script_base", F.explode(words(F.col("content"))).alias("word")), "word").select("asset_key", "kw", "script_base")
+
+    plain = keyed.filter("word IS NULL AND kw IS NOT NULL").select("asset_key", "kw", F.left("kw", F.lit(GRAM)).alias("gram"))
+    lengths = sorted(r[0] for r in plain.select(F.length("gram")).distinct().collect())  # GRAM + 1 values at most
+    if not lengths:
+        found = by_word
+        short = None
+    else:
+        held = s.withColumn("chars", F.split("content", "", -1)).select("script_base", F.explode(grams(F.col("content"), F.col("chars"), lengths)).alias("gram"))
+        short = plain.filter(F.col("kw") == F.col("gram")).join(held.groupBy("gram").agg(F.min("script_base").alias("script_base")), "gram").select("asset_key", "script_base")
+        found = by_word.unionByName(plain.filter(F.col("kw") != F.col("gram")).join(held, "gram").select("asset_key", "kw", "script_base"))
+    both = found.join(s, "script_base").filter(F.col("content").contains(F.col("kw"))).select("asset_key", "script_base")
+    return (both if short is None else both.unionByName(short)).groupBy("asset_key").agg(F.min("script_base").alias("script_base"))
 
 
 def build_mapping(audio: DataFrame, scripts: DataFrame, external: DataFrame | None = None, *, fallback_full: bool = True) -> DataFrame:

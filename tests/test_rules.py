@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cueloom.functions import text as tx, timecode as tc
-from cueloom.operators import evidence as ev, intervals as iv, long_cues as lc, review as rv, script_alignment as sa, timeline as tl
+from cueloom.operators import evidence as ev, intervals as iv, long_cues as lc, review as rv, script_alignment as sa, scripts as sc, timeline as tl
 from cueloom.sources import evidence as sv, subtitles as st
 
 CAND = "audio_id long, event_id long, model_role string, source_channel string, run_key string, start_ms long, end_ms long, text string, avg_logprob double, no_speech_prob double, legacy_srt boolean"
@@ -172,3 +172,18 @@ def test_normal_forms(spark):
     assert one(spark, tx.ratio()(F.lit("abcd"), F.lit("bcde"))) == 0.75
     with pytest.raises(Exception, match="bad run identity"):
         one(spark, tx.run_key(F.lit("side"), F.lit("v3"), F.lit("raw")))
+
+
+def test_keyword_match_against_brute_force(spark):
+    names = ["track01_moon", "02 a long evening walk", "lavender misty", "雨の夜", "03_é😀b", "", None, "x", "track4-evenings and", "Moon light", "nothing here at all"]
+    texts = ["", None, "the moon over a long evening walk", "a lavender misty field", "今日は雨の夜です", "it said é😀b and x", "some evenings and Moon lights", "é😀", "lavender mist", "x", "a long  evening walk"]
+    audio = spark.createDataFrame([(f"a{i}", n) for i, n in enumerate(names)] * 2, "asset_key string, audio_base string")
+    scripts = spark.createDataFrame([(f"s{(i * 7) % 10}", t) for i, t in enumerate(texts)], "script_base string, content string")
+    found = sc.match_keyword(audio, scripts)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    kws = audio.select("asset_key", tx.keyword(F.col("audio_base")).alias("kw")).distinct().collect()
+    held = scripts.filter("content IS NOT NULL").collect()
+    want = {r["asset_key"]: min(m) for r in kws if r["kw"] is not None and (m := [x["script_base"] for x in held if r["kw"] in x["content"]])}
+    assert len(want) > 6
+    assert {r["asset_key"]: r["script_base"] for r in found.collect()} == want
+    assert sc.match_keyword(audio.limit(0), scripts).count() == 0 and sc.match_keyword(audio, scripts.limit(0)).count() == 0
