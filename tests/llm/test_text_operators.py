@@ -126,6 +126,14 @@ def test_safe_pieces_encode_like_the_whole(text):
         assert [i for p in parts for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
 
 
+def test_packing_deals_one_doc_id_over_all_shards(spark):
+    same = spark.range(0, 4000, numPartitions=3).select(F.lit(7).alias("doc_id"), F.lit(0).alias("piece"))
+    sizes = [r["count"] for r in packing.deal(same, 10, 0).groupBy("shard").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 520
+    one = same.select("doc_id", "piece", F.lit(0).alias("start"), F.lit(700).alias("length"), F.lit(1).alias("ids_crc32"))
+    assert packing.pack(one, shard_pieces=500).select("sequence_id").distinct().count() <= 2010  # two to a sequence; 2000 at best
+
+
 def test_packing_pieces_and_sequences(docs, texts):
     from tokenizers import Tokenizer
 
