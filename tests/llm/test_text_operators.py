@@ -202,6 +202,29 @@ def test_cross_parse_counts_greedy_phrases():
     assert counts[1].tolist() == [0, 0] and counts[2].tolist() == [1, 2]
 
 
+def test_languages_have_their_own_letters(spark):
+    """Two languages in a script of 2,000 letters each with a shared half, 70 more languages, and short texts."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for lang, first in (("x1", 0x4E00), ("x2", 0x4E00 + 1000)):
+        words = ["".join(chr(first + int(k)) for k in rng.integers(0, 2000, 2)) for _ in range(900)]
+        rows += [(lang, "".join(rng.choice(words, 120))) for _ in range(40)]
+    rows += [(f"l{k}", "".join(chr(97 + k % 23 + int(j)) for j in rng.integers(0, 4, 60))) for k in range(70) for _ in range(4)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    sample = langid.training_sample(docs)
+    assert len({lang for lang, _ in sample}) == 72
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify_held_out(docs).filter("held_out").collect()}
+    assert all(got[i] == lang for i, (lang, _) in enumerate(rows) if i in got and lang in ("x1", "x2"))
+    more = docs.unionByName(spark.createDataFrame([(9000, rows[0][1][:1], None), (9001, rows[41][1][3:6], None)], docs.schema))
+    assert langid.keep_identified(more).count() == len(rows) + 2
+
+
+def test_sparse_and_dense_tables_agree():
+    sample = (("a", "abcabcabd xyz abd"), ("b", "zzz yyy xxx"))
+    texts = ["abcabd xyzz qabq", "", "ab", "q", "zzzyyx abd"]
+    assert (langid.Parser(sample).phrases(texts)[0] == langid.Parser(sample, 0).phrases(texts)[0]).all()
+
+
 def test_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = langid.identify_held_out(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id")
