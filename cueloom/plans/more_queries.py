@@ -11,7 +11,7 @@ from .cue_queries import CUE, cue
 from .evidence_queries import C, cand
 from .fixtures import fx, table
 from .registry import query
-from .script_queries import batched, replies, sides as script_sides
+from .script_queries import batched, replies, whole_sides
 
 
 def long_cues(s, d) -> DataFrame:
@@ -83,7 +83,7 @@ def _(s, d):
 
 
 def aligned(s, d) -> DataFrame:
-    u, i = script_sides(s, d)
+    u, i = whole_sides(s, d)
     return sa.align_scripts(u, i)
 
 

@@ -293,8 +293,18 @@ ii AS (SELECT audio_id, norm, min(pos) AS item_pos FROM i WHERE length(norm) >=
 pr AS (SELECT *, item_pos > lag(item_pos) OVER (PARTITION BY audio_id ORDER BY unit_pos) AS up FROM uu JOIN ii USING (audio_id, norm))"""
 
 
+def whole_sides(s, d):
+    """Turns as units and two of three as items, with their whole texts."""
+    return _sides(table(s, d, "conversations"), F.col("text"))
+
+
 def sides(s, d):
-    u = table(s, d, "conversations").select(F.col("conv_id").alias("audio_id"), F.col("turn").alias("pos"), F.lower(F.substring("text", 1, 30)).alias("norm"))
+    """The same by the beginnings of texts, as SIDES has them."""
+    return _sides(table(s, d, "conversations"), F.substring("text", 1, 30))
+
+
+def _sides(turns, text):
+    u = turns.select(F.col("conv_id").alias("audio_id"), F.col("turn").alias("pos"), F.lower(text).alias("norm"))
     return u, u.filter("pos % 3 <> 2").withColumn("pos", F.when(F.col("audio_id") % 4 == 0, 100 - F.col("pos")).otherwise(F.col("pos")))
 
 
