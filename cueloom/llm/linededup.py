@@ -103,7 +103,8 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int =
         if cut is not None:
             batch = batch.filter(F.col("doc_id") >= cut)
         if upper is not None:
-            batch = batch.filter(F.col("doc_id") < upper)
+            below = F.col("doc_id") < upper
+            batch = batch.filter(below if cut is not None else below | F.col("doc_id").isNull())  # nulls in the last
         runs.ingest(batch)
         upper = cut
     gone = (

@@ -101,6 +101,15 @@ def test_line_dedup(docs, texts):
     assert hot
 
 
+def test_line_dedup_counts_rows_without_doc_id(spark):
+    line = "a line of well over twenty characters"
+    rows = [(k, f"{k} is a line of its own, once only") for k in range(6)] + [(2, line), (4, line), (None, line)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for batches in (1, 3):
+        out = linededup.dedup_lines(docs, batches=batches).filter(F.col("text") == line).collect()
+        assert {r["doc_id"]: r["n_dropped"] for r in out} == {2: 1, 4: 0, None: 0}, batches
+
+
 def test_bpe_round_trip(docs, texts):
     import tiktoken
 
