@@ -3,23 +3,28 @@
 1. Every whole text becomes the set of its distinct WIDTH-word shingles (64-bit hashes), a 128-bit
    digest of that set, MINIMA minimum hashes, their low BITS bits packed into words (the
    signature), and BANDS band keys of BAND_ROWS minima each.
-2. Documents of equal sets (exact copies and the like) are one class, represented by its smallest
-   doc_id; only representatives go on, so groups of copies are never paired.
-3. In every band bucket each member meets the bucket's centre only: the member that shares its
-   buckets with most others. The signatures' unequal lanes, counted bit-parallel, show pairs clearly
-   under the threshold, which go; the others are confirmed on their full texts.
-4. Confirmed links join components. Buckets that still hold members of different components are
-   searched again, for pairs across components only. A semi join keeps the members whose signature
-   comes near another component's member; a join of these compares the full sets in its condition,
-   so it gives links and no candidates.
+2. Rows of equal sets (exact copies and the like) are one class, a node; groups of copies are never
+   paired.
+3. Nodes that share a band bucket with another whose signature may belong to a pair over the
+   threshold (unequal lanes, counted bit-parallel) stay. Only their texts are fetched, once, by id,
+   as full shingle sets; no set ever stands beside a band key.
+4. Rounds: in every bucket that holds nodes of different components, each member meets a few centres
+   of other components (the members that share buckets with most others). Every pair is taken once,
+   tested by signature and then on both full sets; links join components. The last round takes all
+   pairs across components that no round has tested. From the second round on pairs are tested before
+   by parity too: each set's shingles are counted by hash in PARITY bits, modulo 2. Two sets differ in
+   at least as many shingles as bits, so this test never loses a pair; it spares the groups of texts
+   that are alike, but not enough, a row for each of their pairs.
 
 A pair of similarity s is missed by the bands with probability (1 - s^BAND_ROWS)^BANDS, 2.3e-6 at
 0.75, and by the signatures, whose lanes differ with probability (1 - s)(1 - 2^-BITS) each, with at
 most FILTER_MISS: 2.6e-7 at 0.75 (81 lanes may differ). Both together: 2.5e-6 at 0.75, 8.5e-7 at 0.76.
 
 Defined results: a null text, and one without words, has an empty set, is linked with nothing and
-is kept. With fewer than WIDTH words the whole sequence is one shingle. Rows that repeat a doc_id
-are one node: they share a component, linked through any of their texts. Other columns are ignored.
+is kept. With fewer than WIDTH words the whole sequence is one shingle. Every row is a document of
+its own: rows that repeat a doc_id with different texts may be in different components, equal rows
+are in the same one and all kept or all not. A null doc_id is no candidate for a component's smallest
+id; a component of such rows alone has a null id and keeps them. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +35,9 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..operators.graph import connected_components
 from .common import materialize
 
 WIDTH = 5
@@ -39,6 +45,12 @@ THRESHOLD = 75  # per cent
 MINIMA, BANDS, BAND_ROWS, BITS = 256, 48, 5, 2
 FILTER_MISS = 5e-7
 WORD_MEMORY = 150_000
+#: Centres of a bucket in each round but the last, which takes all pairs left.
+CENTRES = (1, 8)
+#: Ways in which the pairs of one centre are dealt out.
+SALT = 64
+#: Bits of a set's parities.
+PARITY = 1024
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -114,8 +126,19 @@ class Sketcher:
         return key.view(np.int64)
 
 
+def _text_hash() -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64("text")
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles fall on each of PARITY places, modulo 2, 64 places to a word."""
+    odd = np.bincount((shingles & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (digest of the set), sig array<long>, bands array<long>."""
+    """doc_id, th (hash of the text), n_shingles, d1, d2 (digest of the set), sig array<long>, bands array<long>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -125,7 +148,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             for start in range(0, whole.num_rows, 2048):
                 b = whole.slice(start, 2048)
                 n, d1, d2, sig, bands = [], [], [], [], []
-                for text in b.column(1):
+                for text in b.column(2):
                     s = make.shingles(text.as_py() or "")
                     n.append(len(s))
                     digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), ">i8")
@@ -135,21 +158,25 @@ def sketches(docs: DataFrame) -> DataFrame:
                     bands.append(make.bands(m) if m is not None else None)
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, longs), pa.array(bands, longs)],
-                    names=["doc_id", "n_shingles", "d1", "d2", "sig", "bands"],
+                    [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, longs), pa.array(bands, longs)],
+                    names=["doc_id", "th", "n_shingles", "d1", "d2", "sig", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, d1 long, d2 long, sig array<long>, bands array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("th"), "text").mapInArrow(
+        run, "doc_id long, th long, n_shingles long, d1 long, d2 long, sig array<long>, bands array<long>"
     )
 
 
-def unequal_lanes(a: Column, b: Column) -> Column:
-    """How many lanes of two signatures differ."""
+SIGNATURE = [f"s{k}" for k in range(MINIMA * BITS // 64)]
+ODD = [f"o{k}" for k in range(PARITY // 64)]
+
+
+def unequal_lanes(a: list[Column], b: list[Column]) -> Column:
+    """How many lanes of two signatures (their words) differ."""
     unequal = F.lit(0)
     low = F.lit(sum(1 << k for k in range(0, 64, BITS)))
-    for k in range(MINIMA * BITS // 64):
-        x = a[k].bitwiseXOR(b[k])
+    for p, q in zip(a, b):
+        x = p.bitwiseXOR(q)
         x = reduce(lambda acc, s: acc.bitwiseOR(F.shiftrightunsigned(x, s)), range(1, BITS), x)
         unequal = unequal + F.bit_count(x.bitwiseAND(low))
     return unequal
@@ -166,120 +193,138 @@ def lanes_allowed(threshold: int) -> int:
     return next(n for n in range(MINIMA + 1) if filter_miss(threshold / 100, n) <= FILTER_MISS)
 
 
+def _side(name: str, words: list[str]) -> list[Column]:
+    return [F.col(f"{name}.{w}") for w in words]
+
+
 def _close(threshold: int) -> Column:
-    """Pairs (sig_a, n_a, sig_b, n_b) worth confirming: sizes that allow the threshold, and signatures too."""
-    return (100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (unequal_lanes(F.col("sig_a"), F.col("sig_b")) <= lanes_allowed(threshold))
+    """Rows x and y (n, SIGNATURE) worth confirming: sizes that allow the threshold, and signatures too."""
+    alike = unequal_lanes(_side("x", SIGNATURE), _side("y", SIGNATURE)) <= lanes_allowed(threshold)
+    return (100 * F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")) & alike
 
 
-def exact_set(text: str) -> set[bytes]:
-    words = words_of(text)
-    if len(words) < WIDTH:
-        return {b" ".join(words)} if words else set()
-    return set(map(b" ".join, zip(*(words[k:] for k in range(WIDTH)))))
+def _may_reach(threshold: int) -> Column:
+    """Rows x and y (n, ODD) whose parities allow the threshold t: sets of J >= t differ in at most (n + n)(1 - t)/(1 + t) shingles."""
+    bits = sum((F.bit_count(p.bitwiseXOR(q)) for p, q in zip(_side("x", ODD), _side("y", ODD))), F.lit(0))
+    return (100 + threshold) * bits <= (100 - threshold) * (F.col("x.n") + F.col("y.n"))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold."""
+def set_classes(sketch: DataFrame) -> DataFrame:
+    """One row per distinct set: node, doc_id and th (of its row of smallest doc_id), d1, d2, n, sig, bands."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("r")
+    one = sketch.filter("n_shingles > 0").groupBy("d1", "d2").agg(first, F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    return one.select(F.monotonically_increasing_id().alias("node"), "r.doc_id", "r.th", "d1", "d2", "n", "sig", "bands")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, set()
-        for b in batches:
-            good = []
-            for key, ta, tb in zip(b.column(1).to_pylist(), b.column(2), b.column(3)):
-                if key != last:
-                    last, held = key, exact_set(tb.as_py() or "")
-                mine = exact_set(ta.as_py() or "")
-                both = len(mine & held)
-                good.append(bool(both) and 100 * both >= threshold * (len(mine) + len(held) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
-def shingle_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """rep, shingles (the full set of shingle hashes) of the representatives named."""
+
+def close_members(classes: DataFrame, threshold: int) -> DataFrame:
+    """key, node, fame, n and SIGNATURE of the nodes with a partner in the bucket that the signatures allow."""
+    banded = classes.select("node", F.explode("bands").alias("key"))
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    sized = materialize(banded.join(shared, "key"), "sized")
+    fame = sized.groupBy("node").agg(F.sum("size").alias("fame"))
+    rows = sized.select("key", "node").join(fame, "node").join(classes.select("node", "n", *[F.col("sig")[k].alias(w) for k, w in enumerate(SIGNATURE)]), "node")
+    rows = materialize(rows.select("key", "node", "fame", "n", *SIGNATURE), "buckets")
+    x, y = rows.alias("x"), rows.alias("y")
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & _close(threshold), "left_semi")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, shingles (the full set of shingle hashes) and odd (its parities) of the rows that wanted(node, doc_id, th) names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Sketcher()
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 b = whole.slice(start, 512)
-                sets = [make.shingles(t.as_py() or "").view(np.int64) for t in b.column(1)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "shingles"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps, "rep", "left_semi")
-    return texts.mapInArrow(run, "rep long, shingles array<long>")
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """v, c: every node of edges(a, b) and the smallest node it reaches.
-
-    Rounds of smallest label among the neighbours, then a jump to the label's label; each round is a
-    written table, and the labels' sum shows when they have settled.
-    """
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("c")), "labels0")
-    total = lambda t: t.agg(F.sum(F.col("c").cast("decimal(38,0)"))).first()[0]
-    before = total(labels)
-    for k in range(1, max_rounds):
-        if before is None:
-            return labels
-        near = both.join(labels, both["b"] == labels["v"]).select(F.col("a").alias("v"), "c")
-        least = near.unionByName(labels).groupBy("v").agg(F.min("c").alias("c"))
-        jump = labels.select(F.col("v").alias("c"), F.col("c").alias("j"))
-        labels = materialize(least.join(jump, "c", "left").select("v", F.least("c", "j").alias("c")), f"labels{k}")
-        now = total(labels)
-        if now == before:
-            return labels
-        before = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+                sets = [make.shingles(t.as_py() or "") for t in b.column(1)]
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array([x.view(np.int64) for x in sets], longs), pa.array(list(map(parities, sets)), longs)], names=["node", "shingles", "odd"]
+                )
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("th"), "text").alias("t")
+    named = texts.join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.th") == F.col("w.th")))
+    return named.select("node", "text").mapInArrow(run, "node long, shingles array<long>, odd array<long>")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets reach the threshold. b may stand in very many pairs."""
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SALT)).alias("salt"))
+    of_b = dealt.select("b", "salt").distinct().join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    of_a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    met = dealt.join(of_b, ["b", "salt"]).join(of_a, "a").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sizes"))
+    return met.filter(100 * F.col("both") >= threshold * (F.col("sizes") - F.col("both"))).select("a", "b").distinct()
+
+
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """v, c after further links between nodes: the components of components."""
+    if labels is None:
+        return connected_components(links)
+    name = lambda x: links.join(labels, links[x] == labels["v"], "left").select(*links.columns, F.coalesce("c", x).alias(f"c_{x}"))
+    ca = name("a")
+    both = ca.join(labels, ca["b"] == labels["v"], "left").select(F.col("c_a").alias("a"), F.coalesce("c", "b").alias("b"))
+    moved = connected_components(both).select(F.col("v").alias("old"), F.col("c").alias("new"))
+    known = labels.join(moved, labels["c"] == moved["old"], "left").select("v", F.coalesce("new", "c").alias("c"))
+    fresh = moved.join(labels, moved["old"] == labels["v"], "left_anti").select(F.col("old").alias("v"), F.col("new").alias("c"))
+    return materialize(known.unionByName(fresh), "labels")
+
+
+def linked(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame | None:
+    """v, c: the smallest node that every linked node reaches. members, a written table: as close_members gives them."""
+    labels = tried = None
+    for centres in (*CENTRES, None):
+        owned = members.withColumn("c", F.col("node"))
+        if labels is not None:
+            owned = members.join(labels, members["node"] == labels["v"], "left").select(*members.columns, F.coalesce("c", "node").alias("c"))
+            mixed = owned.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
+            owned = owned.join(mixed, "key", "left_semi").join(sets.select("node", *[F.col("odd")[k].alias(w) for k, w in enumerate(ODD)]), "node")
+        owned = materialize(owned, "open")
+        if owned.isEmpty():
+            break
+        near = _close(threshold) if labels is None else _close(threshold) & _may_reach(threshold)
+        x, y, apart = owned.alias("x"), owned.alias("y"), F.col("x.c") < F.col("y.c")
+        if centres:
+            order = Window.partitionBy("key").orderBy(F.desc("fame"), "node")
+            y = owned.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= centres).alias("y")
+            apart = F.col("x.c") != F.col("y.c")
+        met = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        if tried is not None:
+            met = met.join(tried, ["a", "b"], "left_anti")
+        met = materialize(met, "pairs")
+        links = materialize(confirm(met, sets, threshold), "links")
+        if not links.isEmpty():
+            labels = _joined(labels, links)
+        both = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tried = both if tried is None else tried.unionByName(both)
+    return labels
+
+
+def judged(docs: DataFrame, *, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, th (hash of the text), n_shingles, component_id, kept for every row of docs(doc_id, text)."""
+    sketch = materialize(sketches(docs), "sketches")
+    classes = materialize(set_classes(sketch), "classes")
+    members = materialize(close_members(classes, threshold), "members")
+    wanted = classes.select("node", "doc_id", "th").join(members.select("node").distinct(), "node")
+    labels = linked(members, materialize(shingle_sets(docs, wanted), "sets"), threshold)
+
+    component = classes.select("node", "d1", "d2", F.col("doc_id").alias("component_id"))
+    if labels is not None:
+        least = component.join(labels, component["node"] == labels["v"]).groupBy("c").agg(F.min("component_id").alias("least"))
+        named = labels.join(least, "c").select("v", "least")
+        component = component.join(named, component["node"] == named["v"], "left").select("d1", "d2", F.coalesce("least", "component_id").alias("component_id"))
+    out = sketch.select("doc_id", "th", "n_shingles", "d1", "d2").join(component.select("d1", "d2", "component_id"), ["d1", "d2"], "left")
+    return out.select(
+        "doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def duplicates(docs: DataFrame, *, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
-    sketch = materialize(sketches(docs), "sketches")
-    full = sketch.filter("n_shingles > 0")
-    classes = materialize(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = full.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
-    reps = materialize(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sig", "bands").dropDuplicates(["rep", "bands"]), "reps")
-    signed = reps.select("rep", "n", "sig")
-
-    banded = reps.select("rep", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
-    sized = materialize(banded.join(shared.select("key", "size"), "key"), "sized")
-    fame = sized.groupBy("rep").agg(F.sum("size").alias("fame"))
-    buckets = materialize(sized.join(fame, "rep").select("key", "rep", "fame"), "buckets")
-    centres = buckets.groupBy("key").agg(F.max(F.struct("fame", -F.col("rep"))).alias("top")).select("key", (-F.col("top")["col2"]).alias("centre"))
-
-    named = lambda x: signed.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    stars = buckets.join(centres, "key").filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    tried = stars.join(named("a"), "a").join(named("b"), "b").filter(_close(threshold)).select("a", "b")
-    links = materialize(confirm(tried, docs, threshold), "links")
-    labels = components(links)
-
-    owned = buckets.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("c"))
-    mixed = owned.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    open_ = materialize(owned.join(mixed, "key", "left_semi").join(signed, "rep"), "open")
-    other = open_.select(F.col("key").alias("k"), F.col("c").alias("c_b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
-    mine = open_.withColumnsRenamed({"n": "n_a", "sig": "sig_a"})
-    close = materialize(mine.join(other, (F.col("key") == F.col("k")) & (F.col("c") != F.col("c_b")) & _close(threshold), "left_semi").withColumnsRenamed({"n_a": "n", "sig_a": "sig"}), "close")
-    sets = materialize(shingle_sets(docs, close.select("rep").distinct()), "sets")
-    full_rows = close.join(sets, "rep")
-    side = lambda x: full_rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "c", "n", "sig", "shingles")])
-    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    near = 100 * both >= threshold * (F.col("n_a") + F.col("n_b") - both)
-    left, right = side("a"), side("b")
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("c_a") > F.col("c_b")) & _close(threshold) & near)
-    more = materialize(across.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), "links2")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
-
-    component = classes.join(labels, classes["rep"] == labels["v"], "left").select("d1", "d2", F.coalesce("c", "rep").alias("component"))
-    return (
-        sketch.select("doc_id", "n_shingles", "d1", "d2").join(component, ["d1", "d2"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    )
+    return judged(docs.select("doc_id", "text"), threshold=threshold).drop("th")
+
+
+def keep_one(docs: DataFrame, *, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of docs that are kept, with all their columns. Rows equal in doc_id and text stay together."""
+    gone = judged(docs.select("doc_id", "text"), threshold=threshold).filter("not kept").select("doc_id", "th").distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["th"]), "left_anti")
