@@ -1,11 +1,19 @@
-"""Best-fit packing of token sequences, improved by swap-based local search.
+"""Packing of token sequences by swap-based local search.
 
 Each document becomes its token ids and an end id; only documents longer than a sequence are cut,
 into full pieces and a remainder. Packing moves piece lengths, never texts.
 
+A shard starts from two cheap packings, in order of arrival and by falling length (each piece into the
+tightest open bin). From each, local search goes over the underfull bins, the fullest first: a bin takes
+a piece from another one, exchanges one for one, one for two or two for one, the step that fills it
+most, always so that the fuller bin gains, which raises the sum of squared fills, until no step helps
+and emptied bins are gone. The better of the two results stands.
+
 Distribution: pieces are dealt by a hash of their place in the (written) table into shards of bounded
-size, so rows that repeat one doc_id spread as all others do. Every shard is packed on its own, and the pieces of its underfull bins go to the next round, until what is left
-fits one shard. So no task and no driver holds more than a shard, whatever the input.
+size, so rows that repeat one doc_id spread as all others do. Every underfull bin of a shard is
+searched; then its full bins are placed, and of the others the emptiest, with at most one piece in
+PASS_ON of the shard's, go to the next round, whose shards are fewer by that factor, until one shard
+holds all that is left. No task and no driver holds more than a shard, whatever the input.
 
 Defined results: null and empty texts give one piece of length 1 (the end id). Rows that repeat a
 doc_id are packed each on their own and are not distinguished in the output. An empty table gives
@@ -18,7 +26,7 @@ import codecs
 import re
 import zlib
 from array import array
-from bisect import bisect_left, insort
+from bisect import insort
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,10 +42,8 @@ SEQUENCE = 2048
 SHARD_PIECES = 20_000
 #: Words kept in a worker's memory; a full memory is emptied.
 WORD_MEMORY = 500_000
-#: Rounds of local search over the underfull bins of a shard.
-SEARCH_ROUNDS = 12
-#: Underfull bins that one local search takes; the others go to the next round of shards as they are.
-SEARCH_BINS = 400
+#: A shard passes on one piece in so many, at most.
+PASS_ON = 8
 
 
 #: Words of these letters alone are single pieces already in normal form.
@@ -133,8 +139,8 @@ def pieces(docs: DataFrame, tokenizer_file: str, *, sequence: int = SEQUENCE, en
     )
 
 
-def best_fit(lengths: list[int], size: int) -> list[list[int]]:
-    """Best-fit decreasing: bins as lists of positions in lengths.
+def in_order(lengths: list[int], size: int) -> list[list[int]]:
+    """Each piece, as it comes, into the tightest open bin that holds it: bins as lists of positions in lengths.
 
     The room left in open bins is a bit set, so the tightest bin that fits is its lowest bit from
     the piece's length on.
@@ -142,8 +148,7 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     bins: list[list[int]] = []
     with_room: dict[int, list[int]] = defaultdict(list)
     rooms = 0
-    for i in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
-        n = lengths[i]
+    for i, n in enumerate(lengths):
         fits = rooms >> n
         if fits:
             room = n + (fits & -fits).bit_length() - 1
@@ -161,145 +166,223 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-class _Bin:
-    """A bin with its pieces in order of length."""
-
-    __slots__ = ("items", "fill")
-
-    def __init__(self, items: list[tuple[int, int]]):
-        self.items = sorted(items)
-        self.fill = sum(n for n, _ in items)
-
-    def swap(self, out: list[tuple[int, int]], into: list[tuple[int, int]]) -> None:
-        for x in out:
-            self.items.remove(x)
-            self.fill -= x[0]
-        for x in into:
-            insort(self.items, x)
-            self.fill += x[0]
-
+class _Underfull:
+    """Bins with room left, and their pieces by length: which lengths there are (as bits) and who holds them."""
+
+    def __init__(self, lengths: list[int], bins: list[list[int]], size: int):
+        self.lengths, self.size = lengths, size
+        self.bins = {b: sorted(members, key=lengths.__getitem__) for b, members in enumerate(bins)}
+        self.fill = {b: sum(map(lengths.__getitem__, members)) for b, members in self.bins.items()}
+        self.owner: dict[int, int] = {}
+        self.held: dict[int, set[int]] = defaultdict(set)
+        self.present = 0
+        self.full: dict[int, list[int]] = {}
+        for b in list(self.bins):
+            for i in self.bins[b]:
+                self._enter(i, b)
+            self._settle(b)
+
+    def _enter(self, i: int, b: int) -> None:
+        self.owner[i] = b
+        self.held[self.lengths[i]].add(i)
+        self.present |= 1 << self.lengths[i]
+
+    def _leave(self, i: int) -> None:
+        n = self.lengths[i]
+        self.held[n].discard(i)
+        if not self.held[n]:
+            self.present &= ~(1 << n)
+
+    def _settle(self, b: int) -> None:
+        """A full bin is done, an empty one gone."""
+        if self.fill[b] == self.size:
+            self.full[b] = self.bins[b]
+            for i in self.bins[b]:
+                self._leave(i)
+        if self.fill[b] in (0, self.size):
+            del self.bins[b], self.fill[b]
+
+    def exchange(self, b: int, out: list[int], other: int, into: list[int]) -> None:
+        """Pieces `out` of b go to the other bin, `into` come from there."""
+        for i in out:
+            self.bins[b].remove(i)
+        for i in into:
+            self.bins[other].remove(i)
+        for here, pieces in ((b, into), (other, out)):
+            for i in pieces:
+                insort(self.bins[here], i, key=self.lengths.__getitem__)
+                self.owner[i] = here
+        gain = sum(map(self.lengths.__getitem__, into)) - sum(map(self.lengths.__getitem__, out))
+        self.fill[b] += gain
+        self.fill[other] -= gain
+        self._settle(b), self._settle(other)
+
+    def _partner(self, b: int, most: int, least: int, more_than: int) -> tuple[int, int] | None:
+        """The longest piece of at most `most` and more than `more_than` tokens that another bin can give, from the emptiest bin.
+
+        b gains what the piece is longer than `least`, and must end up fuller than the giver.
+        """
+        lengths = self.present & ((1 << (most + 1)) - 1)
+        while lengths:
+            n = lengths.bit_length() - 1
+            if n <= more_than:
+                return None
+            i = min(self.held[n], key=lambda k: (self.owner[k] == b, self.fill[self.owner[k]], k))
+            if self.owner[i] != b and self.fill[b] + n - least > self.fill[self.owner[i]]:
+                return n, i
+            lengths ^= 1 << n
+        return None
+
+    def best_step(self, b: int, donor: int) -> tuple[int, list[int], int, list[int]] | None:
+        """gain, pieces that leave b, the other bin, pieces that come: a move, one for one, one for two, or two of the donor's for one."""
+        room = self.size - self.fill[b]
+        mine = self.bins[b]
+        best: tuple[int, list[int], int, list[int]] | None = None
+        gain = 0
+        for out in ([], *([i] for i in mine), *([i, k] for at, i in enumerate(mine) for k in mine[at + 1 :])):
+            least = sum(map(self.lengths.__getitem__, out))
+            got = self._partner(b, min(least + room, self.size), least, least + gain)
+            if got:
+                gain, best = got[0] - least, (got[0] - least, out, self.owner[got[1]], [got[1]])
+                if gain == room:
+                    return best
+        theirs = self.bins[donor] if donor != b else []
+        for i in mine:
+            n, lo, hi = self.lengths[i], 0, len(theirs) - 1
+            while lo < hi:
+                both = self.lengths[theirs[lo]] + self.lengths[theirs[hi]] - n
+                if both > room:
+                    hi -= 1
+                    continue
+                if both > gain and self.fill[b] + both > self.fill[donor]:
+                    gain, best = both, (both, [i], donor, [theirs[lo], theirs[hi]])
+                lo += 1
+        return best
+
+
+    def refine(self) -> bool:
+        """Underfull bins exchange pieces for two of the same length together from full bins; fills stay, pieces get smaller."""
+        pairs: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        wanted = {self.lengths[i] for members in self.bins.values() for i in members}
+        for b, members in self.full.items():
+            for at, i in enumerate(members):
+                for k in members[at + 1 :]:
+                    n = self.lengths[i] + self.lengths[k]
+                    if n in wanted:
+                        pairs[n].append((b, i, k))
+        touched: set[int] = set()
+        for b, members in self.bins.items():
+            for i in list(members):
+                options = pairs[self.lengths[i]]
+                while options and options[-1][0] in touched:
+                    options.pop()
+                if options:
+                    other, *two = options.pop()
+                    touched.add(other)
+                    self.full[other] = [k for k in self.full[other] if k not in two] + [i]
+                    members.remove(i)
+                    self._leave(i)
+                    for k in two:
+                        insort(members, k, key=self.lengths.__getitem__)
+                        self._enter(k, b)
+        return bool(touched)
+
+    def improve(self) -> None:
+        """Passes over all bins, the fullest first, as long as one changes anything."""
+        changed = True
+        while changed and len(self.bins) > 1:
+            changed = False
+            order = sorted(self.bins, key=lambda b: (-self.fill[b], b))
+            donors = order[:]
+            for b in order:
+                while b in self.bins:
+                    while donors[-1] not in self.bins:
+                        donors.pop()
+                    step = self.best_step(b, donors[-1])
+                    if step is None:
+                        break
+                    self.exchange(b, *step[1:])
+                    changed = True
+
+
+def local_search(lengths: list[int], bins: list[list[int]], size: int) -> list[list[int]]:
+    """Move and exchange pieces between underfull bins, each step raising the sum of squared fills, until none helps.
+
+    The fullest bins are filled first, from the emptiest that have a fitting piece. When no step is
+    left and the bins are more than the lower bound, pieces are exchanged for smaller ones from full
+    bins and the search goes on. That ends: between two steps that raise the sum, each exchange adds a
+    piece to the underfull bins.
+    """
+    least = -(-sum(lengths) // size)
+    state = _Underfull(lengths, bins, size)
+    state.improve()
+    while len(state.full) + len(state.bins) > least and state.refine():
+        state.improve()
+    return [*state.full.values(), *state.bins.values()]
 
-def _largest_at_most(items: list[tuple[int, int]], n: int) -> tuple[int, int] | None:
-    at = bisect_left(items, (n + 1, -1)) - 1
-    return items[at] if at >= 0 else None
 
+def falling(lengths: list[int], size: int) -> list[list[int]]:
+    """As in_order, the longest pieces first (best fit decreasing)."""
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    return [[order[k] for k in b] for b in in_order([lengths[i] for i in order], size)]
 
-def _improve(full: _Bin, donor: _Bin, size: int) -> bool:
-    """One step that fills `full` (the fuller bin) further from `donor`: a move, then one-for-one, then two-for-one.
 
-    Every step shifts tokens from the emptier to the fuller bin, which raises the sum of squared fills.
-    """
-    room = size - full.fill
-    if not room:
-        return False
-    x = _largest_at_most(donor.items, room)
-    if x:
-        donor.swap([x], [])
-        full.swap([], [x])
-        return True
-    best: tuple[int, list, list] | None = None
-    for mine in full.items:
-        x = _largest_at_most(donor.items, mine[0] + room)
-        if x and x[0] > mine[0] and (best is None or x[0] - mine[0] > best[0]):
-            best = (x[0] - mine[0], [mine], [x])
-    for mine in full.items:  # two of the donor's for one of ours
-        most = mine[0] + room
-        lo, hi = 0, len(donor.items) - 1
-        while lo < hi:
-            both = donor.items[lo][0] + donor.items[hi][0]
-            if both > most:
-                hi -= 1
-                continue
-            if both > mine[0] and (best is None or both - mine[0] > best[0]):
-                best = (both - mine[0], [mine], [donor.items[lo], donor.items[hi]])
-            lo += 1
-    for i, a in enumerate(full.items):  # one of the donor's for two of ours
-        for b in full.items[i + 1 :]:
-            x = _largest_at_most(donor.items, a[0] + b[0] + room)
-            if x and x[0] > a[0] + b[0] and (best is None or x[0] - a[0] - b[0] > best[0]):
-                best = (x[0] - a[0] - b[0], [a, b], [x])
-    if best is None:
-        return False
-    full.swap(best[1], best[2])
-    donor.swap(best[2], best[1])
-    return True
-
-
-def local_search(lengths: list[int], bins: list[list[int]], size: int, *, rounds: int = SEARCH_ROUNDS, max_bins: int = SEARCH_BINS) -> list[list[int]]:
-    """Exchange and move pieces between underfull bins until no step helps; empty bins go.
-
-    Stops early once the bins number the lower bound ceil(sum / size).
-    """
-    least = -(-sum(lengths) // size)
-    if len(bins) <= least:
-        return bins
-    state = [_Bin([(lengths[i], i) for i in b]) for b in bins]
-    state.sort(key=lambda b: b.fill)
-    work, done = state[:max_bins], state[max_bins:]
-    done += [b for b in work if b.fill == size]
-    work = [b for b in work if b.fill < size]
-    for _ in range(rounds):
-        moved = False
-        work.sort(key=lambda b: b.fill)
-        for donor in list(work):
-            for full in reversed(work):
-                if full is donor or not donor.items or full.fill < donor.fill:
-                    continue
-                while donor.items and donor.fill <= full.fill and _improve(full, donor, size):
-                    moved = True
-                if not donor.items:
-                    break
-        work = [b for b in work if b.items]
-        if not moved or len(work) + len(done) <= least:
-            break
-    return [[i for _, i in b.items] for b in [*done, *work] if b.items]
+def best_packing(lengths: list[int], size: int) -> list[list[int]]:
+    """The search from both starts; the fewer bins count."""
+    return min((local_search(lengths, start(lengths, size), size) for start in (in_order, falling)), key=len)
 
 
-def _pack_shard(pdf: pd.DataFrame, size: int, final: bool) -> pd.DataFrame:
-    pdf = pdf.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
+def _pack_shard(pdf: pd.DataFrame, size: int, final: bool, search: bool = True) -> pd.DataFrame:
     lengths = [int(n) for n in pdf["length"]]
-    bins = local_search(lengths, best_fit(lengths, size), size)
-    number, offset, sealed = np.zeros(len(lengths), "int64"), np.zeros(len(lengths), "int64"), np.zeros(len(lengths), bool)
+    bins = best_packing(lengths, size) if search else in_order(lengths, size)
+    fills = [sum(lengths[i] for i in b) for b in bins]
+    number, offset, sealed = np.zeros(len(lengths), "int64"), np.zeros(len(lengths), "int64"), np.ones(len(lengths), bool)
     for b, members in enumerate(bins):
         at = 0
         for i in members:
             number[i], offset[i] = b, at
             at += lengths[i]
-        sealed[members] = final or at == size
+    left = 0 if final else len(lengths) // PASS_ON
+    for b in sorted(range(len(bins)), key=fills.__getitem__):
+        left -= len(bins[b])
+        if left < 0 or fills[b] == size:
+            break
+        sealed[bins[b]] = False
     return pdf.assign(bin=number, offset=offset, sealed=sealed)
 
 
-def _packer(size: int, final: bool):
+def _packer(size: int, final: bool, search: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _pack_shard(pdf, size, final)
+        pdf = pdf.sort_values(["shard_order", "doc_id", "piece", "start", "length", "ids_crc32"], kind="stable").reset_index(drop=True)
+        return _pack_shard(pdf, size, final, search)
 
     return run
 
 
 def deal(pieces: DataFrame, shards: int, level: int) -> DataFrame:
-    """pieces with their shard, whatever keys they share. Rows of a written table get the same one on every read."""
-    return pieces.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(level)), F.lit(shards)).cast("long"))
+    """pieces with their shard, whatever keys they share, and their order in it. Rows of a written table get the same ones on every read."""
+    mixed = F.xxhash64(F.monotonically_increasing_id(), F.lit(level))
+    return pieces.withColumns({"shard": F.pmod(mixed, F.lit(shards)).cast("long"), "shard_order": mixed})
 
 
-def pack(pieces: DataFrame, *, size: int = SEQUENCE, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def pack(pieces: DataFrame, *, size: int = SEQUENCE, shard_pieces: int = SHARD_PIECES, search: bool = True) -> DataFrame:
     """Assign every piece a sequence_id and an offset. pieces, a written table: doc_id, piece, start, length, ids_crc32.
 
-    The pieces of a shard's full bins are placed; the rest goes to the next round with fewer shards.
-    Full-length pieces need no search and are placed at once.
+    Full-length pieces are placed at once. search=False leaves every shard as it is packed in order of
+    arrival, to compare.
     """
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
     alone = F.col("length") >= size
     whole = pieces.filter(alone).select(*cols, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.filter(~alone).select(*cols)
     placed = [whole]
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, shard long, bin long, offset long, sealed boolean"
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, shard long, shard_order long, bin long, offset long, sealed boolean"
     base, n = 0, rest.count()
-    for level in range(64):
-        if not n and level:
-            break
+    level = 0
+    while n or not level:
         shards = max(1, -(-n // shard_pieces))
         final = shards == 1
-        packed = deal(rest, shards, level).groupBy("shard").applyInPandas(_packer(size, final), schema)
+        packed = deal(rest, shards, level).groupBy("shard").applyInPandas(_packer(size, final, search), schema)
         if not final:
             packed = materialize(packed, f"packed{level}")
         number = F.lit(base).cast("long") + F.col("shard") * F.lit(shard_pieces * 4).cast("long") + F.col("bin")
@@ -308,11 +391,7 @@ def pack(pieces: DataFrame, *, size: int = SEQUENCE, shard_pieces: int = SHARD_P
             break
         base += shards * shard_pieces * 4
         rest = packed.filter("not sealed").select(*cols)
-        left = rest.count()
-        if left > 0.9 * n:  # hardly a bin fills up: these bins are as good as packing gets here
-            placed.append(packed.filter("not sealed").select(*cols, number.alias("sequence_id"), "offset"))
-            break
-        n = left
+        n, level = rest.count(), level + 1
     out = placed[0]
     for p in placed[1:]:
         out = out.unionByName(p)
