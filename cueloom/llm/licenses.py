@@ -2,8 +2,9 @@
 
 The automaton holds the words of all templates. A text is streamed through it once: at every word
 it knows the longest run of words, ending there, that stands in some template (the matching
-statistics). Runs that reach a phrase's length give the base labels; long runs are chained, template
-by template, into covered spans, and a template that is covered far enough gives its own label.
+statistics). Runs that reach a phrase's length give the base labels. For every template the long runs,
+at all places where they stand in it, are anchors; the best chain of anchors that follow one another
+in text and template alike covers a span, and a template that is covered far enough gives its label.
 
 Rows: one output row per input row; a null text has no words. Words are whole: the text is never
 cut. Repeated rows and other columns do no harm.
@@ -11,12 +12,15 @@ cut. Repeated rows and other columns do no harm.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .licence_texts import SENTENCES, WHOLE
+
 #: Phrase and label.
 PHRASES = (
     ("gnu general public license", "gpl"),
@@ -25,22 +29,8 @@ PHRASES = (
     ("mit license", "mit"),
 )
 
-#: Well-known sentences of public licences and the label each adds when it is covered.
-TEMPLATES = (
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", "mit-text"),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd-text"),
-    ("licensed under the apache license version 2 0 you may not use this file except in compliance with the license", "apache-2.0-text"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl-text"),
-    ("this work is licensed under the gnu general public license version 3", "gpl-3.0"),
-    ("licensed under the apache license version 2 0", "apache-2.0"),
-    ("released under the mit license", "mit-release"),
-    ("licensed under cc by nc 4 0", "cc-by-nc-4.0"),
-    ("licensed under cc by 4 0", "cc-by-4.0"),
-    ("licensed under cc by sa 4 0", "cc-by-sa-4.0"),
-    ("this source code form is subject to the terms of the mozilla public license", "mpl-text"),
-    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc-text"),
-    ("this is free and unencumbered software released into the public domain", "unlicense-text"),
-)
+#: Wordings of licences, whole and by sentence, and the label each adds when it is covered.
+TEMPLATES = WHOLE + SENTENCES
 
 #: A run counts towards a template from this many words on; a template is found when this share of it is covered.
 MIN_RUN = 3
@@ -66,7 +56,7 @@ class Automaton:
         self.ends: list[list[tuple[int, int]]] = [[]]
         for k, text in enumerate(texts):
             last = 0
-            for pos, w in enumerate(text.encode().split()):
+            for pos, w in enumerate(words_of(text)):
                 last = self._extend(last, self.ids.setdefault(w, len(self.ids)))
                 self.ends[last].append((k, pos + 1))
         order = sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True)
@@ -103,7 +93,7 @@ class Automaton:
 
     def state_of(self, text: str) -> int:
         s = 0
-        for w in text.encode().split():
+        for w in words_of(text):
             s = self.step[s][self.ids[w]]
         return s
 
@@ -116,7 +106,7 @@ class Automaton:
 class Scanner:
     def __init__(self, phrases, templates):
         self.templates = templates
-        self.sizes = [len(t.split()) for t, _ in templates]
+        self.sizes = [len(words_of(t)) for t, _ in templates]
         self.sam = Automaton((*(t for t, _ in templates), *(p for p, _ in phrases)))
         owner: dict[int, list[tuple[int, str]]] = {}
         for phrase, label in phrases:
@@ -153,23 +143,47 @@ class Scanner:
         return len(words), base, self._chains(runs)
 
     def _chains(self, runs):
-        """Chain runs of a template that follow one another in text and template alike."""
-        open_: dict[int, tuple[int, int, int, int]] = {}  # template: first word, end in the text, end in the template, words covered
-        found: dict[tuple[int, int], tuple[int, float]] = {}
-        n = len(self.templates)
+        """Covered spans (first word, end word, label, share) of all templates, from the runs in text order."""
+        anchors: dict[int, list[tuple[int, int, int, int]]] = {}
         for end, run, s in runs:
-            places = {k: pos for k, pos in self.sam.ends[s] if k < n}
-            for k, pos in places.items():
-                start, covered = end - run, run
-                held = open_.get(k)
-                if held and pos - run >= held[2] - run and pos > held[2] and start - held[1] <= MAX_GAP:
-                    new = min(run, pos - held[2], max(0, end - held[1]))
-                    start, covered = held[0], held[3] + new
-                open_[k] = (start, end, pos, covered)
-                share = min(1.0, covered / self.sizes[k])
-                if share >= MIN_COVER:
-                    found[k, start] = (end, share)
-        return sorted((first, end, self.templates[k][1], share) for (k, first), (end, share) in found.items())
+            for k, pos in self.sam.ends[s]:
+                if k < len(self.templates):
+                    anchors.setdefault(k, []).append((end - run, end, pos - run, pos))
+        found = []
+        for k, held in anchors.items():
+            if sum(a[1] - a[0] for a in held) >= MIN_COVER * self.sizes[k]:
+                found += [(first, end, self.templates[k][1], share) for first, end, share in best_chains(held, self.sizes[k])]
+        return sorted(found)
+
+
+def best_chains(anchors: list[tuple[int, int, int, int]], size: int) -> list[tuple[int, int, float]]:
+    """The best chains of anchors (start and end in the text, start and end in a template of so many words) that don't overlap in the text.
+
+    A chain covers as many words as its anchors have in text and template alike; the text may hold
+    MAX_GAP words more between two anchors than the template. An anchor looks back over as much text
+    as the template and such a gap are long, so time grows with the text. (first word, end word,
+    share) of the chains that cover MIN_COVER.
+    """
+    best: list[tuple[int, int]] = []  # of the chains that end with each anchor: words covered, minus the first word
+    whole = []
+    for i, (s, e, p, q) in enumerate(anchors):
+        top = (e - s, -s)
+        for j in range(i - 1, -1, -1):
+            _, e0, _, q0 = anchors[j]
+            if s - e0 > size + MAX_GAP:
+                break
+            if q0 < q and e0 < e and s - e0 <= MAX_GAP + max(0, p - q0):
+                covered, first = best[j]
+                top = max(top, (covered + min(e - max(s, e0), q - max(p, q0)), first))
+        best.append(top)
+        if top[0] >= MIN_COVER * size:
+            whole.append((-top[0], e, -top[1]))
+    out: list[tuple[int, int, float]] = []
+    for covered, e, s in sorted(whole):
+        at = bisect_left(out, (s, e, 0.0))
+        if (not at or out[at - 1][1] <= s) and (at == len(out) or e <= out[at][0]):
+            out.insert(at, (s, e, min(1.0, -covered / size)))
+    return out
 
 
 @lru_cache(maxsize=2)
