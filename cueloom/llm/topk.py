@@ -1,25 +1,29 @@
 """Exact top-k inner products with MaxScore pruning.
 
 A vector's dimensions play the part of terms: a component is a posting with an integer impact, and
-a shard (a block of candidate rows) knows for every term the largest contribution it can make to a
-query. Terms are ordered by that bound. The essential ones are those without which the threshold
-(the k-th best score so far) can't be reached; they are traversed for all rows of the shard. Each
-further term is probed only for rows that are still competitive, and the shards' lists are merged.
-
-Queries are handed out in blocks of bounded size, so what is broadcast doesn't grow with the data.
+a shard (a block of candidate rows) knows for every term the least and the largest contribution it
+can make to a query. Terms are ordered by the distance of the two. The last ones, by which a row
+at its least in all others can't reach the threshold (a score that k rows have), are non-essential. The
+essential terms are traversed for all rows of the shard; the others are probed, a few at a time,
+only for rows that are still competitive, and each probe may raise the threshold.
+
+Distribution: blocks of queries meet shards of candidates as groups of bounded size, dealt by hash,
+so neither side passes through the driver or a broadcast. The first shard is searched alone; the
+k-th best score that a query reaches there is the threshold it brings to all other shards. The
+shards' lists are merged by a window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Queries handed out at once; candidate rows in a shard.
-QUERY_BLOCK = 4096
-SHARD_ROWS = 8192
+from .common import materialize
+
+#: Queries in a block; candidate rows in a shard.
+QUERY_BLOCK = 8192
+SHARD_ROWS = 16384
 #: Terms probed between two prunings.
 PROBE = 4
 
@@ -42,82 +46,103 @@ def _matrix(column: pa.ListArray, width: int | None = None) -> np.ndarray:
     return out
 
 
+def essential_terms(spread: np.ndarray, least: int, threshold: int | None) -> int:
+    """How many of the terms, in falling order of spread, are essential: a row that is at its least in all of them can't reach the threshold."""
+    if threshold is None:
+        return len(spread)
+    reach = least + np.append(np.cumsum(spread[::-1])[::-1], 0)  # of a row at its least in the first j terms
+    return int(np.argmax(reach < threshold)) if reach[-1] < threshold else len(spread)
+
+
 def maxscore(query: np.ndarray, own: int, ids: np.ndarray, columns: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
     """The k best rows of a shard for one query, ties to the smaller id.
 
     columns: [dimension, row]; low and high: each dimension's extremes in the shard. floor: a score
-    that k rows of other shards already have.
+    that k rows of other shards already have; rows below it may be left out.
     """
-    alive = np.flatnonzero(ids != own)
-    if not len(alive):
+    others = ids != own
+    if not others.any():
         return ids[:0], ids[:0]
-    bound = np.maximum(query * low, query * high)
-    terms = np.argsort(-np.abs(query * (high - low)), kind="stable")
+    least, most = np.minimum(query * low, query * high), np.maximum(query * low, query * high)
+    terms = np.argsort(least - most, kind="stable")
     terms = terms[query[terms] != 0]
-    left = int(bound[terms].sum())
-    score = np.zeros(len(alive), np.int64)
-    done = 0
-    # Until the remaining terms alone can't lift a row over the threshold, all rows are traversed.
-    while done < len(terms):
-        group = terms[done : done + PROBE]
-        rows = columns[group] if len(alive) == len(ids) else columns[np.ix_(group, alive)]
-        score += query[group] @ rows
-        left -= int(bound[group].sum())
-        done += len(group)
-        if len(alive) > k and done < len(terms):
-            rest = terms[done:]
-            worst = int(np.minimum(query[rest] * low[rest], query[rest] * high[rest]).sum())
-            reached = int(np.partition(score, len(score) - k)[-k]) + worst  # k rows get at least this
-            need = max(reached, floor) if floor is not None else reached
-            stay = score + left >= need
+    threshold = floor
+    if threshold is None and len(terms) and int(others.sum()) > 4 * k:  # from the rows at the head of the first posting
+        heads = np.argpartition(np.where(others, -query[terms[0]] * columns[terms[0]], np.iinfo(np.int64).max), 4 * k)[: 4 * k]
+        threshold = int(np.partition(query @ columns[:, heads], 3 * k)[3 * k])
+    n = essential_terms((most - least)[terms], int(least[terms].sum()), threshold)
+    score = query[terms[:n]] @ columns[terms[:n]] if n else np.zeros(len(ids), np.int64)
+    alive = np.flatnonzero(others)
+    score = score[alive]
+    while True:
+        rest = terms[n:]
+        if len(alive) > k:
+            sure = int(np.partition(score, len(score) - k)[-k]) + int(least[rest].sum())  # k rows get at least this
+            threshold = sure if threshold is None else max(threshold, sure)
+        if threshold is not None:
+            stay = score + int(most[rest].sum()) >= threshold
             if not stay.all():
                 alive, score = alive[stay], score[stay]
-    if len(alive) > k:
-        kth = np.partition(score, len(score) - k)[-k]
-        stay = score >= kth
-        alive, score = alive[stay], score[stay]
+        if not len(rest) or not len(alive):
+            break
+        probed = rest[:PROBE]
+        score = score + query[probed] @ columns[np.ix_(probed, alive)]
+        n += len(probed)
     order = np.lexsort((ids[alive], -score))[:k]
     return ids[alive][order], score[order]
 
 
+def _search_group(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
+    names = ["query_id", "query_hash", "vec_id", "score"]
+    if not queries.num_rows or not candidates.num_rows:
+        return pa.Table.from_arrays([pa.array([], pa.int64())] * 4, names=names)
+    column = lambda t, name: t.column(name).combine_chunks()
+    ids, m = column(candidates, "vec_id").to_numpy(), _matrix(column(candidates, "v"))
+    columns, low, high = np.ascontiguousarray(m.T), m.min(axis=0), m.max(axis=0)
+    q = _matrix(column(queries, "query"))
+    width = min(q.shape[1], m.shape[1])  # dimensions that one side lacks are zeros
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    keys = zip(column(queries, "query_id").to_pylist(), column(queries, "query_hash").to_pylist(), column(queries, "floor").to_pylist())
+    for vector, (own, tag, floor) in zip(q, keys):
+        got_ids, got = maxscore(vector[:width], own, ids, columns[:width], low[:width], high[:width], k, floor)
+        for held, x in zip(out, (np.full(len(got), own), np.full(len(got), tag), got_ids, got)):
+            held.append(x)
+    return pa.Table.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=names)
+
+
+def _search_shards(candidates: DataFrame, queries: DataFrame, shards: Column, blocks: int, k: int) -> DataFrame:
+    """query_id, query_hash, vec_id, score: each shard's lists. candidates have their shard, queries their block; shards: those to search."""
+
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        return _search_group(q, c, k)
+
+    left = queries.select(F.col("vec_id").alias("query_id"), "query_hash", F.col("v").alias("query"), "floor", "block", F.explode(shards).alias("shard"))
+    right = candidates.select("vec_id", "v", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(run, "query_id long, query_hash long, vec_id long, score long")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def search(candidates: DataFrame, queries: DataFrame, *, k: int = 10, query_block: int = QUERY_BLOCK, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The k best candidates of every query: query_id, rank, vec_id, score. Both inputs: vec_id, v (integers).
 
-    A query never finds rows of its own vec_id; rows that repeat another vec_id each count. An
-    empty side gives an empty result; with fewer candidates a query returns them all.
+    A query never finds rows of its own vec_id; rows that repeat another vec_id each count. Queries
+    equal in id and vector are one; those of one id and different vectors get a list each, under the
+    same id. An empty side gives an empty result; with fewer candidates a query returns them all.
     """
-    spark = candidates.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // query_block))
-    parts = []
-    for block in range(blocks):
-        held = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)
-        rows = held.select("vec_id", "v").collect()  # bounded by the block
-        sent = spark.sparkContext.broadcast([(r["vec_id"], r["v"]) for r in rows])
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ready = [(q, np.array(v, np.int64)) for q, v in sent.value]
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2 for _ in ready]
-            for whole in batches:
-                for at in range(0, whole.num_rows, shard_rows):
-                    b = whole.slice(at, shard_rows)
-                    ids, m = b.column(0).to_numpy(), _matrix(b.column(1))
-                    columns, low, high = np.ascontiguousarray(m.T), m.min(axis=0, initial=1 << 62), m.max(axis=0, initial=-(1 << 62))
-                    for j, (q, v) in enumerate(ready):
-                        w = min(len(v), m.shape[1])
-                        old_ids, old = best[j]
-                        got_ids, got = maxscore(v[:w], q, ids, columns[:w], low[:w], high[:w], k, int(old[-1]) if len(old) == k else None)
-                        all_ids, all_ = np.concatenate([old_ids, got_ids]), np.concatenate([old, got])
-                        order = np.lexsort((all_ids, -all_))[:k]
-                        best[j] = all_ids[order], all_[order]
-            for at in range(0, len(best), 1024):
-                part = [(q, i, s) for (q, _), (x, y) in zip(ready[at : at + 1024], best[at : at + 1024]) for i, s in zip(x.tolist(), y.tolist())]
-                cols = list(zip(*part)) or [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
-
-        parts.append(candidates.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    queries = queries.select("vec_id", "v", F.xxhash64("v").alias("query_hash")).dropDuplicates(["vec_id", "query_hash"])
+    blocks = max(1, -(-queries.count() // query_block))
+    shards = max(1, -(-candidates.count() // shard_rows))
+    deal = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
+    queries = queries.withColumn("block", deal(blocks))
+    candidates = candidates.select("vec_id", "v", deal(shards).alias("shard"))
+    first = _search_shards(candidates.filter("shard = 0"), queries.withColumn("floor", F.lit(None).cast("long")), F.array(F.lit(0)), blocks, k)
+    if shards == 1:
+        return _best(first, k).select("query_id", "rank", "vec_id", "score")
+    first = materialize(_best(first, k), "first_shard")
+    reached = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "query_hash", F.col("score").alias("floor"))
+    rest = _search_shards(candidates.filter("shard > 0"), queries.join(reached, ["vec_id", "query_hash"], "left"), F.sequence(F.lit(1), F.lit(shards - 1)), blocks, k)
+    return _best(first.drop("rank").unionByName(rest), k).select("query_id", "rank", "vec_id", "score")
