@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import TEMPLATES, norm_text, texts_support
 from .graph import checkpoint, connected_components
-from .intervals import END, START, interval_pairs, with_islands
+from .intervals import END, START, interval_pairs, overlap_join, with_islands
+from .walk import walk_groups
 
 Support = Callable[[Column, Column], Column]
 CREDIBLE = 0.6
@@ -104,25 +105,28 @@ def slice_components(members: DataFrame, max_ms: int = 15_000) -> DataFrame:
     short = bounds.filter(F.col(END) - F.col(START) <= max_ms).select("audio_id", "component", START, END, F.lit(False).alias("split"))
     long_ = bounds.filter(F.col(END) - F.col(START) > max_ms).select("audio_id", "component")
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends, out = sorted(set(pdf[END])), []
-        at, last = pdf[START].min(), pdf[END].max()
+    def cut(key: tuple, rows: list[tuple]) -> list[tuple]:
+        at, last = min(r[0] for r in rows), max(r[1] for r in rows)
+        ends, out = sorted({r[1] for r in rows}), []
         while at < last:
             limit = min(at + max_ms, last)
-            to = max((e for e in ends if at < e <= limit), default=limit)
-            out.append((pdf["audio_id"].iat[0], pdf["component"].iat[0], at, to, True))
+            k = bisect_right(ends, limit) - 1
+            to = ends[k] if k >= 0 and ends[k] > at else limit
+            out.append((*key, at, to, True))
             at = to
-        return pd.DataFrame(out, columns=["audio_id", "component", START, END, "split"])
+        return out
 
-    rows = members.join(long_, ["audio_id", "component"], "left_semi").select("audio_id", "component", START, END)
-    return short.unionByName(rows.groupBy("audio_id", "component").applyInPandas(cut, short.schema))
+    keys = ["audio_id", "component"]
+    rows = members.join(long_, keys, "left_semi")
+    return short.unionByName(walk_groups(rows, keys, [], [START, END], cut, short.schema))
 
 
 def window_members(slices: DataFrame, members: DataFrame, key: str = "event_id") -> DataFrame:
     """Members that meet a slice, without those that only end where it starts."""
-    m = members.select("audio_id", "component", key, "model_role", F.col(START).alias("m_start"), F.col(END).alias("m_end"))
+    keys = ["audio_id", "component"]
+    m = members.select(*keys, key, "model_role", F.col(START).alias("m_start"), F.col(END).alias("m_end"))
     meets = (F.col("m_start") <= F.col(END)) & (F.col("m_end") >= F.col(START)) & ~((F.col("m_end") == F.col(START)) & (F.col("m_start") < F.col(START)))
-    return slices.join(m, ["audio_id", "component"]).filter(meets)
+    return overlap_join(slices, m, keys, (START, END), ("m_start", "m_end")).filter(meets)
 
 
 def components(c: DataFrame, gap_ms: int = 800) -> DataFrame:
@@ -133,9 +137,8 @@ def components(c: DataFrame, gap_ms: int = 800) -> DataFrame:
     """
     slim = with_islands(c, "audio_id", gap_ms).select("audio_id", "island", "event_id", "model_role", START, END)
 
-    def join_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values([START, END, "event_id"])
-        up = {e: e for e in rows["event_id"]}
+    def join_up(key: tuple, rows: list[tuple]) -> list[tuple]:
+        up = {r[0]: r[0] for r in rows}
 
         def top(x: int) -> int:
             while up[x] != x:
@@ -144,16 +147,16 @@ def components(c: DataFrame, gap_ms: int = 800) -> DataFrame:
             return x
 
         live: list[tuple[int, str, int]] = []
-        for e, role, start, end in zip(rows["event_id"], rows["model_role"], rows[START], rows[END]):
+        for e, role, start, end in rows:
             live = [x for x in live if start <= x[2] + gap_ms]
             for other, other_role, _ in live:
                 if other_role != role:
                     a, b = top(e), top(other)
                     up[max(a, b)] = min(a, b)
             live.append((e, role, end))
-        return pd.DataFrame({"event_id": list(up), "component": [top(e) for e in up]})
+        return [(e, top(e)) for e in up]
 
-    found = slim.groupBy("audio_id", "island").applyInPandas(join_up, "event_id long, component long")
+    found = walk_groups(slim, ["audio_id", "island"], [START, END, "event_id"], ["event_id", "model_role", START, END], join_up, "event_id long, component long")
     return c.join(found, "event_id")
 
 

@@ -1,8 +1,9 @@
 """Interval operators on integer milliseconds.
 
-Everything that joins intervals does so within islands: maximal runs of rows no more than a gap
-apart. Rows of different islands cannot meet, so (by, island) is an equi key for what would be a
-pure range join, and no task needs a whole recording at once.
+Joins of intervals go by buckets of time: a row stands in every bucket that it touches, and a pair is
+made in the first bucket that both touch, so (by, bucket) is an equi key for what would be a pure range
+join, and a recording of any length spreads over its buckets. Rules that run along a recording go by
+islands: maximal runs of rows no more than a gap apart.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 START, END = "start_ms", "end_ms"
+#: Width of the time buckets of joins.
+BUCKET_MS = 8_000
 
 
 def _cols(by: str | list[str]) -> list[str]:
@@ -50,15 +53,24 @@ def coverage_gaps(covered: DataFrame, durations: DataFrame, by: str = "audio_id"
     return holes.select(by, F.greatest(F.lit(0).cast("long"), F.col("cursor") - pad_ms).alias(START), right.alias(END))
 
 
+def overlap_join(left: DataFrame, right: DataFrame, by: list[str], left_span: tuple[str, str], right_span: tuple[str, str], bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """Pairs of rows whose closed spans meet, each pair once. Columns besides `by` must differ."""
+    at = lambda c: F.floor(F.col(c) / bucket_ms)
+    in_buckets = lambda df, span: df.withColumn("_bucket", F.explode(F.sequence(at(span[0]), F.greatest(at(span[0]), at(span[1])))))
+    (a0, a1), (b0, b1) = left_span, right_span
+    met = in_buckets(left, left_span).join(in_buckets(right, right_span), [*by, "_bucket"])
+    return met.filter((F.col("_bucket") == F.greatest(at(a0), at(b0))) & (F.col(a0) <= F.col(b1)) & (F.col(b0) <= F.col(a1))).drop("_bucket")
+
+
 def interval_pairs(df: DataFrame, *, by: str | list[str] = "audio_id", gap_ms: int = 800, distinct_on: str | None = "model_role", key: str = "event_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Ordered pairs (a, b) of different sources whose intervals meet within the gap, both ends inclusive."""
-    cols = list(dict.fromkeys([*_cols(by), "island", key, START, END, *([distinct_on] if distinct_on else []), *keep]))
-    rows = with_islands(df, by, gap_ms).select(*cols)
-    named = lambda s: rows.select(*_cols(by), "island", *[F.col(c).alias(f"{c}_{s}") for c in cols if c not in (*_cols(by), "island")])
-    near = (F.col(f"{START}_a") <= F.col(f"{END}_b") + gap_ms) & (F.col(f"{START}_b") <= F.col(f"{END}_a") + gap_ms) & (F.col(f"{key}_a") != F.col(f"{key}_b"))
+    keys = _cols(by)
+    cols = list(dict.fromkeys([key, START, END, *([distinct_on] if distinct_on else []), *keep]))
+    named = lambda s: df.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in cols], (F.col(END) + gap_ms).alias(f"_until_{s}"))
+    other = F.col(f"{key}_a") != F.col(f"{key}_b")
     if distinct_on:
-        near = near & (F.col(f"{distinct_on}_a") != F.col(f"{distinct_on}_b"))
-    return named("a").join(named("b"), [*_cols(by), "island"]).filter(near)
+        other = other & (F.col(f"{distinct_on}_a") != F.col(f"{distinct_on}_b"))
+    return overlap_join(named("a"), named("b"), keys, (f"{START}_a", "_until_a"), (f"{START}_b", "_until_b")).filter(other).drop("_until_a", "_until_b")
 
 
 def tile(df: DataFrame, window_ms: int, overlap_ms: int) -> DataFrame:

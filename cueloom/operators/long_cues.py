@@ -14,6 +14,10 @@ from .intervals import END, START
 MAX_MS = 15_000
 MIN_SIMILARITY, SHORT_SIMILARITY, MIN_COVERAGE, MIN_PROBABILITY = 0.65, 0.80, 0.70, 0.35
 PAD_START, PAD_END = 150, 250
+#: Characters of a stretch of text in the join of words.
+STRETCH = 64
+#: Attempts at a cue further apart than this need review.
+REVIEW_SHIFT_MS = 1_500
 SENTENCE, FINE = "。！？!?", "。！？!?、，,；;"
 
 
@@ -21,15 +25,17 @@ def word_spans(words: DataFrame, target_chars: str = "target_chars", by: tuple[s
     """All spans [first, last] of a cue's words up to max(2n+4, n+12) characters.
 
     words: by, pos, norm, start_ms, end_ms, probability, and the target's length. A word meets only
-    those that follow it within the cap, since every word has a character.
+    the words that end in the stretches of text that the cap behind it touches.
     """
     keys = list(by)
     cap = F.greatest(2 * F.col(target_chars) + 4, F.col(target_chars) + 12)
     total = F.sum(F.length("norm")).over(Window.partitionBy(*keys).orderBy("pos"))
     rows = words.filter("norm <> ''").withColumns({"upto": total, "cap": cap})
-    first = rows.select(*keys, F.col("pos").alias("first_word"), (F.col("upto") - F.length("norm")).alias("before"), F.col(START).alias("span_start"))
-    last = rows.select(*keys, F.col("pos").alias("last_word"), "upto", "cap", F.col(END).alias("span_end"))
-    return first.join(last, keys).filter((F.col("last_word") >= F.col("first_word")) & (F.col("upto") - F.col("before") <= F.col("cap")))
+    first = rows.select(*keys, F.col("pos").alias("first_word"), (F.col("upto") - F.length("norm")).alias("before"), F.col(START).alias("span_start"), "cap")
+    last = rows.select(*keys, F.col("pos").alias("last_word"), "upto", F.col(END).alias("span_end"))
+    first = first.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("before") / STRETCH), F.floor((F.col("before") + F.col("cap")) / STRETCH))))
+    met = first.join(last.withColumn("stretch", F.floor(F.col("upto") / STRETCH)), [*keys, "stretch"])
+    return met.filter((F.col("last_word") >= F.col("first_word")) & (F.col("upto") - F.col("before") <= F.col("cap"))).drop("stretch")
 
 
 def span_scores(spans: DataFrame, words: DataFrame, by: tuple[str, ...] = ("cue",)) -> DataFrame:
@@ -140,18 +146,44 @@ def align_long_cues(cues: DataFrame, words: DataFrame, max_ms: int = MAX_MS) ->
     return rows.groupBy("audio_id", "cue_index").applyInPandas(propose, PROPOSAL)
 
 
-def consensus(attempts: DataFrame) -> DataFrame:
+def consensus(attempts: DataFrame, max_ms: int = MAX_MS) -> DataFrame:
     """Bounds on which two attempts agree: the later start, the earlier end, and how far they differ.
 
-    attempts: audio_id, cue_index, attempt, ord, start_ms, end_ms, text.
+    attempts: audio_id, cue_index, attempt, ord, start_ms, end_ms, text. Attempts that give a cue
+    different numbers of parts don't agree, and count as one more than a cue's limit apart.
     """
-    rows = attempts.groupBy("audio_id", "cue_index", "ord").agg(
+    keys = ["audio_id", "cue_index"]
+    sizes = attempts.groupBy(*keys, "attempt").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg((F.min("n") == F.max("n")).alias("same_n"), F.count(F.lit(1)).alias("tried"))
+    rows = attempts.groupBy(*keys, "ord").agg(
         F.max(START).alias(START), F.min(END).alias(END), F.count_distinct("text").alias("texts"), F.count(F.lit(1)).alias("attempts"),
         F.greatest(F.max(START) - F.min(START), F.max(END) - F.min(END)).alias("shift_ms"),
-    )
-    w = Window.partitionBy("audio_id", "cue_index")
-    agreed = F.min(((F.col("texts") == 1) & (F.col(START) < F.col(END))).cast("int")).over(w) == 1
-    return rows.withColumns({"agreed": agreed, "cue_shift_ms": F.max("shift_ms").over(w)}).drop("texts")
+    ).join(sizes, keys)
+    w = Window.partitionBy(*keys)
+    fits = F.col("same_n") & (F.col("tried") == 2) & (F.col("attempts") == 2) & (F.col("texts") == 1) & (F.col(START) < F.col(END))
+    agreed = F.min(fits.cast("int")).over(w) == 1
+    shift = F.when(F.col("same_n"), F.max("shift_ms").over(w)).otherwise(F.lit(max_ms + 1).cast("long"))
+    return rows.withColumns({"agreed": agreed, "cue_shift_ms": shift}).drop("texts", "same_n", "tried")
+
+
+def choose_attempts(parts: DataFrame, tries: DataFrame, max_ms: int = MAX_MS) -> DataFrame:
+    """The attempt that stands for each cue, how far the attempts lie apart and whether a person must look.
+
+    parts: the parts of resolved attempts (audio_id, cue_index, attempt, ord, start_ms, end_ms, text,
+    similarity, coverage, probability). tries: every attempt (audio_id, cue_index, attempt, status,
+    n_words). Of resolved attempts the one whose worst part scores best is chosen, else the one with
+    most words; the first on ties. bounds_agreed: the chosen parts take the bounds of consensus().
+    """
+    keys = ["audio_id", "cue_index"]
+    worst = parts.groupBy(*keys, "attempt").agg(
+        F.min(0.55 * F.col("similarity") + 0.35 * F.col("coverage") + 0.10 * F.least("probability", F.lit(1.0))).alias("score"), F.count_if(F.lit(True)).alias("n_parts")
+    )
+    best = F.max_by(F.struct("attempt", "status"), F.struct(F.col("score").isNotNull().alias("r"), F.coalesce("score", F.col("n_words").cast("double")).alias("s"), (-F.col("attempt")).alias("a")))
+    chosen = tries.join(worst, [*keys, "attempt"], "left").groupBy(*keys).agg(best.alias("b"), F.count("score").alias("resolved"), F.count(F.lit(1)).alias("tried"))
+    pairs = consensus(parts, max_ms).groupBy(*keys).agg(F.max("cue_shift_ms").alias("shift"), F.bool_and("agreed").alias("agreed"))
+    out = chosen.join(pairs, keys, "left")
+    shift = F.when(F.col("resolved") > 1, F.col("shift"))
+    review = (F.col("b.status") == "split") | (F.col("resolved") < F.col("tried")) | (F.coalesce(shift, F.lit(0)) > REVIEW_SHIFT_MS)
+    return out.select(*keys, F.col("b.attempt").alias("attempt"), F.col("b.status").alias("status"), shift.alias("shift_ms"), ((F.col("resolved") > 1) & F.coalesce("agreed", F.lit(False))).alias("bounds_agreed"), review.alias("review_required"))
 
 
 def apply_proposals(cues: DataFrame, proposals: DataFrame, mode: str = "apply") -> DataFrame:

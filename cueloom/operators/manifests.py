@@ -27,6 +27,11 @@ def list_assets(spark: SparkSession, path: str, suffixes: tuple[str, ...] = AUDI
     return rows.filter(F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(*suffixes)).select(F.regexp_replace(name, r"\.[^.]+$", "").alias("audio_id"), "path", "size_bytes", "mtime")
 
 
+def list_scripts(spark: SparkSession, path: str) -> DataFrame:
+    """Script files of a folder by name."""
+    return list_assets(spark, path, ("txt",)).withColumnRenamed("audio_id", "script_id")
+
+
 def artifact_catalog(names: DataFrame, active: DataFrame | None = None) -> DataFrame:
     """base, kind and stage of names <base>_<suffix>; the longest suffix wins (A3)."""
     known = names.sparkSession.createDataFrame(list(ARTIFACTS.items()), "kind string, stage string")

@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from itertools import product
+from math import prod
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.text import text_score
 from ..functions.timecode import band, relation
+from .graph import checkpoint
 from .scripts import unique_anchors
+from .walk import walk_groups
 
 #: Group sizes, costs, gain, margins and budgets.
 MAX_UNITS, MAX_ITEMS = 3, 6
 MIN_SCORE, SKIP_UNIT, SKIP_ITEM, GAIN, GROUP_PENALTY, EXACT_BONUS = 0.38, 0.55, 0.45, 2.2, 0.06, 0.5
 AMBIGUOUS = 0.08
-REGION_CELLS = 30_000
+MAX_VARIANTS = 4_096
+REGION_CELLS, TOTAL_CELLS = 30_000, 120_000
+PAIR_WORK, REGION_WORK, TOTAL_WORK = 1_000_000, 50_000_000, 200_000_000
 
 
 def dice(a: str, b: str) -> float:
@@ -56,14 +63,94 @@ def with_regions(units: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFra
     return mark(units, "unit_pos"), mark(items, "item_pos")
 
 
-def align_region(us: list[str], ts: list[str]) -> tuple[list[tuple[int, int, int, int, float]], float | None]:
-    """Best monotone grouping of two lists of texts, and its lead over the next best end.
+def best_variants(groups: DataFrame, options: DataFrame, *, by: tuple[str, ...] = ("audio_id", "grp"), sim=None) -> DataFrame:
+    """For each group the best text of its items in a row: by, evidence_ids, norm, score.
 
-    Steps skip a unit or an item, or match up to MAX_UNITS with up to MAX_ITEMS of them. Each cell
-    keeps its two best ways; ties go to more matched characters, then fewer skips.
+    groups: by, want. options: by, place (of the item in the group), provenance, evidence_id, norm. A
+    variant takes one candidate of every item, all of one provenance; equal texts of a provenance
+    count once, under the smallest id. Best is the highest score, then the nearest length, then ids,
+    then text. Groups with an item without candidates, or with more than MAX_VARIANTS variants of a
+    provenance, have none.
     """
-    n, m = len(us), len(ts)
-    memory: dict[tuple[int, int, int, int], float] = {}
+    keys = list(by)
+    items = options.groupBy(*keys).agg(F.count_distinct("place").alias("n_items"))
+    once = options.filter("norm <> '' AND evidence_id <> ''").groupBy(*keys, "place", "provenance", "norm").agg(F.min("evidence_id").alias("evidence_id"))
+    of_item = once.groupBy(*keys, "provenance", "place").agg(F.array_sort(F.collect_list(F.struct("evidence_id", "norm"))).alias("texts"))
+    rows = of_item.groupBy(*keys, "provenance").agg(F.array_sort(F.collect_list(F.struct("place", "texts"))).alias("items")).join(items, keys).filter(F.size("items") == F.col("n_items"))
+    many = F.aggregate("items", F.lit(1.0), lambda n, x: n * F.size(x["texts"]))
+    rows = rows.withColumn("most", F.max(many).over(Window.partitionBy(*keys))).filter(F.col("most") <= MAX_VARIANTS)
+    start = F.array(F.struct(F.array().cast("array<string>").alias("ids"), F.lit("").alias("norm")))
+    longer = lambda v, o: F.struct(F.array_append(v["ids"], o["evidence_id"]).alias("ids"), F.concat(v["norm"], o["norm"]).alias("norm"))
+    all_ = F.aggregate("items", start, lambda acc, x: F.flatten(F.transform(acc, lambda v: F.transform(x["texts"], lambda o: longer(v, o)))))
+    scored = rows.select(*keys, F.explode(all_).alias("v")).join(groups.select(*keys, "want"), keys).select(
+        *keys, F.col("v.ids").alias("evidence_ids"), F.col("v.norm").alias("norm"), text_score(F.col("want"), F.col("v.norm"), sim).alias("score"), F.abs(F.length("want") - F.length("v.norm")).alias("away")
+    )
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "away", "evidence_ids", "norm")
+    return scored.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*keys, "evidence_ids", "norm", "score")
+
+
+class Item:
+    """A timeline item's candidate texts by provenance; plain text is one candidate."""
+
+    def __init__(self, candidates: str | list[tuple[str, str, str]]):
+        held: dict[str, dict[str, str]] = {}
+        for provenance, evidence, norm in [("", "", candidates)] if isinstance(candidates, str) else candidates:
+            if norm and (evidence or isinstance(candidates, str)):
+                texts = held.setdefault(provenance, {})
+                texts[norm] = min(evidence, texts.get(norm, evidence))
+        self.options = {p: sorted((e, t) for t, e in texts.items()) for p, texts in held.items()}
+        self.longest = max((len(t) for o in self.options.values() for _, t in o), default=0)
+
+
+def variants(items: list[Item]) -> list[tuple[tuple[str, ...], str]] | None:
+    """All (evidence ids, text) of items in a row by G5's rule; None where a provenance has too many."""
+    out: list[tuple[tuple[str, ...], str]] = []
+    for provenance in set.intersection(*(set(i.options) for i in items)):
+        sets = [i.options[provenance] for i in items]
+        if prod(map(len, sets)) > MAX_VARIANTS:
+            return None
+        out += [(tuple(e for e, _ in pick), "".join(t for _, t in pick)) for pick in product(*sets)]
+    return out
+
+
+def best_variant(want: str, texts: list[tuple[tuple[str, ...], str]] | None) -> tuple[float, tuple[str, ...]]:
+    """Score and evidence ids of the best of variants."""
+    best = min(((-score(want, t), abs(len(want) - len(t)), ids, t) for ids, t in texts or []), default=None)
+    return (-best[0], best[2]) if best else (0.0, ())
+
+
+def region_work(us: list[str], ts: list[Item]) -> int:
+    """What an alignment may cost: products of lengths over all groups, once per variant; REGION_WORK + 1 where one group is too much."""
+    work = 0
+    for j in range(len(ts)):
+        for b in range(1, min(MAX_ITEMS, len(ts) - j) + 1):
+            group = ts[j : j + b]
+            ways = sum(prod(len(i.options[p]) for i in group) for p in set.intersection(*(set(i.options) for i in group)))
+            length = max(1, sum(i.longest for i in group))
+            for k in range(len(us)):
+                size = 0
+                for u in us[k : k + MAX_UNITS]:
+                    size += len(u)
+                    pair = max(1, size) * length
+                    if ways > MAX_VARIANTS or pair > PAIR_WORK:
+                        return REGION_WORK + 1
+                    work += ways * pair
+            if work > REGION_WORK:
+                return work
+    return work
+
+
+def align_region(us: list[str], ts: list) -> tuple[list[tuple], float | None]:
+    """Best monotone grouping of two lists of texts (of items: their candidates), and its lead over the next best end.
+
+    Steps skip a unit or an item, or match up to MAX_UNITS with up to MAX_ITEMS of them, which take
+    their best variant. Each cell keeps its two best ways; ties go to more matched characters, then
+    fewer skips. Steps: first unit, units, first item, items, score, evidence ids.
+    """
+    items = [t if isinstance(t, Item) else Item(t) for t in ts]
+    n, m = len(us), len(items)
+    texts: dict[tuple[int, int], list | None] = {}
+    memory: dict[tuple[int, int, int, int], tuple[float, tuple[str, ...]]] = {}
     cells: dict[tuple[int, int], list[tuple]] = {(0, 0): [((0.0, 0, 0), ())]}
 
     def put(at: tuple[int, int], key: tuple, path: tuple) -> None:
@@ -73,6 +160,13 @@ def align_region(us: list[str], ts: list[str]) -> tuple[list[tuple[int, int, int
             held.sort(key=lambda x: (-x[0][0], -x[0][1], x[0][2], x[1]))
             del held[2:]
 
+    def match(i: int, j: int, a: int, b: int, left: str) -> tuple[float, tuple[str, ...]]:
+        if (i, j, a, b) not in memory:
+            if (j, b) not in texts:
+                texts[j, b] = variants(items[j : j + b])
+            memory[i, j, a, b] = best_variant(left, texts[j, b])
+        return memory[i, j, a, b]
+
     for i in range(n + 1):
         for j in range(m + 1):
             for (total, chars, skips), path in list(cells.get((i, j), [])):
@@ -83,43 +177,87 @@ def align_region(us: list[str], ts: list[str]) -> tuple[list[tuple[int, int, int
                 for a in range(1, min(MAX_UNITS, n - i) + 1):
                     left = "".join(us[i : i + a])
                     for b in range(1, min(MAX_ITEMS, m - j) + 1):
-                        s = memory.get((i, j, a, b))
-                        if s is None:
-                            s = memory[i, j, a, b] = score(left, "".join(ts[j : j + b]))
+                        s, ids = match(i, j, a, b, left)
                         if s < MIN_SCORE:
                             continue
                         gain = GAIN * (s - MIN_SCORE) - a * SKIP_UNIT - b * SKIP_ITEM - GROUP_PENALTY * (a - 1) + (EXACT_BONUS if s >= 1 - 1e-12 and len(left) >= 4 else 0)
-                        put((i + a, j + b), (round(total + gain, 12), chars + len(left), skips), (*path, (i, a, j, b, s)))
+                        put((i + a, j + b), (round(total + gain, 12), chars + len(left), skips), (*path, (i, a, j, b, s, ids)))
     ends = cells[n, m]
     return list(ends[0][1]), (ends[0][0][0] - ends[1][0][0] if len(ends) > 1 else None)
 
 
-MATCH = "audio_id long, region long, first_unit long, n_units int, first_item long, n_items int, score double, margin double, anchored boolean, reason string"
+MATCH = "audio_id long, region long, first_unit long, n_units int, first_item long, n_items int, score double, evidence_ids array<string>, margin double, anchored boolean, reason string"
+
+
+def _texts(side: pd.DataFrame) -> list:
+    """A region's texts between anchors: units' norms, items with their options."""
+    rows = side[side["anchor"] == 0]
+    if "options" not in side.columns:
+        return [t or "" for t in rows["norm"]]
+    return [Item([(o["provenance"], o["evidence_id"], o["norm"]) for o in held]) for held in rows["options"]]
+
+
+def budget_regions(units: DataFrame, items: DataFrame, *, cells: int = REGION_CELLS, total_cells: int = TOTAL_CELLS, total_work: int = TOTAL_WORK) -> DataFrame:
+    """audio_id, region, reason (null: to be aligned). units and items: as with_regions gives them.
+
+    A region over its own budget of cells or work stays out, and so does one that finds too little
+    left of the recording's budgets, which regions use up in order.
+    """
+
+    def cost(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        us, ts = _texts(left.sort_values("pos")), [t if isinstance(t, Item) else Item(t) for t in _texts(right.sort_values("pos"))]
+        n = len(us) * len(ts)
+        return pd.DataFrame([(int(key[0]), int(key[1]), n, region_work(us, ts) if n <= cells else 0)], columns=["audio_id", "region", "cells", "work"])
+
+    def spend(key: tuple, rows: list[tuple]) -> list[tuple]:
+        room, work, out = total_cells, total_work, []
+        for region, n, cost in rows:
+            reason = None
+            if n > room:
+                reason = "total_budget_exceeded"
+            else:
+                room -= n
+                if n > cells:
+                    reason = "region_too_large"
+                elif cost > min(REGION_WORK, work):
+                    reason = "work_budget_exceeded"
+                else:
+                    work -= cost
+            out.append((*key, region, reason))
+        return out
+
+    costs = units.groupBy("audio_id", "region").cogroup(items.groupBy("audio_id", "region")).applyInPandas(cost, "audio_id long, region long, cells long, work long")
+    return walk_groups(costs, ["audio_id"], ["region"], ["region", "cells", "work"], spend, "audio_id long, region long, reason string")
 
 
-def align_scripts(units: DataFrame, items: DataFrame, cells: int = REGION_CELLS) -> DataFrame:
+def align_scripts(units: DataFrame, items: DataFrame, cells: int = REGION_CELLS, **budgets: int) -> DataFrame:
     """Matches of script units to timeline items with band, relation and review flag.
 
-    Regions between anchors align on their own, one kernel call each; one over the cell budget is
-    left unmatched and says so. units, items: audio_id, pos, norm.
+    Regions between anchors align on their own, one kernel call each, within the budgets of region
+    and recording; one over them is left unmatched and says so. units, items: audio_id, pos, norm;
+    items may have options (an array of provenance, evidence_id, norm), of which matches take the
+    best variant (G5).
     """
     u, t = with_regions(units, items)
     t = t.select(*[F.col(c).alias(c) for c in t.columns])  # both sides may come from one table
+    plan = checkpoint(budget_regions(u, t, cells=cells, **budgets))
+    u = u.join(plan, ["audio_id", "region"], "left")
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         audio, region = int(key[0]), int(key[1])
         left, right = left.sort_values("pos"), right.sort_values("pos")
         lu, lt = left[left["anchor"] == 0], right[right["anchor"] == 0]
-        us, ts = list(lu["norm"]), list(lt["norm"])
+        us, ts = _texts(left), _texts(right)
+        why = next((r for r in left["reason"] if isinstance(r, str)), None)
         out = []
-        if len(us) * len(ts) > cells:
-            out.append((audio, region, int(lu["pos"].iat[0]), 0, int(lt["pos"].iat[0]), 0, 0.0, None, False, "region_too_large"))
+        if us and ts and why:
+            out.append((audio, region, int(lu["pos"].iat[0]), 0, int(lt["pos"].iat[0]), 0, 0.0, None, None, False, why))
         elif us and ts:
             steps, margin = align_region(us, ts)
-            for i, a, j, b, s in steps:
-                out.append((audio, region, int(lu["pos"].iat[i]), a, int(lt["pos"].iat[j]), b, s, margin, False, None))
+            for i, a, j, b, s, ids in steps:
+                out.append((audio, region, int(lu["pos"].iat[i]), a, int(lt["pos"].iat[j]), b, s, list(filter(None, ids)), margin, False, None))
         for x, y in zip(left[left["anchor"] == 1]["pos"], right[right["anchor"] == 1]["pos"]):
-            out.append((audio, region, int(x), 1, int(y), 1, 1.0, None, True, None))
+            out.append((audio, region, int(x), 1, int(y), 1, 1.0, [], None, True, None))
         return pd.DataFrame(out, columns=[c.split()[0] for c in MATCH.split(", ")])
 
     rows = u.groupBy("audio_id", "region").cogroup(t.groupBy("audio_id", "region")).applyInPandas(run, MATCH)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import SUPPORT_RATIO, norm_text
 from .graph import checkpoint
-from .intervals import END, START, assign_ids, with_islands
+from .intervals import END, START, assign_ids, overlap_join, with_islands
+from .walk import walk_groups
 
 
 def with_words(c: DataFrame) -> DataFrame:
@@ -60,30 +61,30 @@ def group_candidates(c: DataFrame, support: Callable[[str, str], bool] = python_
     """
     rows = with_islands(c, "audio_id", slack_ms).withColumn("norm", norm_text(F.col("text")))
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, held: list[tuple]) -> list[tuple]:
         groups: list[dict] = []
         owner: dict[int, int] = {}
-        for r in pdf.sort_values([START, END, "event_id"]).itertuples():
+        for event, start, end, run_key, norm in held:
             home = None
             for g in reversed(groups):
-                if r.start_ms > g["end"] + slack_ms:
+                if start > g["end"] + slack_ms:
                     break
-                if r.run_key in g["runs"]:
+                if run_key in g["runs"]:
                     continue
-                if (r.start_ms < g["end"] and r.end_ms > g["start"]) or any(support(r.norm, t) for t in g["texts"]):
+                if (start < g["end"] and end > g["start"]) or any(support(norm, t) for t in g["texts"]):
                     home = g
                     break
             if home is None:
-                home = {"id": r.event_id, "start": r.start_ms, "end": r.end_ms, "runs": set(), "texts": []}
+                home = {"id": event, "start": start, "end": end, "runs": set(), "texts": []}
                 groups.append(home)
-            home["start"], home["end"] = min(home["start"], r.start_ms), max(home["end"], r.end_ms)
-            home["runs"].add(r.run_key)
-            home["texts"].append(r.norm)
-            owner[r.event_id] = home["id"]
-        return pd.DataFrame({"event_id": list(owner), "grp": list(owner.values())})
+            home["start"], home["end"] = min(home["start"], start), max(home["end"], end)
+            home["runs"].add(run_key)
+            home["texts"].append(norm)
+            owner[event] = home["id"]
+        return list(owner.items())
 
-    slim = rows.select("audio_id", "island", "event_id", START, END, "run_key", "norm")
-    return slim.groupBy("audio_id", "island").applyInPandas(walk, "event_id long, grp long")
+    cols = ["event_id", START, END, "run_key", "norm"]
+    return walk_groups(rows.select("audio_id", "island", *cols), ["audio_id", "island"], [START, END, "event_id"], cols, walk, "event_id long, grp long")
 
 
 def slice_groups(members: DataFrame, max_ms: int = 15_000) -> DataFrame:
@@ -93,24 +94,25 @@ def slice_groups(members: DataFrame, max_ms: int = 15_000) -> DataFrame:
     short = bounds.filter(fits).select("audio_id", "grp", F.col("g_start").alias(START), F.col("g_end").alias(END), F.lit(False).alias("cut"))
     rows = members.join(bounds.filter(~fits), ["audio_id", "grp"]).select("audio_id", "grp", "g_start", "g_end", F.flatten(F.transform("words", lambda w: F.array(w["s"], w["e"]))).alias("edges"))
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, last, out = int(pdf["g_start"].iat[0]), int(pdf["g_end"].iat[0]), []
-        edges = sorted({int(x) for row in pdf["edges"] for x in row if at < x < last})
+    def cut(key: tuple, held: list[tuple]) -> list[tuple]:
+        at, last, out = held[0][0], held[0][1], []
+        edges = sorted({x for r in held for x in r[2] if at < x < last})
         while last - at > max_ms:
-            to = max((x for x in edges if at + 50 < x <= at + max_ms), default=at + max_ms)
-            out.append((pdf["audio_id"].iat[0], pdf["grp"].iat[0], at, to, True))
+            k = bisect_right(edges, at + max_ms) - 1
+            to = edges[k] if k >= 0 and edges[k] > at + 50 else at + max_ms
+            out.append((*key, at, to, True))
             at = to
         if last > at:
-            out.append((pdf["audio_id"].iat[0], pdf["grp"].iat[0], at, last, True))
-        return pd.DataFrame(out, columns=["audio_id", "grp", START, END, "cut"])
+            out.append((*key, at, last, True))
+        return out
 
-    return short.unionByName(rows.groupBy("audio_id", "grp").applyInPandas(cut, short.schema))
+    return short.unionByName(walk_groups(rows, ["audio_id", "grp"], [], ["g_start", "g_end", "edges"], cut, short.schema))
 
 
 def fragments(c: DataFrame, slices: DataFrame, by: list[str]) -> DataFrame:
     """What of each candidate belongs to a slice: words with their middle inside, or the whole of one without words (I4)."""
     s = slices.withColumnsRenamed({START: "s_start", END: "s_end"})
-    rows = c.join(s, by)
+    rows = overlap_join(c, s, by, (START, END), ("s_start", "s_end"))
     inside = F.filter("words", lambda w: (w["s"] + w["e"] >= 2 * F.col("s_start")) & (w["s"] + w["e"] < 2 * F.col("s_end")))
     rows = rows.withColumn("mine", inside).withColumn("worded", F.size("words") > 0)
     whole = ~F.col("worded") & (F.col(START) + F.col(END) >= 2 * F.col("s_start")) & (F.col(START) + F.col(END) < 2 * F.col("s_end"))

@@ -189,10 +189,10 @@ def dice(a: str, b: str) -> str:
 def text_pairs(s, d) -> DataFrame:
     b = table(s, d, "benchmark")
     other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
-    return b.join(other, "item_id").select("item_id", F.substring("text", 1, 40).alias("a"), F.substring("other", 1, 50).alias("b"))
+    return b.join(other, "item_id").select("item_id", F.col("text").alias("a"), F.col("other").alias("b"))
 
 
-P = "p AS (SELECT x.item_id, substr(x.text, 1, 40) AS a, substr(y.text, 1, 50) AS b FROM benchmark x JOIN benchmark y ON y.item_id = x.item_id + 1)"
+P = "p AS (SELECT x.item_id, x.text AS a, y.text AS b FROM benchmark x JOIN benchmark y ON y.item_id = x.item_id + 1)"
 
 
 @query("j10_bigram_dice", P + f" SELECT item_id, {dice('a', 'b')} AS dice FROM p")

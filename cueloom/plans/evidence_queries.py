@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import norm_text
 from ..operators import evidence as ev, intervals as iv, rescue as rs
+from ..operators.graph import checkpoint
 from .fixtures import fx
 from .registry import query
 
@@ -317,11 +318,20 @@ def _(s, d):
     return rs.plan_targets(c, fx(s, d, "fx_duration"), max_windows=10**6, max_total_ms=10**9, ratio=10.0, near_full=2.0)[0].select("audio_id", "window_id", "start_ms", "end_ms")
 
 
-def wins(s, d):
-    al = ev.align_candidates(cand(s, d))
-    return al.join(ev.label_windows(al, labels(s, d)).select("audio_id", "component", "start_ms", "end_ms", "label"), ["audio_id", "component", "start_ms", "end_ms"])
+def judged(s, d) -> tuple[DataFrame, DataFrame]:
+    """Labels, and windows with their members and label; both written once."""
+    lab, al = checkpoint(labels(s, d)), checkpoint(ev.align_candidates(cand(s, d)))
+    keys = ["audio_id", "component", "start_ms", "end_ms"]
+    return lab, al.join(ev.label_windows(al, lab).select(*keys, "label"), keys)
 
 
+BUDGET = """k AS (SELECT g.*, kk.k FROM g JOIN range(1, 25) kk(k) ON kk.k <= g.n WHERE kk.k = g.n OR (kk.k = 1 AND pos = floor(n / 2)) OR (kk.k > 1 AND list_contains([CAST(round_even(i * (n - 1) / (kk.k - 1), 0) AS BIGINT) for i in range(kk.k)], pos))),
+cost AS (SELECT audio_id, prio, k, sum(e - s) AS cost, count(*) AS size FROM k GROUP BY audio_id, prio, k),
+st(audio_id, lvl, room, slots, k) AS (
+  SELECT audio_id, -1, least(180000, greatest(least(duration_ms, 12000), duration_ms * 1.0)), 24, 0 FROM fx_duration
+  UNION ALL
+  SELECT st.audio_id, st.lvl + 1, st.room - coalesce(b.cost, 0), st.slots - coalesce(b.size, 0), coalesce(b.k, 0) FROM st LEFT JOIN LATERAL (SELECT c.k, c.cost, c.size FROM cost c WHERE c.audio_id = st.audio_id AND c.prio = st.lvl + 1 AND c.cost <= st.room AND c.size <= st.slots ORDER BY c.k DESC LIMIT 1) b ON TRUE WHERE st.lvl < 3)"""
+
 TARGETS = ALL.strip() + """,
 main_ AS (SELECT c.*, label, coalesce(no_speech_prob >= 0.5, FALSE) OR coalesce(avg_logprob <= -0.8, FALSE) AS odd FROM fx_candidate c JOIN (SELECT event_id, label FROM labels) USING (event_id) WHERE source_channel = 'main'),
 wl AS (SELECT audio_id, component, start_ms, end_ms FROM wins JOIN (SELECT event_id, label FROM labels) USING (event_id) GROUP BY audio_id, component, start_ms, end_ms HAVING NOT bool_or(label = 'supported') AND NOT bool_and(label = 'hallucination')),
@@ -339,22 +349,27 @@ raw_t AS (
 
 @query("h2_rescue_targets", TARGETS + " SELECT audio_id, CAST(s AS BIGINT) AS start_ms, CAST(e AS BIGINT) AS end_ms, reason FROM raw_t", CD)
 def _(s, d):
-    return rs.rescue_targets(cand(s, d), labels(s, d), wins(s, d), fx(s, d, "fx_duration"))
+    return rs.rescue_targets(cand(s, d), *judged(s, d), fx(s, d, "fx_duration"))
+
 
+PLANNED = TARGETS + """,
+pt0 AS (SELECT audio_id, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, reason, CASE reason WHEN 'quarantined_candidate_region' THEN 0 WHEN 'main_channel_gap' THEN 1 WHEN 'abnormally_long_segment' THEN 3 ELSE 2 END AS p FROM raw_t),
+pt1 AS (SELECT *, max(e) OVER (PARTITION BY audio_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bf FROM pt0),
+pt2 AS (SELECT *, sum(CASE WHEN bf IS NULL OR s > bf THEN 1 ELSE 0 END) OVER (PARTITION BY audio_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM pt1),
+pt3 AS (SELECT audio_id, min(s) AS s, max(e) AS e, min(p) AS prio, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM pt2 GROUP BY audio_id, island),
+pt4 AS (SELECT audio_id, e, prio, reasons, unnest(CASE WHEN e - s <= 12000 THEN [s] ELSE range(s, greatest(s, e - 2001) + 1, 10000) END) AS s FROM pt3 WHERE e > s),
+g AS (SELECT audio_id, s, least(s + 12000, e) AS e, prio, reasons, row_number() OVER (PARTITION BY audio_id, prio ORDER BY s, least(s + 12000, e)) - 1 AS pos, count(*) OVER (PARTITION BY audio_id, prio) AS n FROM pt4),
+""" + BUDGET + " SELECT k.audio_id, printf('R%06d', row_number() OVER (PARTITION BY k.audio_id ORDER BY k.s, k.e)) AS window_id, k.s AS start_ms, k.e AS end_ms, k.reasons FROM k JOIN st ON st.audio_id = k.audio_id AND st.lvl = k.prio AND st.k = k.k"
 
-@query("l3_rescue_plan")
+
+@query("l3_rescue_plan", PLANNED, CD)
 def _(s, d):
-    return rs.plan_rescue(cand(s, d), labels(s, d), wins(s, d), fx(s, d, "fx_duration")).select("audio_id", "window_id", "start_ms", "end_ms", F.array_join("reasons", ",").alias("reasons"))
+    return rs.plan_rescue(cand(s, d), *judged(s, d), fx(s, d, "fx_duration")).select("audio_id", "window_id", "start_ms", "end_ms", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("g3_budget", """w AS (SELECT audio_id, event_id, start_ms AS s, start_ms + 7000 AS e, event_id % 4 AS prio FROM fx_candidate),
 g AS (SELECT *, row_number() OVER (PARTITION BY audio_id, prio ORDER BY s, e) - 1 AS pos, count(*) OVER (PARTITION BY audio_id, prio) AS n FROM w),
-k AS (SELECT g.*, kk.k FROM g JOIN range(1, 25) kk(k) ON kk.k <= g.n WHERE kk.k = g.n OR (kk.k = 1 AND pos = floor(n / 2)) OR (kk.k > 1 AND list_contains([CAST(round_even(i * (n - 1) / (kk.k - 1), 0) AS BIGINT) for i in range(kk.k)], pos))),
-cost AS (SELECT audio_id, prio, k, sum(e - s) AS cost, count(*) AS size FROM k GROUP BY audio_id, prio, k),
-st(audio_id, lvl, room, slots, k) AS (
-  SELECT audio_id, -1, least(180000, greatest(least(duration_ms, 12000), duration_ms * 1.0)), 24, 0 FROM fx_duration
-  UNION ALL
-  SELECT st.audio_id, st.lvl + 1, st.room - coalesce(b.cost, 0), st.slots - coalesce(b.size, 0), coalesce(b.k, 0) FROM st LEFT JOIN LATERAL (SELECT c.k, c.cost, c.size FROM cost c WHERE c.audio_id = st.audio_id AND c.prio = st.lvl + 1 AND c.cost <= st.room AND c.size <= st.slots ORDER BY c.k DESC LIMIT 1) b ON TRUE WHERE st.lvl < 3)
+""" + BUDGET + """
 SELECT k.audio_id, k.s AS start_ms, k.e AS end_ms FROM k JOIN st ON st.audio_id = k.audio_id AND st.lvl = k.prio AND st.k = k.k""", CD)
 def _(s, d):
     names = F.element_at(F.array(F.lit("quarantined_candidate_region"), F.lit("main_channel_gap"), F.lit("uncertain_candidate"), F.lit("abnormally_long_segment")), (F.col("event_id") % 4 + 1).cast("int"))

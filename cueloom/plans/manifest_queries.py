@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import fingerprint
-from ..operators import manifests as mf
+from ..operators import graph, manifests as mf
 from .cue_queries import CUE, cue
 from .fixtures import fx, table
 from .registry import query
@@ -87,3 +87,25 @@ def _(s, d):
 def _(s, d):
     names = F.array(*map(F.lit, ("detected", "aligned", "split", "unresolved")))
     return mf.summarize(cue(s, d).withColumn("status", F.element_at(names, (F.col("cue_index") % 4 + 1).cast("int"))), "status")
+
+
+def _folder(s) -> str:
+    import uuid
+
+    return f"{graph.shared_dir(s)}/cueloom/{uuid.uuid4().hex}"
+
+
+@query("a1_media_assets", "SELECT sum(strlen(p_name) + 1)::BIGINT AS size_bytes FROM part")
+def _(s, d):
+    """A folder with files of two suffixes; those of one are listed."""
+    where, names = _folder(s), table(s, d, "part").select("p_name")
+    names.write.text(where)
+    names.write.mode("append").parquet(where)
+    return mf.list_assets(s, where, ("txt", "mp3")).agg(F.sum("size_bytes").alias("size_bytes"))
+
+
+@query("a11_script_files", "SELECT sum(strlen(text) + 1)::BIGINT AS size_bytes FROM benchmark")
+def _(s, d):
+    where = _folder(s)
+    table(s, d, "benchmark").select("text").write.text(where)
+    return mf.list_scripts(s, where).agg(F.sum("size_bytes").alias("size_bytes"))

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..operators import batches as bt, graph, long_cues as lc, manifests as mf, script_alignment as sa
+from ..functions.text import bigram_dice
+from ..operators import batches as bt, graph, jobs, long_cues as lc, manifests as mf, script_alignment as sa
 from ..sources import evidence as sv, subtitles as st
 from ..streaming import streams
-from .cue_queries import CUE, cue
+from .cue_queries import CUE, cue, dice
 from .evidence_queries import C, cand
 from .fixtures import fx, table
 from .registry import query
-from .script_queries import batched, replies, whole_sides
+from .script_queries import batched, replies, sides
 
 
 def long_cues(s, d) -> DataFrame:
@@ -27,14 +28,14 @@ def cue_words(s, d) -> DataFrame:
     return rows.select("audio_id", "cue_index", F.when(F.col("p") % 9 == 8, F.lit("zz")).otherwise(F.col("w")).alias("text"), at(F.col("p")).alias("start_ms"), at(F.col("p") + 1).alias("end_ms"), (0.4 + F.col("p") % 5 / 10).alias("probability"), F.col("p").alias("pos"))
 
 
-SPAN = """w AS (SELECT item_id AS cue, unnest(range(len(p))) AS pos, unnest(p) AS t FROM (SELECT item_id, string_split(substr(text, 1, 80), ' ') AS p FROM benchmark)),
+SPAN = """w AS (SELECT item_id AS cue, unnest(range(len(p))) AS pos, unnest(p) AS t FROM (SELECT item_id, string_split(text, ' ') AS p FROM benchmark)),
 n AS (SELECT cue, pos, lower(regexp_replace(t, '[^A-Za-z0-9]', '', 'g')) AS norm FROM w),
 u AS (SELECT *, sum(length(norm)) OVER (PARTITION BY cue ORDER BY pos) AS upto FROM n WHERE norm <> ''),
 sp AS (SELECT a.cue, a.pos AS first_word, b.pos AS last_word, b.upto - a.upto + length(a.norm) AS chars FROM u a JOIN u b ON a.cue = b.cue AND b.pos >= a.pos AND b.upto - a.upto + length(a.norm) <= 28)"""
 
 
 def bench_words(s, d) -> DataFrame:
-    b = table(s, d, "benchmark").select(F.col("item_id").alias("cue"), F.posexplode(F.split(F.substring("text", 1, 80), " ")).alias("pos", "t"))
+    b = table(s, d, "benchmark").select(F.col("item_id").alias("cue"), F.posexplode(F.split("text", " ")).alias("pos", "t"))
     return b.select("cue", "pos", F.lower(F.regexp_replace("t", "[^A-Za-z0-9]", "")).alias("norm"), F.lit(0).alias("start_ms"), F.lit(1).alias("end_ms"), (F.col("pos") % 4 / 4).alias("probability"), F.lit(12).alias("target_chars"))
 
 
@@ -59,13 +60,44 @@ def _(s, d):
     return lc.align_long_cues(long_cues(s, d), cue_words(s, d)).filter("status <> 'unresolved'").select("audio_id", "cue_index", "ord", "similarity", "coverage", "probability")
 
 
-@query("f14_attempt_consensus", """a AS (SELECT audio_id, cue_index, start_ms AS s1, end_ms AS e1, start_ms + cue_index * 10 AS s2, end_ms - CASE WHEN cue_index % 5 = 0 THEN end_ms ELSE 20 END AS e2 FROM fx_cue)
-SELECT audio_id, cue_index, greatest(s1, s2) AS start_ms, least(e1, e2) AS end_ms, greatest(s1, s2) < least(e1, e2) AS agreed, greatest(abs(s1 - s2), abs(e1 - e2)) AS cue_shift_ms FROM a""", CUE)
-def _(s, d):
+TRIES = """a AS (SELECT audio_id, cue_index, 0 AS attempt, 0 AS ord, start_ms AS s, end_ms AS e FROM fx_cue),
+b AS (SELECT audio_id, cue_index, 1, 0, start_ms + cue_index * 10, end_ms - CASE WHEN cue_index % 5 = 0 THEN end_ms ELSE 20 END FROM fx_cue
+  UNION ALL SELECT audio_id, cue_index, 1, 1, end_ms - 10, end_ms FROM fx_cue WHERE cue_index % 7 = 3),
+tr(audio_id, cue_index, attempt, ord, s, e) AS (SELECT * FROM a UNION ALL SELECT * FROM b),
+sz AS (SELECT audio_id, cue_index, count(*) FILTER (attempt = 0) = count(*) FILTER (attempt = 1) AS same_n FROM tr GROUP BY audio_id, cue_index),
+od AS (SELECT audio_id, cue_index, ord, max(s) AS s, min(e) AS e, count(*) = 2 AND max(s) < min(e) AS fits, greatest(max(s) - min(s), max(e) - min(e)) AS shift FROM tr GROUP BY audio_id, cue_index, ord),
+co AS (SELECT audio_id, cue_index, ord, s, e, bool_and(fits AND same_n) OVER w AS agreed, CASE WHEN same_n THEN max(shift) OVER w ELSE 15001 END AS cue_shift_ms FROM od JOIN sz USING (audio_id, cue_index) WINDOW w AS (PARTITION BY audio_id, cue_index))"""
+
+
+def attempts(s, d) -> DataFrame:
+    """Two attempts at every cue; some of the second have another end, some another number of parts."""
     i = F.col("cue_index")
-    one = cue(s, d).select("audio_id", "cue_index", F.lit(0).alias("ord"), "start_ms", "end_ms", F.lit("t").alias("text"))
-    two = one.withColumns({"start_ms": F.col("start_ms") + i * 10, "end_ms": F.col("end_ms") - F.when(i % 5 == 0, F.col("end_ms")).otherwise(20)})
-    return lc.consensus(one.unionByName(two)).select("audio_id", "cue_index", "start_ms", "end_ms", "agreed", "cue_shift_ms")
+    one = cue(s, d).select("audio_id", "cue_index", F.lit(0).alias("attempt"), F.lit(0).alias("ord"), "start_ms", "end_ms", F.lit("t").alias("text"))
+    two = one.withColumns({"attempt": F.lit(1), "start_ms": F.col("start_ms") + i * 10, "end_ms": F.col("end_ms") - F.when(i % 5 == 0, F.col("end_ms")).otherwise(20)})
+    more = one.filter(i % 7 == 3).withColumns({"attempt": F.lit(1), "ord": F.lit(1), "start_ms": F.col("end_ms") - 10})
+    return one.unionByName(two).unionByName(more)
+
+
+@query("f14_attempt_consensus", TRIES + " SELECT audio_id, cue_index, ord, s AS start_ms, e AS end_ms, agreed, cue_shift_ms FROM co", CUE)
+def _(s, d):
+    return lc.consensus(attempts(s, d)).select("audio_id", "cue_index", "ord", "start_ms", "end_ms", "agreed", "cue_shift_ms")
+
+
+@query("f14_attempt_choice", TRIES + """,
+sc AS (SELECT audio_id, cue_index, attempt, min(0.55 * ((cue_index + ord) % 10) / 10 + 0.35 * ((cue_index * 3 + attempt) % 10) / 10 + 0.1 * least(1.0, (cue_index + attempt) % 3 / 2)) AS score FROM tr WHERE NOT (attempt = 1 AND cue_index % 4 = 1) AND cue_index % 11 <> 5 GROUP BY audio_id, cue_index, attempt),
+al AS (SELECT audio_id, cue_index, attempt, cue_index * (attempt + 1) % 13 AS n_words, CASE WHEN cue_index % 11 = 5 OR attempt = 1 AND cue_index % 4 = 1 THEN 'unresolved' WHEN cue_index % 6 = 0 THEN 'split' ELSE 'aligned' END AS status FROM (SELECT DISTINCT audio_id, cue_index, attempt FROM tr)),
+rk AS (SELECT al.*, score, row_number() OVER (PARTITION BY audio_id, cue_index ORDER BY score IS NULL, coalesce(score, n_words) DESC, attempt) AS rn, count(score) OVER (PARTITION BY audio_id, cue_index) AS resolved FROM al LEFT JOIN sc USING (audio_id, cue_index, attempt)),
+c1 AS (SELECT audio_id, cue_index, max(cue_shift_ms) AS shift, bool_and(agreed) AS agreed FROM co GROUP BY audio_id, cue_index)
+SELECT audio_id, cue_index, attempt, status, CASE WHEN resolved > 1 THEN shift END AS shift_ms, resolved > 1 AND agreed AS bounds_agreed, status = 'split' OR resolved < 2 OR coalesce(CASE WHEN resolved > 1 THEN shift END, 0) > 1500 AS review_required
+FROM rk JOIN c1 USING (audio_id, cue_index) WHERE rn = 1""", CUE)
+def _(s, d):
+    i, k = F.col("cue_index"), F.col("attempt")
+    lost = (i % 11 == 5) | ((k == 1) & (i % 4 == 1))
+    parts = attempts(s, d).withColumns({"similarity": (i + F.col("ord")) % 10 / 10, "coverage": (i * 3 + k) % 10 / 10, "probability": (i + k) % 3 / 2})
+    tries = parts.select("audio_id", "cue_index", "attempt").distinct().withColumns({
+        "status": F.when(lost, "unresolved").when(i % 6 == 0, "split").otherwise("aligned"), "n_words": i * (k + 1) % 13,
+    })
+    return lc.choose_attempts(parts.filter(~lost), tries)
 
 
 @query("l8_apply_proposals", """p AS (SELECT audio_id, cue_index AS si, start_ms AS s, end_ms AS e, text_zh AS t FROM fx_cue WHERE cue_index % 3 <> 0 OR length(text_zh) < 4
@@ -83,8 +115,7 @@ def _(s, d):
 
 
 def aligned(s, d) -> DataFrame:
-    u, i = whole_sides(s, d)
-    return sa.align_scripts(u, i)
+    return sa.align_scripts(*sides(s, d))
 
 
 @query("l9_script_alignment")
@@ -92,11 +123,41 @@ def _(s, d):
     return aligned(s, d)
 
 
-@query("g5_best_variants")
+@query("l9_alignment_summary")
 def _(s, d):
+    """L9's matches counted by relation and band."""
     return aligned(s, d).groupBy("audio_id", "relation", "band").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("g5_best_variants", f"""g AS (SELECT audio_id, cue_index AS grp, text_zh AS want FROM fx_cue),
+op AS (SELECT audio_id, cue_index AS grp, 0 AS place, 'main' AS provenance, printf('b%05d', cue_index) AS id, text_zh AS norm FROM fx_cue
+  UNION ALL SELECT audio_id, cue_index, 0, 'main', printf('a%05d', cue_index), substr(text_zh, 3) FROM fx_cue UNION ALL SELECT audio_id, cue_index, 0, 'main', printf('c%05d', cue_index), text_zh FROM fx_cue
+  UNION ALL SELECT audio_id, cue_index, 0, 'rescue', printf('r%05d', cue_index), substr(text_zh, 2) FROM fx_cue
+  UNION ALL SELECT audio_id, cue_index - 1, 1, 'main', printf('d%05d', cue_index), substr(text_zh, 1, 4) FROM fx_cue WHERE cue_index % 2 = 1
+  UNION ALL SELECT audio_id, cue_index - 1, 1, CASE WHEN cue_index % 3 = 0 THEN 'main' ELSE 'rescue' END, printf('e%05d', cue_index), text_zh FROM fx_cue WHERE cue_index % 2 = 1),
+du AS (SELECT audio_id, grp, place, provenance, norm, min(id) AS id FROM op WHERE norm <> '' GROUP BY audio_id, grp, place, provenance, norm),
+np AS (SELECT audio_id, grp, max(place) AS last FROM op GROUP BY audio_id, grp),
+va AS (SELECT audio_id, grp, norm AS b, id AS ids FROM du JOIN np USING (audio_id, grp) WHERE last = 0
+  UNION ALL SELECT x.audio_id, x.grp, x.norm || y.norm, x.id || ',' || y.id FROM du x JOIN du y ON x.audio_id = y.audio_id AND x.grp = y.grp AND x.provenance = y.provenance AND x.place = 0 AND y.place = 1),
+vs AS (SELECT g.audio_id, g.grp, want AS a, b, ids FROM g JOIN va USING (audio_id, grp)),
+sc AS (SELECT audio_id, grp, b, ids, abs(length(a) - length(b)) AS away, CASE WHEN a = b THEN 1.0 WHEN least(length(a), length(b)) <= 2 THEN 0.0 ELSE 0.85 * {dice('a', 'b')} + 0.15 * (least(length(a), length(b)) / greatest(length(a), length(b))) END AS score FROM vs)
+SELECT audio_id, grp, ids, b AS norm, score FROM (SELECT *, row_number() OVER (PARTITION BY audio_id, grp ORDER BY score DESC, away, ids, b) AS rn FROM sc) WHERE rn = 1""", CUE)
+def _(s, d):
+    """Every cue's text against candidates of one or two items, of two provenances, with repeats."""
+    c, i = cue(s, d).filter("text_zh is not null"), F.col("cue_index")
+    one = lambda p, tag, text, place=0, at=i: (F.lit(place).alias("place"), F.struct(F.lit(p).alias("provenance") if isinstance(p, str) else p.alias("provenance"), F.format_string(tag + "%05d", i).alias("evidence_id"), text.alias("norm")).alias("o"), at.alias("grp"))
+    t, odd = F.col("text_zh"), c.filter(i % 2 == 1)
+    options = c.select("audio_id", *one("main", "b", t))
+    for rows, cols in (
+        (c, one("main", "a", F.expr("substring(text_zh, 3)"))), (c, one("main", "c", t)), (c, one("rescue", "r", F.expr("substring(text_zh, 2)"))),
+        (odd, one("main", "d", F.substring(t, 1, 4), 1, i - 1)), (odd, one(F.when(i % 3 == 0, "main").otherwise("rescue"), "e", t, 1, i - 1)),
+    ):
+        options = options.unionByName(rows.select("audio_id", *cols))
+    groups = c.select("audio_id", i.alias("grp"), F.col("text_zh").alias("want"))
+    best = sa.best_variants(groups, options.select("audio_id", "grp", "place", "o.*"), sim=bigram_dice)
+    return best.select("audio_id", "grp", F.array_join("evidence_ids", ",").alias("ids"), "norm", "score")
+
+
 @query("k5_alignment_contract", """SELECT conv_id AS audio_id, turn AS first_unit, 'bad_band' AS rule FROM conversations WHERE turn % 3 = 1
 UNION ALL SELECT conv_id, turn, 'unit_overlap' FROM conversations WHERE turn > 0 AND turn % 4 = 2 AND turn - 1 >= 0""")
 def _(s, d):
@@ -133,15 +194,10 @@ def _(s, d):
 def _(s, d):
     """Stale recordings, batched, reconciled, rendered, with change counts."""
     c = cue(s, d).select("audio_id", "cue_index", "start_ms", "end_ms", F.replace("text_ja", F.lit("\n"), F.lit(" ")).alias("text"))
-    inputs = c.groupBy("audio_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cue_index", "text"))), lambda x: x["text"]), "\n"), 256).alias("sha"))
+    inputs = jobs.text_fingerprints(c)
     done = inputs.filter("audio_id % 3 = 0").select("audio_id", F.lit("complete").alias("status"), F.col("sha").alias("input_sha"), F.col("sha").alias("output_sha"))
     stale = mf.stale_keys(done, inputs, inputs.filter("audio_id % 3 = 0"), "audio_id")
-    rows = bt.reconcile(batched(s, d), replies(s, d)).join(stale, "audio_id", "left_semi").withColumn("pos", F.col("batch") * 4 + F.col("place"))
-    placed = c.withColumn("pos", F.row_number().over(Window.partitionBy("audio_id").orderBy("cue_index")) - 1)
-    after = placed.join(rows.select("audio_id", "pos", F.col("text").alias("new")), ["audio_id", "pos"])
-    srt = st.render_srt(after.withColumn("text", F.col("new")))
-    changed = after.groupBy("audio_id").agg(F.count_if(F.trim("text") != F.trim("new")).alias("n_changed"))
-    return srt.join(changed, "audio_id")
+    return jobs.run_stage(c, stale, batched(s, d), replies(s, d), batch_size=4)
 
 
 @query("b3_versioned_write", "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'input_changed' ELSE 'written' END AS outcome FROM fx_manifest", ("fx_manifest",))
@@ -203,30 +259,37 @@ def _(s, d):
 
 @query("m2_upsert_stream", "SELECT run_key, count(*) AS n FROM fx_candidate GROUP BY run_key", C)
 def _(s, d):
-    base, state = _shared(s), {"n": 0}
-    rows = cand(s, d)
+    rows, base = cand(s, d), _shared(s)
+    for _k in range(2):  # the second arrival replaces the first
+        streams.upsert_stream(_as_stream(s, rows), f"{base}/table", _shared(s)).awaitTermination()
+    return s.read.parquet(f"{base}/table").groupBy("run_key").agg(F.count(F.lit(1)).alias("n"))
 
-    def read():
-        return s.read.parquet(f"{base}/{state['n']}") if state["n"] else None
 
-    def write(df):
-        df.write.parquet(f"{base}/{state['n'] + 1}")
-        state["n"] += 1
+SESSIONS = """x AS (SELECT *, lag(start_ms) OVER (PARTITION BY audio_id ORDER BY start_ms) AS last FROM fx_candidate),
+y AS (SELECT *, sum(CASE WHEN last IS NULL OR start_ms - last >= 1500 THEN 1 ELSE 0 END) OVER (PARTITION BY audio_id ORDER BY start_ms) AS stretch FROM x),
+ss AS (SELECT audio_id, count(*) AS n, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM y GROUP BY audio_id, stretch)"""
 
-    for _k in range(2):  # the second arrival replaces the first
-        streams.upsert_stream(_as_stream(s, rows), read, write, _shared(s)).awaitTermination()
-    return read().groupBy("run_key").agg(F.count(F.lit(1)).alias("n"))
+
+def sessions(s, d) -> DataFrame:
+    return _totals(s, streams.speech_sessions(_as_stream(s, cand(s, d).select("audio_id", "start_ms", "end_ms"))))
 
 
-@query("m3_speech_sessions")
+@query("m3_speech_sessions", SESSIONS + " SELECT audio_id, n, start_ms, end_ms FROM ss", C)
 def _(s, d):
-    return _totals(s, streams.speech_sessions(_as_stream(s, cand(s, d).select("audio_id", "start_ms", "end_ms"))))
+    return sessions(s, d)
+
+
+@query("m3_gap_alerts", SESSIONS + """, g AS (SELECT audio_id, start_ms, max(end_ms) OVER (PARTITION BY audio_id ORDER BY start_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ss)
+SELECT audio_id, before AS gap_start, start_ms AS gap_end FROM g WHERE start_ms - before >= 1500""", C)
+def _(s, d):
+    rows = cand(s, d).select("audio_id", "start_ms", "end_ms")
+    return _drained(s, streams.gap_alerts(_as_stream(s, rows)), "append").select("audio_id", "gap_start", "gap_end")
 
 
-@query("m4_usage_totals")
+@query("m4_usage_totals", "SELECT strftime(date_trunc('hour', ts::TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS hour, stage, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, count(*) AS calls FROM fx_usage JOIN events ON event_id = call_id GROUP BY 1, 2", ("fx_usage",))
 def _(s, d):
     calls = fx(s, d, "fx_usage").join(table(s, d, "events").select(F.col("event_id").alias("call_id"), F.col("ts").cast("timestamp").alias("ts")), "call_id")
-    return _totals(s, streams.usage_totals(_as_stream(s, calls)))
+    return _totals(s, streams.usage_totals(_as_stream(s, calls))).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("m5_distinct_queries", "SELECT event_type || ' ' || user_id % 7 AS query FROM events GROUP BY 1")

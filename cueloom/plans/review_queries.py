@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..operators import evidence as ev, review as rv, timeline as tl
+from ..operators import evidence as ev, intervals as iv, jobs, review as rv, timeline as tl
 from .cue_queries import CUE, cue
 from .evidence_queries import C, LABELS, cand, contains_only, joined, labels
 from .fixtures import fx
@@ -49,8 +49,27 @@ def _(s, d):
     return tl.group_candidates(cand(s, d), tl.contains_support)
 
 
-@query("i3_word_slices")
+def fours(c: DataFrame) -> DataFrame:
+    """event_id, grp: four candidates in a row."""
+    return c.select("event_id", F.floor(F.col("event_id") / 4).alias("grp"))
+
+
+@query("i3_word_slices", WORDS + """,
+g AS (SELECT audio_id, CAST(floor(event_id / 4) AS BIGINT) AS grp, min(start_ms) AS gs, max(end_ms) AS ge FROM fx_candidate GROUP BY ALL),
+ed AS (SELECT DISTINCT audio_id, CAST(floor(event_id / 4) AS BIGINT) AS grp, unnest([s, e]) AS x FROM wt JOIN fx_candidate USING (event_id)),
+cuts(audio_id, grp, a, b, e, cut) AS (
+  SELECT audio_id, grp, gs, CASE WHEN ge - gs <= 5000 THEN ge ELSE coalesce((SELECT max(x) FROM ed WHERE ed.audio_id = g.audio_id AND ed.grp = g.grp AND x > gs + 50 AND x <= gs + 5000), gs + 5000) END, ge, ge - gs > 5000 FROM g
+  UNION ALL
+  SELECT audio_id, grp, b, CASE WHEN e - b <= 5000 THEN e ELSE coalesce((SELECT max(x) FROM ed WHERE ed.audio_id = cuts.audio_id AND ed.grp = cuts.grp AND x > b + 50 AND x <= b + 5000), b + 5000) END, e, cut FROM cuts WHERE b < e)
+SELECT audio_id, grp, a AS start_ms, b AS end_ms, cut FROM cuts""", C)
+def _(s, d):
+    c = tl.with_words(cand(s, d))
+    return tl.slice_groups(c.join(fours(c), "event_id"), 5_000)
+
+
+@query("i3_slices_of_groups")
 def _(s, d):
+    """The same over greedy groups."""
     c = tl.with_words(cand(s, d))
     return tl.slice_groups(c.join(tl.group_candidates(c, tl.contains_support), "event_id"), 5_000)
 
@@ -83,28 +102,43 @@ def _(s, d):
     return tl.check_timeline(t)
 
 
-@query("e12_item_evidence")
+def loose_items(s, d) -> DataFrame:
+    """Items of four candidates in a row, whole, numbered in time order."""
+    c = tl.with_words(ev.with_labels(cand(s, d), labels(s, d)))
+    return iv.assign_ids(tl.build_items(c, fours(c), 10**9), "TL", "audio_id", ["start_ms", "end_ms", "anchor_id"], "timeline_id")
+
+
+LOOSE = LABELS.strip() + f""",
+li AS (SELECT c.*, label, CAST(floor(event_id / 4) AS BIGINT) AS grp, {RANK} AS rank, row_number() OVER (PARTITION BY audio_id, floor(event_id / 4) ORDER BY {RANK}, coalesce(avg_logprob, -100) DESC, event_id) AS place FROM fx_candidate c JOIN (SELECT event_id, label FROM labels) USING (event_id)),
+it AS (SELECT audio_id, grp, min(start_ms) AS start_ms, max(end_ms) AS end_ms, CASE WHEN bool_or(label = 'supported') THEN 'supported' ELSE 'uncertain' END AS classification, min(event_id) FILTER (place = 1) AS anchor_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY place) AS evidence_ids FROM li GROUP BY audio_id, grp),
+nu AS (SELECT *, printf('TL%06d', row_number() OVER (PARTITION BY audio_id ORDER BY start_ms, end_ms, anchor_id)) AS timeline_id FROM it)"""
+
+
+@query("e12_item_evidence", LOOSE + " SELECT audio_id, grp, timeline_id, start_ms, end_ms, classification, anchor_id, evidence_ids FROM nu", C)
 def _(s, d):
-    return timeline(s, d).groupBy("audio_id").agg(F.sum(F.size("evidence_ids")).alias("n_evidence"), F.count(F.lit(1)).alias("n_items"))
+    return loose_items(s, d).select("audio_id", "grp", "timeline_id", "start_ms", "end_ms", "classification", "anchor_id", joined("evidence_ids").alias("evidence_ids"))
 
 
-@query("c5_fusion_payload")
+@query("c5_fusion_payload", LOOSE + """ SELECT audio_id, timeline_id, '{"timeline_id":"' || timeline_id || '","classification":"' || classification || '","evidence_ids":[' || evidence_ids || ']}' AS payload FROM nu""", C)
 def _(s, d):
-    return tl.fusion_payload(timeline(s, d))
+    return tl.fusion_payload(loose_items(s, d))
 
 
-@query("d14_hydrated_candidates")
+@query("d14_hydrated_candidates", LOOSE + " SELECT audio_id, timeline_id, place - 1 AS place, event_id, text FROM li JOIN (SELECT audio_id, grp, timeline_id FROM nu) USING (audio_id, grp)", C)
 def _(s, d):
-    return tl.hydrate(timeline(s, d), cand(s, d))[0].select("audio_id", "timeline_id", "place", "event_id", "text")
+    return tl.hydrate(loose_items(s, d), cand(s, d))[0].select("audio_id", "timeline_id", "place", "event_id", "text")
+
+
+@query("e12_timeline_evidence")
+def _(s, d):
+    return timeline(s, d).groupBy("audio_id").agg(F.sum(F.size("evidence_ids")).alias("n_evidence"), F.count(F.lit(1)).alias("n_items"))
 
 
 @query("l17_evidence_audit")
 def _(s, d):
-    c, lab = cand(s, d), labels(s, d)
-    t = tl.build_timeline(c, lab, tl.contains_support)
-    w = ev.label_windows(ev.align_candidates(c), lab)
-    by = lambda df, name: df.groupBy("audio_id").agg(F.count(F.lit(1)).alias(name))
-    return by(c, "n_candidates").join(by(w, "n_windows"), "audio_id", "left").join(by(t, "n_items"), "audio_id", "left")
+    """Even recordings' sources match; the others are refused."""
+    runs = cand(s, d).select("audio_id", "run_key").distinct().withColumn("source_relation", F.when(F.col("audio_id") % 2 == 0, "matched").otherwise("moved"))
+    return jobs.evidence_audit(cand(s, d), runs, fx(s, d, "fx_duration"), support=contains_only, timeline_support=tl.contains_support).manifest.drop("generation")
 
 
 @query("d22_selection_check", """SELECT audio_id, printf('TL%06d', cue_index) AS timeline_id, 'missing_item' AS rule FROM fx_cue WHERE cue_index % 4 = 0

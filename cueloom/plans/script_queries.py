@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import batches as bt, scripts as sc
+from ..operators import batches as bt, scripts as sc, services as sv
+from ..operators.graph import checkpoint
 from .cue_queries import CUE, cue
 from .fixtures import fx, table
 from .registry import query
@@ -286,25 +287,16 @@ def _(s, d):
     return sc.pair_segments(sc.split_scripts(merged_scripts(s, d)), names).select("script_id", "audio_base", "seg")
 
 
-SIDES = """u AS (SELECT conv_id AS audio_id, turn AS pos, lower(substr(text, 1, 30)) AS norm FROM conversations),
+SIDES = """u AS (SELECT conv_id AS audio_id, turn AS pos, lower(text) AS norm FROM conversations),
 i AS (SELECT audio_id, CASE WHEN audio_id % 4 = 0 THEN 100 - pos ELSE pos END AS pos, norm FROM u WHERE pos % 3 <> 2),
 uu AS (SELECT audio_id, norm, min(pos) AS unit_pos FROM u WHERE length(norm) >= 4 GROUP BY audio_id, norm HAVING count(*) = 1),
 ii AS (SELECT audio_id, norm, min(pos) AS item_pos FROM i WHERE length(norm) >= 4 GROUP BY audio_id, norm HAVING count(*) = 1),
 pr AS (SELECT *, item_pos > lag(item_pos) OVER (PARTITION BY audio_id ORDER BY unit_pos) AS up FROM uu JOIN ii USING (audio_id, norm))"""
 
 
-def whole_sides(s, d):
-    """Turns as units and two of three as items, with their whole texts."""
-    return _sides(table(s, d, "conversations"), F.col("text"))
-
-
 def sides(s, d):
-    """The same by the beginnings of texts, as SIDES has them."""
-    return _sides(table(s, d, "conversations"), F.substring("text", 1, 30))
-
-
-def _sides(turns, text):
-    u = turns.select(F.col("conv_id").alias("audio_id"), F.col("turn").alias("pos"), F.lower(text).alias("norm"))
+    """Turns as units and two of three as items, with their whole texts."""
+    u = table(s, d, "conversations").select(F.col("conv_id").alias("audio_id"), F.col("turn").alias("pos"), F.lower("text").alias("norm"))
     return u, u.filter("pos % 3 <> 2").withColumn("pos", F.when(F.col("audio_id") % 4 == 0, 100 - F.col("pos")).otherwise(F.col("pos")))
 
 
@@ -313,7 +305,36 @@ def _(s, d):
     return sc.unique_anchors(*sides(s, d))
 
 
-@query("e11_repeat_ambiguity", "u AS (SELECT conv_id AS audio_id, turn AS pos, lower(substr(text, 1, 2)) AS norm, turn % 2 = 0 AS matched FROM conversations) SELECT audio_id, pos, count(*) OVER w > 1 AND bool_or(NOT matched) OVER w AS ambiguous FROM u WINDOW w AS (PARTITION BY audio_id, norm)")
+@query("e11_repeat_ambiguity", "u AS (SELECT conv_id AS audio_id, turn AS pos, lower(text) AS norm, turn % 2 = 0 AS matched FROM conversations) SELECT audio_id, pos, count(*) OVER w > 1 AND bool_or(NOT matched) OVER w AS ambiguous FROM u WINDOW w AS (PARTITION BY audio_id, norm)")
 def _(s, d):
-    u = table(s, d, "conversations").select(F.col("conv_id").alias("audio_id"), F.col("turn").alias("pos"), F.lower(F.substring("text", 1, 2)).alias("norm"), (F.col("turn") % 2 == 0).alias("matched"))
+    u = table(s, d, "conversations").select(F.col("conv_id").alias("audio_id"), F.col("turn").alias("pos"), F.lower("text").alias("norm"), (F.col("turn") % 2 == 0).alias("matched"))
     return sc.flag_repeats(u).select("audio_id", "pos", "ambiguous")
+
+
+def make_echo():
+    """A stand-in for a service: marks lines; by a payload's length it fails once, answers in structure, or loses a line."""
+    failed = set()
+
+    def client(payload: str):
+        parts, n = payload.split(bt.SEPARATOR), len(payload)
+        if n % 5 == 0 and payload not in failed:
+            failed.add(payload)
+            raise TimeoutError("busy")
+        lines = [f"R:{p}" for p in parts]
+        if n % 7 == 0:
+            return {"lines": lines}
+        return bt.SEPARATOR.join(lines[:-1] if n % 3 == 0 and len(lines) > 1 else lines)
+
+    return client
+
+
+@query("n4_service_replies", """p AS (SELECT audio_id, cue_index, replace(text_ja, chr(10), ' ') AS text, row_number() OVER (PARTITION BY audio_id ORDER BY cue_index) - 1 AS pos FROM fx_cue),
+b AS (SELECT audio_id, CAST(floor(pos / 4) AS BIGINT) AS batch, pos % 4 AS place, text FROM p),
+z AS (SELECT audio_id, batch, sum(length(text)) + 11 * (count(*) - 1) AS n, count(*) AS k FROM b GROUP BY audio_id, batch)
+SELECT audio_id, batch, place, CASE WHEN n % 7 <> 0 AND n % 3 = 0 AND k > 1 THEN 3 ELSE 1 END AS tier, trim('R:' || text) AS text FROM b JOIN z USING (audio_id, batch)""", CUE)
+def _(s, d):
+    """Batches asked as a whole; those with a wrong number of lines again line by line."""
+    b = batched(s, d)
+    first = checkpoint(sv.ask(sv.batch_payloads(b), make_echo))
+    wrong = bt.reconcile(b, first, b.filter("false").select("audio_id", "batch", "place", F.lit("").alias("retry"))).filter("tier = 3").select("audio_id", "batch").distinct()
+    return bt.reconcile(b, first, sv.ask_lines(b, wrong, make_echo, tries=3)).select("audio_id", "batch", "place", "tier", "text")

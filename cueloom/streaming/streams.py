@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.evidence import upsert_runs
+from ..operators.graph import checkpoint as cached
 
 
 def ingest_new(spark: SparkSession, source: str, schema, target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None, fmt: str = "parquet"):
@@ -16,16 +19,34 @@ def ingest_new(spark: SparkSession, source: str, schema, target: str, checkpoint
     return out.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_stream(arriving: DataFrame, read: Callable[[], DataFrame | None], write: Callable[[DataFrame], None], checkpoint: str):
-    """Run-level upsert of every micro-batch into the table behind read and write (M2)."""
+def upsert_stream(arriving: DataFrame, target: str, checkpoint: str, *, by: str = "audio_id", buckets: int = 64):
+    """Run-level upsert of every micro-batch into the table at target (M2).
+
+    The table is partitioned by a hash of `by`; a micro-batch reads and rewrites only the partitions
+    that it touches. A batch that is run again gives the same table, since it replaces whole runs.
+    """
 
     def one(batch: DataFrame, _: int) -> None:
-        now = read()
-        write(batch if now is None else upsert_runs(now, batch.select(*now.columns)))
+        spark = batch.sparkSession
+        cols = batch.columns
+        new = cached(batch.withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int")))
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        if not touched:
+            return
+        rows = new.select(*cols)
+        if _exists(spark, target):
+            rows = upsert_runs(spark.read.schema(new.schema).parquet(target).filter(F.col("bucket").isin(touched)).select(*cols), rows)
+        merged = cached(rows.withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int")))
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
 
     return arriving.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def write_complete(totals: DataFrame, target: str, checkpoint: str):
     """All groups of a streaming aggregation as they stand after each micro-batch n, in target/n."""
 
@@ -46,6 +67,27 @@ def speech_sessions(c: DataFrame, gap: str = "1500 milliseconds") -> DataFrame:
     return out.drop("session_window")
 
 
+def gap_alerts(c: DataFrame, least_ms: int = 1500) -> DataFrame:
+    """audio_id, gap_start, gap_end: silences of least_ms or more, told as soon as speech goes on behind them (M3).
+
+    The state is one number per recording, the end of its speech so far. Rows of a micro-batch are
+    taken in time order; one that arrives late never takes an alert back. For append output.
+    """
+    schema = "audio_id long, gap_start long, gap_end long"
+
+    def walk(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        until = state.get[0] if state.exists else None
+        out = []
+        for start, end in sorted(x for f in frames for x in zip(f["start_ms"], f["end_ms"])):
+            if until is not None and start - until >= least_ms:
+                out.append((key[0], until, start))
+            until = int(end) if until is None else max(until, int(end))
+        state.update((until,))
+        yield pd.DataFrame(out, columns=["audio_id", "gap_start", "gap_end"])
+
+    return c.select("audio_id", "start_ms", "end_ms").groupBy("audio_id").applyInPandasWithState(walk, schema, "until long", "append", GroupStateTimeout.NoTimeout)
+
+
 def usage_totals(calls: DataFrame, every: str = "1 hour") -> DataFrame:
     """Token totals by stage and hour (M4). calls: ts, stage, prompt_tokens, completion_tokens.
 

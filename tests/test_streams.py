@@ -47,6 +47,6 @@ def test_recordings_that_arrive_later_count(spark, tmp_path):
 def test_every_hour_comes(spark, sf):
     calls = fx(spark, sf, "fx_usage").join(table(spark, sf, "events").select(F.col("event_id").alias("call_id"), F.col("ts").cast("timestamp").alias("ts")), "call_id")
     sums = [F.sum("prompt_tokens").alias("p"), F.sum("completion_tokens").alias("c"), F.count(F.lit(1)).alias("n")]
-    want = calls.groupBy(F.date_trunc("hour", "ts").alias("hour"), "stage").agg(*sums).collect()
+    want = calls.groupBy(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss").alias("hour"), "stage").agg(*sums).collect()
     got = catalog.QUERIES["m4_usage_totals"](spark, sf).select("hour", "stage", "prompt_tokens", "completion_tokens", "calls").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
