@@ -6,8 +6,9 @@ fewest phrases per character wins.
 
 The automata are small tables (their sample is bounded), rebuilt once in each Python worker. All
 documents of a batch are parsed side by side: a step of the parse is one table look-up for a whole
-column of characters, so no Python code runs per character. Texts are parsed whole, in lanes of
-LANE characters that each begin with a new phrase. Every language tells apart all letters of its own
+column of characters, so no Python code runs per character. Long texts are parsed in lanes of LANE
+characters; what the open phrase at the end of a lane changes in the next one is parsed again until
+both parses are in the same state, so that the count is that of one parse of the whole text. Every language tells apart all letters of its own
 sample, and there may be any number of languages: tables are dense while they fit in DENSE_ENTRIES,
 and sorted keys of the transitions there are beyond that.
 
@@ -31,7 +32,11 @@ MAX_TEXT_CHARS = 4_000
 #: Entries of all dense look-up tables of a parser.
 DENSE_ENTRIES = 1 << 25
 LANE = 512
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
+#: Rows of a batch that keep_identified filters at a time.
+SLICE = 512
+#: So many lanes or fewer are carried on symbol by symbol.
+FEW = 24
 
 SEPARATOR, UNKNOWN, PAD, FIRST = 0, 1, 2, 3
 
@@ -137,13 +142,24 @@ class Table:
             flat = np.tile(self.miss.astype(kind), len(sizes))
             flat[self.alphabet :] += 1  # at the root no phrase is open
             flat[keys] = nexts
-            self.flat, self.keys = flat, None
+            self.flat, self.view, self.keys = flat, memoryview(flat), None
         else:
             by_key = np.argsort(keys)
             self.keys = np.append(keys[by_key], np.iinfo(np.int64).max)
             self.nexts = np.append(nexts[by_key], 0)
         del self.steps
 
+    def one(self, state: int, symbol: int) -> int:
+        """step() of a single state."""
+        if self.keys is None:
+            return self.view[state + symbol]
+        at = int(np.searchsorted(self.keys, state + symbol))
+        return int(self.nexts[at]) if self.keys[at] == state + symbol else int(self.miss[symbol]) + (state > 0)
+
+    def kind(self) -> np.dtype:
+        """Type of states."""
+        return self.flat.dtype if self.keys is None else np.dtype(np.int64)
+
     def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         if self.keys is None:
             return self.flat[state + symbol]
@@ -195,25 +211,63 @@ class Parser:
         ordinal = np.arange(len(owner)) - np.repeat(np.cumsum(n_lanes) - n_lanes, n_lanes)
         at = first[owner] + ordinal * LANE
         size = np.minimum(LANE, lens[owner] - ordinal * LANE)
+        last = ordinal + 1 == n_lanes[owner]
         by_size = np.argsort(-size, kind="stable")
-        at, size, lane_owner = at[by_size], size[by_size], owner[by_size]
         counts = np.zeros((len(texts), len(self.languages)), np.int64)
         if len(at):
-            active = np.searchsorted(-size, -np.arange(LANE), side="left")  # lanes longer than t
+            active = np.searchsorted(-size[by_size], -np.arange(LANE), side="left")  # lanes longer than t
             for k, table in enumerate(self.tables):
                 own = table.local[symbols]
-                state = np.zeros(len(at), table.flat.dtype if table.keys is None else np.int64)
-                ended = np.zeros(len(at), np.int32)
-                for t in range(int(size[0])):
+                state, ended, begins = np.zeros(len(at), table.kind()), np.zeros(len(at), np.int64), at[by_size]
+                for t in range(int(size.max())):
                     m = int(active[t])
-                    got = table.step(state[:m], own[at[:m] + t])
+                    got = table.step(state[:m], own[begins[:m] + t])
                     ended[:m] += got & 3
                     state[:m] = got >> 2
-                ended += state > 0
-                counts[:, k] = np.bincount(lane_owner, ended, len(texts)).astype(np.int64)
+                in_order = np.empty_like(by_size)
+                in_order[by_size] = np.arange(len(by_size))
+                ended, state = self._carried(table, own, at, size, last, ended[in_order], state[in_order])
+                counts[:, k] = np.bincount(owner, ended + (last & (state > 0)), len(texts)).astype(np.int64)
         is_letter = np.concatenate([[0], np.cumsum(symbols != SEPARATOR)])
         return counts, lens, is_letter[first + lens] - is_letter[first]
 
+    @staticmethod
+    def _carried(table: Table, own: np.ndarray, at: np.ndarray, size: np.ndarray, last: np.ndarray, ended: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases ended in each lane and the state behind it, when lanes go on from the lane before instead of a new phrase."""
+        alone, final, more = state, state.copy(), np.zeros(len(at), np.int64)
+        lanes = np.flatnonzero(~last & (final > 0)) + 1
+        while len(lanes):
+            true, fresh, gain = final[lanes - 1], np.zeros(len(lanes), state.dtype), np.zeros(len(lanes), np.int64)
+            new = alone[lanes].copy()
+            live, t = np.flatnonzero(true != fresh), 0
+            while len(live) > FEW:
+                symbol = own[at[lanes[live]] + t]
+                one, two = table.step(true[live], symbol), table.step(fresh[live], symbol)
+                gain[live] += (one & 3).astype(np.int64) - (two & 3)
+                true[live], fresh[live] = one >> 2, two >> 2
+                t += 1
+                apart = live[true[live] != fresh[live]]
+                over = size[lanes[apart]] == t
+                new[apart[over]] = true[apart[over]]
+                live = apart[~over]
+            for k in live.tolist():  # the last ones symbol by symbol
+                begin, end = at[lanes[k]] + t, at[lanes[k]] + size[lanes[k]]
+                a, b, g = int(true[k]), int(fresh[k]), 0
+                for symbol in own[begin:end].tolist():
+                    x, y = table.one(a, symbol), table.one(b, symbol)
+                    g += (x & 3) - (y & 3)
+                    a, b = x >> 2, y >> 2
+                    if a == b:
+                        break
+                else:
+                    new[k] = a
+                gain[k] += g
+            more[lanes] = gain
+            changed = lanes[(new != final[lanes]) & ~last[lanes]]
+            final[lanes] = new
+            lanes = changed + 1
+        return ended + more, final
+
     def judge(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
         """Language, score (how far the runner-up needs more phrases, 0 to 1) and phrases per symbol."""
         return self.judge_lengths(texts)[:3]
@@ -240,22 +294,28 @@ def parser(sample: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(sample)
 
 
+def judged(known: Parser, texts: pa.Array) -> tuple[list[str], list[float], list[float], list[int]]:
+    """judge_lengths of all texts, some CHUNK_CHARS characters in Python's hands at a time."""
+    out: tuple[list, list, list, list] = ([], [], [], [])
+    held: list[str] = []
+    chars = 0
+    for k, t in enumerate(texts):
+        held.append(t.as_py() or "")
+        chars += len(held[-1])
+        if chars >= CHUNK_CHARS or k + 1 == len(texts):
+            for all_, got in zip(out, known.judge_lengths(held)):
+                all_ += got
+            held, chars = [], 0
+    return out
+
+
 def identify(docs: DataFrame, sample: tuple[tuple[str, str], ...]) -> DataFrame:
     """doc_id, lang_pred, score, phrase_rate for every row of docs(doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = parser(sample).judge
+        known = parser(sample)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            langs, scores, rates, at = [], [], [], 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end]) <= CHUNK_CHARS):
-                    chars += len(texts[end])
-                    end += 1
-                for held, got in zip((langs, scores, rates), judge(texts[at:end])):
-                    held += got
-                at = end
+            langs, scores, rates, _ = judged(known, b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], names=["doc_id", "lang_pred", "score", "phrase_rate"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, phrase_rate double")
@@ -333,16 +393,16 @@ def keep_identified(docs: DataFrame, *, reject_rate: float = REJECT_RATE) -> Dat
         return rate <= own[min(size.bit_length(), len(own)) - 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = parser(sample).judge_lengths
-        for b in batches:
-            for start in range(0, b.num_rows, 256):
-                part = b.slice(start, 256)
-                langs, _, rates, sizes = judge([t or "" for t in part.column(at).to_pylist()])
+        known = parser(sample)
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                b = whole.slice(start, SLICE)
+                langs, _, rates, sizes = judged(known, b.column(at))
                 stays = pa.array(list(map(stay, langs, rates, sizes)), pa.bool_())
-                held = list(part.columns)
-                if "lang" in part.schema.names:
-                    k = part.schema.names.index("lang")
-                    held[k] = pa.array([old if old is not None else new for old, new in zip(part.column(k).to_pylist(), langs)], pa.string())
-                yield pa.RecordBatch.from_arrays(held, names=part.schema.names).filter(stays)
+                held = list(b.columns)
+                if "lang" in b.schema.names:
+                    k = b.schema.names.index("lang")
+                    held[k] = pa.array([old if old is not None else new for old, new in zip(b.column(k).to_pylist(), langs)], pa.string())
+                yield pa.RecordBatch.from_arrays(held, names=b.schema.names).filter(stays)
 
     return docs.mapInArrow(run, docs.schema)
