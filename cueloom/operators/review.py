@@ -8,6 +8,10 @@ from ..functions.text import text_violations
 from ..functions.timecode import iou
 from .intervals import END, START
 
+#: The reason that says no more than that an alignment is to be looked at, and those about time.
+ALIGNMENT_REASON = "script_alignment_review"
+TIMING_REASONS = ("timeline_requires_review", "shared_timeline_window", "group_level_timing_only")
+
 
 def match_cues(cues: DataFrame, items: DataFrame, bucket_ms: int = 15_000) -> DataFrame:
     """cue -> timeline item: the only exact one (2 ms at both ends), else the unique best IoU of 0.8 or more, else by place.
@@ -83,7 +87,10 @@ def review_items(cues: DataFrame, items: DataFrame, c: DataFrame, support, timin
     """The work-list: cues with their timeline item and its text, timing and informational flags.
 
     cues: text_ja, text_zh. items: timeline_id, classification, review_required, timing_kind, evidence_ids.
-    support, timing: (Column, Column) -> Column on candidate and cue text.
+    support, timing: (Column, Column) -> Column on candidate and cue text. reasons: what a script's
+    alignment says of items (script_reasons). Given them, they alone ask for review besides doubtful
+    evidence: an item's own request, settled disagreements and overlaps without a reason about time
+    are left out (the script filter).
     """
     keys = ["audio_id", "cue_index"]
     placed = cues.join(match_cues(cues, items), keys, "left").join(items.select("audio_id", "timeline_id", "classification", "review_required", "timing_kind", "evidence_ids"), ["audio_id", "timeline_id"], "left")
@@ -106,15 +113,22 @@ def review_items(cues: DataFrame, items: DataFrame, c: DataFrame, support, timin
     )
     low = F.concat("text_ja", "text_zh").rlike("〔認識不良〕|（低信頼度）|\\(低信頼度\\)")
     doubt = has & (F.col("classification") != "supported") & ~backed
-    text_flags = [F.when(doubt, F.lit("uncertain")), F.when(doubt, F.lit("uncertain_asr_evidence")), F.when(has & F.col("review_required") & ~backed, F.lit("uncertain")),
-                  F.when((F.col("n_texts") > 1) & ~backed, F.lit("model_disagreement")), F.when(low, F.lit("low_confidence"))]
-    if reasons is not None:
-        full = full.join(reasons, ["audio_id", "timeline_id"], "left")
-    flags = F.array_distinct(F.array_compact(F.array(*text_flags)))
     if reasons is not None:
-        flags = F.array_distinct(F.concat(flags, F.coalesce("reasons", F.array().cast("array<string>"))))
-    info = F.array_compact(F.array(F.when(has & F.col("timing_kind").contains("overlap"), F.lit("overlap_partitioned")), F.when((F.col("n_texts") > 1) & backed, F.lit("model_disagreement_resolved"))))
-    return full.select(*keys, "timeline_id", START, END, "text_ja", "text_zh", flags.alias("text_flags"), F.array_compact(F.array(F.when(has & spread, F.lit("boundary_disagreement")))).alias("timing_flags"), info.alias("informational_flags"))
+        full = full.join(reasons.select("audio_id", "timeline_id", "reasons"), ["audio_id", "timeline_id"], "left")
+    else:
+        full = full.withColumn("reasons", F.lit(None).cast("array<string>"))
+    filtered = reasons is not None
+    given = F.when(has, F.filter(F.coalesce("reasons", F.array().cast("array<string>")), lambda r: r != ALIGNMENT_REASON)).otherwise(F.array().cast("array<string>"))
+    about_time = F.filter(given, lambda r: r.isin(*TIMING_REASONS))
+    wanted = has & F.col("review_required") & ~backed & F.lit(not filtered)
+    first = F.concat(F.array_compact(F.array(F.when(doubt, F.lit("uncertain")), F.when(doubt, F.lit("uncertain_asr_evidence")), F.when(wanted, F.lit("uncertain")))), F.filter(given, lambda r: ~r.isin(*TIMING_REASONS)))
+    differ = (F.col("n_texts") > 1) & ((F.size(first) > 0) if filtered else ~backed)
+    flags = F.array_distinct(F.concat(first, F.array_compact(F.array(F.when(differ, F.lit("model_disagreement")), F.when(low, F.lit("low_confidence"))))))
+    overlap = has & F.col("timing_kind").contains("overlap")
+    times = F.array_compact(F.array(F.when(overlap & (F.size(about_time) > 0), F.lit("overlap")), F.when(has & spread, F.lit("boundary_disagreement"))))
+    info = F.array_compact(F.array(F.when(overlap, F.lit("overlap_partitioned")), F.when((F.col("n_texts") > 1) & backed, F.lit("model_disagreement_resolved"))))
+    told = F.array().cast("array<string>") if filtered else info
+    return full.select(*keys, "timeline_id", START, END, "text_ja", "text_zh", flags.alias("text_flags"), F.array_distinct(F.concat(about_time, times)).alias("timing_flags"), told.alias("informational_flags"))
 
 
 def join_decisions(items: DataFrame, decisions: DataFrame, keys: tuple[str, ...] = ("audio_id", "cue_index")) -> DataFrame:

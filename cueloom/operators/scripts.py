@@ -66,6 +66,10 @@ def match_track_id(audio: DataFrame, scripts: DataFrame) -> DataFrame:
     return a.join(s, "track").select("asset_key", "script_base")
 
 
+#: So many beginnings of titles, or fewer, are broadcast to the contents; more of them meet the contents' grams by a shuffle.
+FEW_GRAMS = 100_000
+
+
 def words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
@@ -98,7 +102,10 @@ def match_keyword(audio: DataFrame, scripts: DataFrame) -> DataFrame:
         found = by_word
         short = None
     else:
+        wanted = plain.select("gram").distinct()
         held = s.withColumn("chars", F.split("content", "", -1)).select("script_base", F.explode(grams(F.col("content"), F.col("chars"), lengths)).alias("gram"))
+        if wanted.count() <= FEW_GRAMS:  # the others' grams never leave their task
+            held = held.join(F.broadcast(wanted), "gram", "left_semi")
         short = plain.filter(F.col("kw") == F.col("gram")).join(held.groupBy("gram").agg(F.min("script_base").alias("script_base")), "gram").select("asset_key", "script_base")
         found = by_word.unionByName(plain.filter(F.col("kw") != F.col("gram")).join(held, "gram").select("asset_key", "kw", "script_base"))
     both = found.join(s, "script_base").filter(F.col("content").contains(F.col("kw"))).select("asset_key", "script_base")

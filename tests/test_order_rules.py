@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cueloom.functions.text import bigram_dice
-from cueloom.operators import intervals as iv, jobs, long_cues as lc, script_alignment as sa, services as sv, timeline as tl
+from cueloom.operators import intervals as iv, jobs, long_cues as lc, review as rv, script_alignment as sa, services as sv, timeline as tl
 from cueloom.operators.walk import walk_groups
 from cueloom.plans import more_queries as mq
 from cueloom.plans.evidence_queries import cand
@@ -155,6 +155,51 @@ def bigram_dice_support(a, b):
     return bigram_dice(a, b) >= 0.62
 
 
+@pytest.mark.parametrize("filtered", [False, True])
+def test_review_flags_with_and_without_a_script(spark, filtered):
+    """Every mix of classification, own request, overlap, support, differing texts and reasons, against the rule in plain steps."""
+    cues, items, cands, given, want = [], [], [], [], {}
+    mixes = list(product(["supported", "uncertain"], [True, False], ["overlap_partition", "word_candidate"], [True, False], [True, False], [[], ["script_alignment_review"], ["script_alignment_unmatched", "shared_timeline_window"]]))
+    for k, (kind, asked, timing, backed, differ, reasons) in enumerate(mixes):
+        start, end = 10_000 * k, 10_000 * k + 2000
+        cues.append((1, k, start, end, f"text {k} of the cue", "zh （低信頼度）" if k % 5 == 0 else "zh"))
+        texts = [f"text {k} of the cue" if backed else "something else", "a third one"][: 1 + differ]
+        cands += [(1, 10 * k + j, start, end, t) for j, t in enumerate(texts)]
+        items.append((1, f"TL{k:06d}", start, end, kind, asked, timing, [10 * k + j for j in range(len(texts))]))
+        if reasons:
+            given.append((1, f"TL{k:06d}", reasons))
+        text, when, info = [], [], []
+        if kind != "supported" and not backed:
+            text += ["uncertain", "uncertain_asr_evidence"]
+        if filtered and reasons:
+            for r in reasons:
+                if r != "script_alignment_review":
+                    (when if r == "shared_timeline_window" else text).append(r)
+        elif not filtered and asked and not backed:
+            text.append("uncertain")
+        if "overlap" in timing:
+            if filtered and when:
+                when.append("overlap")
+            elif not filtered:
+                info.append("overlap_partitioned")
+        if differ:
+            if backed and not filtered:
+                info.append("model_disagreement_resolved")
+            elif not filtered or text:
+                text.append("model_disagreement")
+        if k % 5 == 0:
+            text.append("low_confidence")
+        want[k] = tuple(list(dict.fromkeys(x)) for x in (text, when, info))
+    table = spark.createDataFrame
+    out = rv.review_items(
+        table(cues, "audio_id long, cue_index long, start_ms long, end_ms long, text_ja string, text_zh string"),
+        table(items, "audio_id long, timeline_id string, start_ms long, end_ms long, classification string, review_required boolean, timing_kind string, evidence_ids array<long>"),
+        table(cands, "audio_id long, event_id long, start_ms long, end_ms long, text string"),
+        lambda a, b: a == b, lambda a, b: a == b, table(given, "audio_id long, timeline_id string, reasons array<string>") if filtered else None,
+    )
+    assert {r["cue_index"]: (r["text_flags"], r["timing_flags"], r["informational_flags"]) for r in out.collect()} == want
+
+
 @pytest.mark.parametrize("n", [0, 1, 40])
 def test_word_spans_in_stretches(spark, n):
     rng = random.Random(n)
