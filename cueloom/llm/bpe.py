@@ -22,8 +22,8 @@ CHUNK_CHARS = 1 << 16
 #: because no alternative takes a space behind a letter or digit into the match before it.
 SAFE = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 
-#: For texts without such spaces: a digit after a letter of a caseless ASCII-free run, or any
-#: white space character between two characters that are not white space.
+#: For texts without such spaces: a single space between any two characters that are not white space,
+#: the first of them no apostrophe.
 SAFE_WIDE = re.compile(r"(?<=[^\s'\x1c-\x1f\x85])(?=[ ][^\s\x1c-\x1f\x85])")
 
 
