@@ -1,9 +1,11 @@
 """Near duplicates, top-k search and the pipeline against brute force."""
 
+import os
 import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -47,6 +49,26 @@ def test_near_duplicates(docs, texts):
     assert len(set(want.values())) < len(want)
 
 
+def test_components_of_a_whole_table(spark, sf):
+    """All links of 1,000 documents, natural and planted, against every pair of sets."""
+    larger = os.path.join(os.path.dirname(sf.rstrip("/")), "sf0.01")
+    if not os.path.isdir(larger):
+        pytest.skip("no test data")
+    df = spark.read.parquet(f"{larger}/documents.parquet").select("doc_id", "text")
+    want = brute([tuple(r) for r in df.collect()])
+    got = {r["doc_id"]: r["component_id"] for r in neardup.duplicates(df).collect()}
+    assert got == want and len(set(want.values())) < 0.95 * len(want)
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    for n, m in ((3, 3), (200, 150), (3000, 2900)):
+        a = rng.integers(0, 2**63, n, np.uint64)
+        b = np.concatenate([a[: m - m // 5], rng.integers(0, 2**63, m // 5, np.uint64)])
+        bits = sum(int(x ^ y).bit_count() for x, y in zip(neardup.parities(a).view(np.uint64).tolist(), neardup.parities(b).view(np.uint64).tolist()))
+        assert bits <= len(set(a.tolist()) ^ set(b.tolist())) and (n > 300 or bits > 0 or m < 5)
+
+
 def test_chains_of_near_copies(spark):
     """Neighbours are alike and the ends aren't: one component all the same; and a hub below its spokes' similarity."""
     words = [f"w{k}" for k in range(400)]
