@@ -2,24 +2,20 @@
 
 Language ID, line dedup, near-dedup and secret scan return the columns of documents; the last stage
 returns the pieces of packed sequences. STAGES holds (name, function of (spark, docs, sf_dir)).
+
+Every stage keeps all columns of documents, whatever they are named besides doc_id, text, lang and
+n_chars. Rows that repeat a doc_id are rows of their own; only line dedup counts them as one document.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from cueloom.llm import langid, linededup, neardup, packing, secrets
 from cueloom.llm.common import materialize, table
 
 
-def _with_text(docs: DataFrame, text) -> DataFrame:
-    changed = {"text": text}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("text").eqNullSafe(text), F.col("n_chars")).otherwise(F.length(text).cast("long"))
-    return docs.withColumns(changed)
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language that the labelled rows teach go; an unknown lang is filled in."""
     return langid.keep_identified(docs)
@@ -27,26 +23,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document left without text, that had some, goes with them."""
-    cols = docs.columns
-    done = linededup.dedup_lines(docs)
-    left = done.filter((F.col("n_dropped") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
-    return _with_text(left, F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))).select(*cols)
+    return linededup.drop_repeated(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest doc_id."""
-    judged = neardup.duplicates(docs.select("doc_id", "text"))
-    gone = judged.filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates stays: the one with the smallest doc_id. Rows that repeat it with the same text stay with it."""
+    return neardup.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; no document goes."""
-    return _with_length(secrets.redact(docs))
-
-
-def _with_length(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+    return secrets.redact(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
