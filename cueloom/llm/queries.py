@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, licenses, linededup, neardup, packing, quality_rules, secrets, site_quality, topk
+from . import bpe, langid, lexical, licenses, linededup, neardup, packing, quality_rules, secrets, site_quality, topk
 from .common import table
 
 
@@ -59,16 +59,21 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     each = (
         op1_secret_scan, op2_license_scan, op3_line_dedup, op4_language_id, op5_best_fit_packing,
         op6_exact_topk, op7_quality_rules, op8_bpe_round_trip, op9_quality_classifier, op10_minhash_near_dedup,
+        op13_block_max_search,
     )
     return {f.__name__: f for f in each}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secrets.ORACLE, "op3_line_dedup": linededup.ORACLE, "op6_exact_topk": TOPK}
+    return {"op1_secret_scan": secrets.ORACLE, "op3_line_dedup": linededup.ORACLE, "op6_exact_topk": TOPK, "op13_block_max_search": lexical.ORACLE}
 
 
 TOPK = """
