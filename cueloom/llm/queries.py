@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, lexical, licenses, linededup, neardup, packing, quality_rules, secrets, site_quality, token_alignment, topk
+from . import bpe, langid, lexical, licenses, linededup, neardup, ngram_join, packing, quality_rules, secrets, site_quality, token_alignment, topk
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -71,7 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     each = (
         op1_secret_scan, op2_license_scan, op3_line_dedup, op4_language_id, op5_best_fit_packing,
         op6_exact_topk, op7_quality_rules, op8_bpe_round_trip, op9_quality_classifier, op10_minhash_near_dedup,
-        op12_token_alignment, op13_block_max_search,
+        op11_ngram_join, op12_token_alignment, op13_block_max_search,
     )
     return {f.__name__: f for f in each}
 

@@ -179,14 +179,12 @@ def common_ends(a: np.ndarray, b: np.ndarray, work: int = WORK) -> tuple[np.ndar
     at_a, at_b = merge_path(a, b, work)
     found_a, found_b = [], []
     for i0, i1, j0, j1 in zip(at_a[:-1], at_a[1:], at_b[:-1], at_b[1:]):
-        if j0 and j1 > j0 and i0 and a[i0 - 1] == b[j0]:  # its partner is the last end of a piece before
+        if i0 and j1 > j0 and a[i0 - 1] == b[j0]:  # its partner is the last end of a piece before
             found_a.append([i0 - 1]), found_b.append([j0])
         if i1 > i0 and j1 > j0:
             place = np.searchsorted(b[j0:j1], a[i0:i1])
             same = np.flatnonzero(b[j0 + np.minimum(place, j1 - j0 - 1)] == a[i0:i1])
             found_a.append(i0 + same), found_b.append(j0 + place[same])
-        elif j1 > j0 and not j0 and i0 and a[i0 - 1] == b[j0]:
-            found_a.append([i0 - 1]), found_b.append([j0])
     return (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
 
 
