@@ -12,13 +12,13 @@ under any one order of all tokens; so a pair must do so under every order.
    equal sets are one class, a node; copies are never paired.
 3. Prefix tokens that two nodes or more share are buckets. Two rows of a bucket are worth a look if
    their sizes allow the threshold and so do their places: a first shared token at places i and j
-   leaves at most min(n - i, m - j) in common. Nodes with such a partner have their texts fetched
-   once, as full sets with their prefixes under ORDERS - 1 further orders.
+   leaves at most min(n - i, m - j) in common.
 4. Rounds: in every bucket with nodes of different components each member meets a few centres of
-   other components; the last round takes all pairs left. A pair is taken once. It must share a
-   prefix token under every other order too, and then its full sets are compared; links join
-   components. From the second round on, parities of the sets (1,024 bits, which differ in at most as
-   many places as the sets do) spare pairs that are alike, but not enough.
+   other components; the last round takes all pairs left. A pair is taken once. Parities of the sets
+   (1,024 bits, which differ in at most as many places as the sets do) spare pairs that are alike,
+   but not enough. The nodes of the pairs left have their texts fetched, as full sets with their
+   prefixes under ORDERS - 1 further orders. A pair must share a prefix token under each of these too;
+   then its full sets are compared. Links join components.
 
 No pair of sets at the threshold is lost, but for equal 64-bit hashes of different shingles. Bounds
 on growth: a bucket of many texts that are alike in size and place and yet all apart takes time
@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.graph import connected_components
@@ -50,6 +51,8 @@ ORDERS = 3
 COMMON = 1 << 17
 #: Centres of a bucket in each round but the last, which takes all pairs left.
 CENTRES = (1, 8)
+#: Slots by which texts that aren't wanted are left out before those that are get fetched.
+SLOTS = 1 << 19
 WORD_MEMORY = 150_000
 #: Characters and texts that a worker holds at once (one text may hold more).
 BATCH_CHARS, BATCH_TEXTS = 1 << 22, 2048
@@ -168,70 +171,75 @@ def _text_hash() -> Column:
 
 
 def prefixed(docs: DataFrame, order: FirstOrder, *, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, th (hash of the text), n_shingles, d1, d2 (digest of the set), prefix under the first order."""
+    """row, doc_id, th (hash of the text), n_shingles, d1, d2 (digest of the set), odd (parities), prefix under the first order."""
     sent = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        make, first = Shingler(width), sent.value
+        make, first, row = Shingler(width), sent.value, TaskContext.get().partitionId() << 33
         for part, texts in _texts(batches, 2):
             sets = list(map(make.shingles, texts))
             digest = np.array([np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), ">i8") for x in sets], np.int64)
             prefixes = [first.prefix(x, prefix_size(len(x), threshold)) for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(list(map(len, sets)), pa.int64()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), _longs(prefixes)],
-                names=["doc_id", "th", "n_shingles", "d1", "d2", "prefix"],
-            )
+                [pa.array(np.arange(row, row + len(sets))), part.column(0), part.column(1), pa.array(list(map(len, sets)), pa.int64()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), _longs(list(map(parities, sets))), _longs(prefixes)],
+                names=["row", "doc_id", "th", "n_shingles", "d1", "d2", "odd", "prefix"],
+            )
+            row += len(sets)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("th"), "text")
-    return rows.mapInArrow(run, "doc_id long, th long, n_shingles long, d1 long, d2 long, prefix array<long>")
+    return rows.mapInArrow(run, "row long, doc_id long, th long, n_shingles long, d1 long, d2 long, odd array<long>, prefix array<long>")
 
 
 def set_classes(rows: DataFrame) -> DataFrame:
-    """One row per distinct set: node, doc_id and th (of its row of smallest doc_id), d1, d2, n, prefix."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("r")
-    one = rows.filter("n_shingles > 0").groupBy("d1", "d2").agg(first, F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
-    return one.select(F.monotonically_increasing_id().alias("node"), "r.doc_id", "r.th", "d1", "d2", "n", "prefix")
+    """One row per distinct set: node, doc_id and th (of its row of smallest doc_id), d1, d2, n, odd."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "row")).alias("r")
+    one = rows.filter("n_shingles > 0").groupBy("d1", "d2").agg(first, F.first("n_shingles").alias("n"), F.first("odd").alias("odd"))
+    return one.select(F.col("r.row").alias("node"), "r.doc_id", "r.th", "d1", "d2", "n", "odd")
 
 
 def may_join(threshold: int) -> Column:
-    """Rows x and y of a bucket (n, pos) whose sizes and places allow the threshold."""
-    rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    """Rows x and y of a bucket (n, rest: tokens from the shared one on) whose sizes and places allow the threshold."""
+    rest = F.least("x.rest", "y.rest")
     sizes = 100 * F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")
     return sizes & ((100 + threshold) * rest >= threshold * (F.col("x.n") + F.col("y.n")))
 
 
-def _odd(x: Column, y: Column, threshold: int) -> Column:
+def may_reach(x: Column, y: Column, sizes: Column, threshold: int) -> Column:
+    """Whether parities allow the threshold t: sets of J >= t differ in at most (n + m)(1 - t)/(1 + t) shingles."""
     bits = sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(len(ODD))), F.lit(0))
-    return (100 + threshold) * bits <= (100 - threshold) * (F.col("x.n") + F.col("y.n"))
+    return (100 + threshold) * bits <= (100 - threshold) * sizes
 
 
-def buckets(classes: DataFrame, threshold: int) -> DataFrame:
-    """key, node, n, pos, fame of the rows that share a prefix token with one they may join."""
-    tokens = classes.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
+def buckets(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, node, n, rest, fame: the prefix tokens that nodes share."""
+    prefixes = rows.filter("size(prefix) > 0").join(classes.select("node"), F.col("row") == F.col("node"))
+    tokens = prefixes.select("node", F.posexplode("prefix").alias("pos", "key"), F.col("n_shingles").cast("int").alias("n"))
+    tokens = tokens.select("key", "node", "n", (F.col("n") - F.col("pos")).alias("rest"))
     shared = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     sized = materialize(tokens.join(shared, "key"), "prefix_buckets")
-    x, y = sized.alias("x"), sized.alias("y")
-    near = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & may_join(threshold), "left_semi")
-    near = materialize(near, "prefix_partners")
-    return near.drop("size").join(near.groupBy("node").agg(F.sum("size").alias("fame")), "node")
+    return sized.drop("size").join(sized.groupBy("node").agg(F.sum("size").alias("fame")), "node")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, *, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """node, shingles, odd (parities), and o2, o3, ... (prefixes under the further orders) of the rows that wanted(node, doc_id, th) names."""
+    """node, shingles, and o2, o3, ... (prefixes under the further orders) of the rows that wanted(node, doc_id, th) names."""
     further = [f"o{k}" for k in range(2, ORDERS + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingler(width)
+        make, seen = Shingler(width), set()
         for part, texts in _texts(batches, 1):
-            sets = list(map(make.shingles, texts))
+            nodes = part.column(0).to_pylist()
+            new = [k for k, v in enumerate(nodes) if v not in seen and not seen.add(v)]  # rows that repeat id and text meet here
+            sets = [make.shingles(texts[k]) for k in new]
             prefixes = [_longs([hashed_prefix(x, k, prefix_size(len(x), threshold)) for x in sets]) for k in range(2, ORDERS + 1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), _longs(sets), _longs([parities(x).view(np.uint64) for x in sets]), *prefixes], names=["node", "shingles", "odd", *further])
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in new], pa.int64()), _longs(sets), *prefixes], names=["node", "shingles", *further])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("th"), "text").alias("t")
+    slot = lambda: F.pmod(F.xxhash64("doc_id", "th"), F.lit(SLOTS)).cast("int").alias("slot")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("th"), "text")
+    texts = texts.withColumn("slot", slot()).join(F.broadcast(wanted.select(slot()).distinct()), "slot", "left_semi").alias("t")
     named = texts.join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.th") == F.col("w.th")))
-    return named.select("node", "text").dropDuplicates(["node"]).mapInArrow(run, "node long, shingles array<long>, odd array<long>, " + ", ".join(f"{c} array<long>" for c in further))
+    return named.select("node", "text").mapInArrow(run, "node long, shingles array<long>, " + ", ".join(f"{c} array<long>" for c in further))
 
 
 def share_all_prefixes(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -246,18 +254,21 @@ def share_all_prefixes(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("a", "b")
 
 
-def linked(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame | None:
+def linked(docs: DataFrame, members: DataFrame, classes: DataFrame, *, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame | None:
     """v, c: the smallest node that every linked node reaches. members, a written table: as buckets gives them."""
     labels = links = tried = None
+    of = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("odd").alias(f"odd_{s}"))
     for centres in (*CENTRES, None):
         owned = members.withColumn("c", F.col("node"))
-        near = may_join(threshold)
         if labels is not None:
             owned = members.join(labels, members["node"] == labels["v"], "left").select(*members.columns, F.coalesce("c", "node").alias("c"))
+        near = may_join(threshold)
         if tried is not None:
             mixed = owned.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-            owned = owned.join(mixed, "key", "left_semi").join(sets.select("node", "odd"), "node")
-            near = near & _odd(F.col("x.odd"), F.col("y.odd"), threshold)
+            owned = owned.join(mixed, "key", "left_semi")
+            if centres is None:  # all pairs of a bucket: parities are tested before rows are made
+                owned = owned.join(classes.select("node", "odd"), "node")
+                near = near & may_reach(F.col("x.odd"), F.col("y.odd"), F.col("x.n") + F.col("y.n"), threshold)
         owned = materialize(owned, "prefix_open")
         if owned.isEmpty():
             break
@@ -268,12 +279,21 @@ def linked(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame | N
         met = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
         if tried is not None:
             met = met.join(tried, ["a", "b"], "left_anti")
+        if centres:
+            met = met.join(of("b"), "b").join(of("a"), "a").withColumn("may", may_reach(F.col("odd_a"), F.col("odd_b"), F.col("n_a") + F.col("n_b"), threshold)).select("a", "b", "may")
+        else:
+            met = met.withColumn("may", F.lit(True))
         met = materialize(met, "prefix_pairs")
-        found = materialize(confirm(share_all_prefixes(met, sets), sets, threshold), "prefix_links")
+        pairs = met.filter("may").select("a", "b")
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = materialize(classes.select("node", "doc_id", "th").join(nodes, "node", "left_semi"), "prefix_wanted")
+        sets = materialize(full_sets(docs, wanted, width=width, threshold=threshold), "full_sets")
+        passed = materialize(share_all_prefixes(pairs, sets), "prefix_passed")
+        found = materialize(confirm(passed, sets, threshold), "prefix_links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = connected_components(links)
-        both = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = met.select("a", "b").unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tried = both if tried is None else tried.unionByName(both)
     return labels
 
@@ -284,9 +304,8 @@ def join_components(docs: DataFrame, *, width: int = WIDTH, threshold: int = THR
     order = FirstOrder(*common_shingles(docs, width=width))
     rows = materialize(prefixed(docs, order, width=width, threshold=threshold), "prefixed")
     classes = materialize(set_classes(rows), "set_classes")
-    members = materialize(buckets(classes, threshold), "prefix_members")
-    wanted = classes.select("node", "doc_id", "th").join(members.select("node").distinct(), "node")
-    labels = linked(members, materialize(full_sets(docs, wanted, width=width, threshold=threshold), "full_sets"), threshold)
+    members = materialize(buckets(rows, classes), "prefix_members")
+    labels = linked(docs, members, classes, width=width, threshold=threshold)
 
     component = classes.select("node", "d1", "d2", F.col("doc_id").alias("component_id"))
     if labels is not None:
