@@ -42,11 +42,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.graph import connected_components
 from .common import materialize
-from .neardup import ODD, SALT, confirm, parities, words_of
+from .neardup import ODD, SALT, parities, words_of
 
 WIDTH = 4
 THRESHOLD = 85  # per cent
 ORDERS = 3
+FURTHER = [f"o{k}" for k in range(2, ORDERS + 1)]
 #: Shingles that the first order puts last, at most (8 bytes each, and as many for their ranks).
 COMMON = 1 << 17
 #: Centres of a bucket in each round but the last, which takes all pairs left.
@@ -212,46 +213,58 @@ def may_reach(x: Column, y: Column, sizes: Column, threshold: int) -> Column:
     return (100 + threshold) * bits <= (100 - threshold) * sizes
 
 
-def buckets(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """key, node, n, rest, fame: the prefix tokens that nodes share."""
-    prefixes = rows.filter("size(prefix) > 0").join(classes.select("node"), F.col("row") == F.col("node"))
-    tokens = prefixes.select("node", F.posexplode("prefix").alias("pos", "key"), F.col("n_shingles").cast("int").alias("n"))
+def buckets(rows: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """key, node, n, rest of the prefix tokens that nodes share with one they may join."""
+    held = rows.filter("size(prefix) > 0")
+    shared = held.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
+    tokens = held.join(classes.select("node"), F.col("row") == F.col("node")).select("node", F.posexplode("prefix").alias("pos", "key"), F.col("n_shingles").cast("int").alias("n"))
     tokens = tokens.select("key", "node", "n", (F.col("n") - F.col("pos")).alias("rest"))
-    shared = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     sized = materialize(tokens.join(shared, "key"), "prefix_buckets")
-    return sized.drop("size").join(sized.groupBy("node").agg(F.sum("size").alias("fame")), "node")
+    x, y = sized.alias("x"), sized.alias("y")
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & may_join(threshold), "left_semi")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, *, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """node, shingles, and o2, o3, ... (prefixes under the further orders) of the rows that wanted(node, doc_id, th) names."""
-    further = [f"o{k}" for k in range(2, ORDERS + 1)]
+def sets_where_needed(docs: DataFrame, needs: DataFrame, *, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
+    """b, salt, node, shingles, and o2, o3, ... (prefixes under the further orders) for each row of needs(b, salt, node, doc_id, th)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, seen = Shingler(width), set()
-        for part, texts in _texts(batches, 1):
-            nodes = part.column(0).to_pylist()
-            new = [k for k, v in enumerate(nodes) if v not in seen and not seen.add(v)]  # rows that repeat id and text meet here
-            sets = [make.shingles(texts[k]) for k in new]
-            prefixes = [_longs([hashed_prefix(x, k, prefix_size(len(x), threshold)) for x in sets]) for k in range(2, ORDERS + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in new], pa.int64()), _longs(sets), *prefixes], names=["node", "shingles", *further])
+        make, last = Shingler(width), (None, None)
+        for part, texts in _texts(batches, 3):
+            sets, prefixes = [], [[] for _ in FURTHER]
+            for node, text in zip(part.column(2).to_pylist(), texts):
+                if node != last[0]:  # a node's rows come one after another
+                    x = make.shingles(text)
+                    last = node, (x, [hashed_prefix(x, k, prefix_size(len(x), threshold)) for k in range(2, ORDERS + 1)])
+                sets.append(last[1][0])
+                for held, p in zip(prefixes, last[1][1]):
+                    held.append(p)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], _longs(sets), *map(_longs, prefixes)], names=["b", "salt", "node", "shingles", *FURTHER])
 
     slot = lambda: F.pmod(F.xxhash64("doc_id", "th"), F.lit(SLOTS)).cast("int").alias("slot")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("th"), "text")
-    texts = texts.withColumn("slot", slot()).join(F.broadcast(wanted.select(slot()).distinct()), "slot", "left_semi").alias("t")
-    named = texts.join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.th") == F.col("w.th")))
-    return named.select("node", "text").mapInArrow(run, "node long, shingles array<long>, " + ", ".join(f"{c} array<long>" for c in further))
-
-
-def share_all_prefixes(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that hold a common prefix token under each of the further orders. b may stand in very many pairs."""
-    further = [f"o{k}" for k in range(2, ORDERS + 1)]
-    named = lambda s: sets.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in further])
-    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SALT)).alias("salt"))
-    of_b = dealt.select("b", "salt").distinct().join(named("b"), "b")
-    met = dealt.join(of_b, ["b", "salt"]).join(named("a"), "a")
-    for c in further:
+    texts = texts.withColumn("slot", slot()).join(F.broadcast(needs.select(slot()).distinct()), "slot", "left_semi").alias("t")
+    named = texts.join(needs.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.th") == F.col("w.th")))
+    return named.select("b", "salt", "node", "text").mapInArrow(run, "b long, salt int, node long, shingles array<long>, " + ", ".join(f"{c} array<long>" for c in FURTHER))
+
+
+def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, *, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) of nodes that share a prefix token under all orders and whose full sets reach the threshold.
+
+    Sets are made where they are compared: b's once for each of SALT parts of its partners, a's once for each pair.
+    """
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SALT)).cast("int").alias("salt"))
+    needs = dealt.select("b", "salt", F.col("a").alias("node")).unionByName(dealt.select("b", "salt", F.col("b").alias("node")).distinct())
+    needs = materialize(needs.join(classes.select("node", "doc_id", "th"), "node").select("b", "salt", "node", "doc_id", "th"), "set_needs")
+    sets = materialize(sets_where_needed(docs, needs, width=width, threshold=threshold), "full_sets")
+    named = lambda s, names: [F.col(c).alias(f"{c}_{s}") for c in names]
+    cells = ["shingles", *FURTHER]
+    centre = sets.filter("node = b").select("b", "salt", *named("b", cells))
+    met = sets.filter("node <> b").select("b", "salt", F.col("node").alias("a"), *named("a", cells)).join(centre, ["b", "salt"])
+    for c in FURTHER:
         met = met.filter(F.arrays_overlap(f"{c}_a", f"{c}_b"))
-    return met.select("a", "b")
+    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    met = met.select("a", "b", both.alias("both"), (F.size("shingles_a") + F.size("shingles_b")).alias("sizes"))
+    return met.filter(100 * F.col("both") >= threshold * (F.col("sizes") - F.col("both"))).select("a", "b").distinct()
 
 
 def linked(docs: DataFrame, members: DataFrame, classes: DataFrame, *, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame | None:
@@ -269,12 +282,12 @@ def linked(docs: DataFrame, members: DataFrame, classes: DataFrame, *, width: in
             if centres is None:  # all pairs of a bucket: parities are tested before rows are made
                 owned = owned.join(classes.select("node", "odd"), "node")
                 near = near & may_reach(F.col("x.odd"), F.col("y.odd"), F.col("x.n") + F.col("y.n"), threshold)
-        owned = materialize(owned, "prefix_open")
+            owned = materialize(owned, "prefix_open")
         if owned.isEmpty():
             break
         x, y, apart = owned.alias("x"), owned.alias("y"), F.col("x.c") < F.col("y.c")
         if centres:
-            order = Window.partitionBy("key").orderBy(F.desc("fame"), "node")
+            order = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")  # the same for all buckets, so that a group meets few centres
             y, apart = owned.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= centres).alias("y"), F.col("x.c") != F.col("y.c")
         met = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
         if tried is not None:
@@ -285,11 +298,7 @@ def linked(docs: DataFrame, members: DataFrame, classes: DataFrame, *, width: in
             met = met.withColumn("may", F.lit(True))
         met = materialize(met, "prefix_pairs")
         pairs = met.filter("may").select("a", "b")
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = materialize(classes.select("node", "doc_id", "th").join(nodes, "node", "left_semi"), "prefix_wanted")
-        sets = materialize(full_sets(docs, wanted, width=width, threshold=threshold), "full_sets")
-        passed = materialize(share_all_prefixes(pairs, sets), "prefix_passed")
-        found = materialize(confirm(passed, sets, threshold), "prefix_links")
+        found = materialize(verified(docs, pairs, classes, width=width, threshold=threshold), "prefix_links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = connected_components(links)
@@ -304,7 +313,7 @@ def join_components(docs: DataFrame, *, width: int = WIDTH, threshold: int = THR
     order = FirstOrder(*common_shingles(docs, width=width))
     rows = materialize(prefixed(docs, order, width=width, threshold=threshold), "prefixed")
     classes = materialize(set_classes(rows), "set_classes")
-    members = materialize(buckets(rows, classes), "prefix_members")
+    members = materialize(buckets(rows, classes, threshold), "prefix_members")
     labels = linked(docs, members, classes, width=width, threshold=threshold)
 
     component = classes.select("node", "d1", "d2", F.col("doc_id").alias("component_id"))
