@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -43,7 +44,8 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 def nfkc(text: Column) -> Column:
     """Spark has no NFKC; pure ASCII is its own normal form and skips the change."""
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(_nfkc(text))
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, text).otherwise(_nfkc(F.when(~ascii_only, text)))  # a UDF gets every row; null costs it nothing
 
 
 def norm_align(text: Column, compat: Callable[[Column], Column] = nfkc) -> Column:
@@ -52,8 +54,8 @@ def norm_align(text: Column, compat: Callable[[Column], Column] = nfkc) -> Colum
 
 
 def norm_alnum(text: Column, compat: Callable[[Column], Column] = nfkc) -> Column:
-    """NFKC, lower case, letters and digits only."""
-    return F.regexp_replace(F.lower(compat(text)), r"[^\p{L}\p{N}]", "")
+    """NFKC, letters and digits only, case kept."""
+    return F.regexp_replace(compat(text), r"[^\p{L}\p{N}]", "")
 
 
 def slug(text: Column) -> Column:
@@ -103,28 +105,68 @@ def bigram_dice(a: Column, b: Column) -> Column:
     count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
     common = F.aggregate(F.array_distinct(ga), F.lit(0), lambda acc, x: acc + F.least(count(ga, x), count(gb, x)))
     short = (F.length(a) < 2) | (F.length(b) < 2)
-    return F.when(short, (a == b).cast("double")).otherwise(2 * common / (F.size(ga) + F.size(gb)))
+    return F.when(short, (a == b).cast("double")).otherwise(F.try_divide(2 * common, F.size(ga) + F.size(gb)))
 
 
-def texts_support(a: Column, b: Column, sim: Callable[[Column, Column], Column] | None = None) -> Column:
-    """Texts back one another: one holds the other (2 characters or more), or they are alike.
+#: Classes of characters in a histogram, and how many of each have a bit of their own.
+CHAR_CLASSES, CLASS_BITS = 16, 16
+
+
+def char_histogram(norm: Column) -> Column:
+    """How many characters of each class a text has, in unary: bits (CHAR_CLASSES x CLASS_BITS, in longs), and over, the number beyond."""
+    classes = F.transform(F.split(norm, ""), lambda c: F.pmod(F.ascii(c), F.lit(CHAR_CLASSES)))
+    count = lambda k: F.size(F.filter(classes, lambda c: c == k))
+    per_long = 64 // CLASS_BITS
+    held = [F.least(count(k), F.lit(CLASS_BITS)) for k in range(CHAR_CLASSES)]
+    unary = F.array(*[F.lit((1 << k) - 1) for k in range(CLASS_BITS + 1)])
+    field = lambda k: F.shiftleft(F.element_at(unary, held[k] + 1).cast("long"), CLASS_BITS * (k % per_long))
+    words = [reduce(lambda a, b: a.bitwiseOR(b), [field(k) for k in range(i, i + per_long)]) for i in range(0, CHAR_CLASSES, per_long)]
+    return F.struct(F.array(*words).alias("bits"), (F.length(norm) - reduce(lambda a, b: a + b, held)).alias("over"))
+
+
+def may_be_alike(na: Column, nb: Column, ha: Column, hb: Column, ratio: float) -> Column:
+    """Whether the histograms allow a Ratcliff-Obershelp similarity: matched characters are common characters."""
+    words = range(CHAR_CLASSES * CLASS_BITS // 64)
+    common = reduce(lambda a, b: a + b, [F.bit_count(ha["bits"][k].bitwiseAND(hb["bits"][k])) for k in words]) + F.least(ha["over"], hb["over"])
+    return 2 * common >= ratio * (F.length(na) + F.length(nb))
+
+
+def undecided(na: Column, nb: Column, ha: Column | None = None, hb: Column | None = None) -> Column:
+    """Normal forms whose support only their similarity can tell: neither holds the other, and lengths and histograms allow the ratio."""
+    shorter = F.least(F.length(na), F.length(nb))
+    open_ = (shorter > 0) & ~((shorter >= 2) & (na.contains(nb) | nb.contains(na))) & (2 * shorter >= SUPPORT_RATIO * (F.length(na) + F.length(nb)))
+    return open_ if ha is None else open_ & may_be_alike(na, nb, ha, hb, SUPPORT_RATIO)
 
-    The cheap test goes first; sim only sees pairs whose lengths allow the ratio.
+
+def norms_support(na: Column, nb: Column, sim: Callable[[Column, Column], Column] | None = None, ha: Column | None = None, hb: Column | None = None) -> Column:
+    """Normal forms back one another: one holds the other (2 characters or more), or they are alike.
+
+    The kernel gets every row, as UDFs do, but nulls where the cheap tests have decided. A sim of the
+    caller's, a Column expression, is evaluated behind these tests.
     """
-    na, nb = norm_text(a), norm_text(b)
     shorter = F.least(F.length(na), F.length(nb))
     holds = (shorter >= 2) & (na.contains(nb) | nb.contains(na))
-    possible = 2 * shorter >= SUPPORT_RATIO * (F.length(na) + F.length(nb))
-    alike = F.coalesce((sim or ratio())(na, nb) >= SUPPORT_RATIO, F.lit(False))
-    return (F.length(na) > 0) & (F.length(nb) > 0) & (holds | (possible & alike))
+    open_ = undecided(na, nb, ha, hb)
+    score = sim(na, nb) if sim else ratio()(F.when(open_, na), F.when(open_, nb))
+    return F.coalesce(holds | (open_ & F.coalesce(score >= SUPPORT_RATIO, F.lit(False))), F.lit(False))
+
+
+def texts_support(a: Column, b: Column, sim: Callable[[Column, Column], Column] | None = None) -> Column:
+    """norms_support of texts as they are. For pairs, make the normal forms before the join."""
+    return norms_support(norm_text(a), norm_text(b), sim)
+
+
+def norms_timing_support(na: Column, nb: Column, sim: Callable[[Column, Column], Column] | None = None) -> Column:
+    """Length ratio of 0.7, and containment or similarity of 0.7 (J9), of normal forms."""
+    fits = (F.length(na) > 0) & (F.length(nb) > 0) & (F.least(F.length(na), F.length(nb)) / F.greatest(F.length(na), F.length(nb)) >= TIMING_RATIO)
+    holds = na.contains(nb) | nb.contains(na)
+    score = sim(na, nb) if sim else ratio()(F.when(fits & ~holds, na), F.when(fits & ~holds, nb))
+    return F.coalesce(fits & (holds | F.coalesce(score >= TIMING_RATIO, F.lit(False))), F.lit(False))
 
 
 def timing_support(candidate: Column, current: Column, sim: Callable[[Column, Column], Column] | None = None) -> Column:
-    """Length ratio of 0.7, and containment or similarity of 0.7."""
-    na, nb = norm_text(candidate), norm_text(current)
-    lengths = F.least(F.length(na), F.length(nb)) / F.greatest(F.length(na), F.length(nb))
-    alike = F.coalesce((sim or ratio())(na, nb) >= TIMING_RATIO, F.lit(False))
-    return (F.length(na) > 0) & (F.length(nb) > 0) & (lengths >= TIMING_RATIO) & (na.contains(nb) | nb.contains(na) | alike)
+    """norms_timing_support of texts as they are."""
+    return norms_timing_support(norm_text(candidate), norm_text(current), sim)
 
 
 def text_score(a: Column, b: Column, sim: Callable[[Column, Column], Column] | None = None) -> Column:

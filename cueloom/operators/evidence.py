@@ -7,12 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import TEMPLATES, norm_text, texts_support
+from ..functions.text import TEMPLATES, char_histogram, norm_text, norms_support
 from .graph import checkpoint, connected_components
 from .intervals import END, START, interval_pairs, overlap_join, with_islands
 from .walk import walk_groups
 
-Support = Callable[[Column, Column], Column]
+#: On normal forms (J1); None: containment, or similarity of 0.62 where histograms allow it.
+Support = Callable[[Column, Column], Column] | None
 CREDIBLE = 0.6
 
 
@@ -42,19 +43,23 @@ def match_templates(c: DataFrame, templates: tuple[str, ...] = TEMPLATES) -> Dat
     return c.withColumn("_norm", norm_text(F.col("text"))).join(F.broadcast(known), "_norm", "left_semi").drop("_norm")
 
 
-def supporting_pairs(c: DataFrame, support: Support = texts_support, gap_ms: int = 800) -> DataFrame:
-    """Interval pairs of different roles whose texts back one another."""
-    pairs = interval_pairs(c, gap_ms=gap_ms, keep=("text", "no_speech_prob"))
-    return pairs.filter(support(F.col("text_a"), F.col("text_b")))
+def supporting_pairs(c: DataFrame, support: Support = None, gap_ms: int = 800) -> DataFrame:
+    """Interval pairs of different roles whose texts back one another. Normal forms and histograms are made once a candidate."""
+    rows = c.withColumn("norm", norm_text(F.col("text")))
+    if support is None:
+        rows = rows.withColumn("hist", char_histogram(F.col("norm")))
+        pairs = interval_pairs(rows, gap_ms=gap_ms, keep=("norm", "hist", "no_speech_prob"))
+        return pairs.filter(norms_support(F.col("norm_a"), F.col("norm_b"), None, F.col("hist_a"), F.col("hist_b")))
+    return interval_pairs(rows, gap_ms=gap_ms, keep=("norm", "no_speech_prob")).filter(support(F.col("norm_a"), F.col("norm_b")))
 
 
-def supported_candidates(c: DataFrame, support: Support = texts_support) -> DataFrame:
+def supported_candidates(c: DataFrame, support: Support = None) -> DataFrame:
     """Candidates with a supporting partner."""
     ids = supporting_pairs(c, support).select(F.col("event_id_a").alias("event_id")).distinct()
     return c.join(ids, "event_id", "left_semi")
 
 
-def unsupported_templates(c: DataFrame, support: Support = texts_support, templates: tuple[str, ...] = TEMPLATES) -> DataFrame:
+def unsupported_templates(c: DataFrame, support: Support = None, templates: tuple[str, ...] = TEMPLATES) -> DataFrame:
     """Turbo rows that are templates without a credible v3 row of supporting text beside them."""
     credible = supporting_pairs(c, support).filter(
         (F.col("model_role_a") == "turbo") & (F.col("model_role_b") == "v3") & (F.col("no_speech_prob_b").isNull() | (F.col("no_speech_prob_b") < CREDIBLE))
@@ -63,7 +68,7 @@ def unsupported_templates(c: DataFrame, support: Support = texts_support, templa
     return turbo.join(credible.select(F.col("event_id_a").alias("event_id")).distinct(), "event_id", "left_anti")
 
 
-def classify(c: DataFrame, support: Support = texts_support, templates: tuple[str, ...] = TEMPLATES, *, quarantine_shared: bool = False) -> DataFrame:
+def classify(c: DataFrame, support: Support = None, templates: tuple[str, ...] = TEMPLATES, *, quarantine_shared: bool = False) -> DataFrame:
     """event_id, label and reasons of every candidate (L2).
 
     In order: a shared template (only when asked for), an unsupported turbo template, supported,

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import scans
+
 START, END = "start_ms", "end_ms"
 #: Width of the time buckets of joins.
 BUCKET_MS = 8_000
@@ -19,11 +21,18 @@ def _cols(by: str | list[str]) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def with_islands(df: DataFrame, by: str | list[str], gap_ms: int = 0, *, strict: bool = False, name: str = "island") -> DataFrame:
+def with_islands(df: DataFrame, by: str | list[str], gap_ms: int = 0, *, strict: bool = False, name: str = "island", spread: bool = False) -> DataFrame:
     """Number the islands of each group: a row begins one when it starts after all earlier ends + gap.
 
-    strict: touching rows are apart too.
+    strict: touching rows are apart too. spread: by blocks, for groups that may hold a large part of
+    all rows.
     """
+    if spread:
+        by, sorted_by = _cols(by), [START, END]
+        rows = scans.running_max(scans.in_blocks(df, by, sorted_by), by, sorted_by, F.col(END), "_before")
+        limit = F.col("_before") + gap_ms
+        new = F.when(limit.isNull() | (F.col(START) >= limit if strict else F.col(START) > limit), 1).otherwise(0)
+        return scans.running_sum(rows.withColumn("_new", new), by, sorted_by, F.col("_new"), name).select(*df.columns, name)
     order = Window.partitionBy(*_cols(by)).orderBy(START, END)
     before = F.max(END).over(order.rowsBetween(Window.unboundedPreceding, -1)) + gap_ms
     apart = F.col(START) >= before if strict else F.col(START) > before
@@ -31,24 +40,27 @@ def with_islands(df: DataFrame, by: str | list[str], gap_ms: int = 0, *, strict:
     return flagged.withColumn(name, F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def merge_intervals(df: DataFrame, by: str | list[str], gap_ms: int = 0, reasons: str | None = None) -> DataFrame:
+def merge_intervals(df: DataFrame, by: str | list[str], gap_ms: int = 0, reasons: str | None = None, *, spread: bool = False) -> DataFrame:
     """One row per island: bounds, members, and the union of an array column (F1)."""
     aggs = [F.min(START).alias(START), F.max(END).alias(END), F.count(F.lit(1)).alias("n")]
     if reasons:
         aggs.append(F.array_sort(F.array_distinct(F.flatten(F.collect_set(reasons)))).alias(reasons))
-    return with_islands(df, by, gap_ms).groupBy(*_cols(by), "island").agg(*aggs)
+    return with_islands(df, by, gap_ms, spread=spread).groupBy(*_cols(by), "island").agg(*aggs)
 
 
-def coverage_gaps(covered: DataFrame, durations: DataFrame, by: str = "audio_id", *, least_ms: int = 1500, pad_ms: int = 500) -> DataFrame:
+def coverage_gaps(covered: DataFrame, durations: DataFrame, by: str = "audio_id", *, least_ms: int = 1500, pad_ms: int = 500, spread: bool = False) -> DataFrame:
     """Holes of the coverage, before, between and after, padded and clamped to the recording (F2)."""
     d = durations.select(by, "duration_ms")
     rows = covered.join(d, by).filter(F.col(END) > F.col(START)).select(
         by, "duration_ms", F.greatest(F.col(START), F.lit(0)).alias(START), F.least(F.col(END), F.col("duration_ms")).alias(END), F.lit(0).alias("tail")
     )
     rows = rows.unionByName(d.select(by, "duration_ms", F.col("duration_ms").alias(START), F.col("duration_ms").alias(END), F.lit(1).alias("tail")))
-    order = Window.partitionBy(by).orderBy(START, END, "tail").rowsBetween(Window.unboundedPreceding, -1)
-    cursor = F.greatest(F.coalesce(F.max(END).over(order), F.lit(0)), F.lit(0)).cast("long")
-    holes = rows.withColumn("cursor", cursor).filter(F.col(START) - F.col("cursor") >= least_ms)
+    sorted_by = [START, END, "tail"]
+    if spread:
+        rows = scans.running_max(scans.in_blocks(rows, [by], sorted_by), [by], sorted_by, F.col(END), "_before")
+    else:
+        rows = rows.withColumn("_before", F.max(END).over(Window.partitionBy(by).orderBy(*sorted_by).rowsBetween(Window.unboundedPreceding, -1)))
+    holes = rows.withColumn("cursor", F.greatest(F.coalesce("_before", F.lit(0)), F.lit(0)).cast("long")).filter(F.col(START) - F.col("cursor") >= least_ms)
     right = F.when(F.col("tail") == 1, F.col("duration_ms")).otherwise(F.least(F.col("duration_ms"), F.col(START) + pad_ms))
     return holes.select(by, F.greatest(F.lit(0).cast("long"), F.col("cursor") - pad_ms).alias(START), right.alias(END))
 
@@ -84,15 +96,19 @@ def tile(df: DataFrame, window_ms: int, overlap_ms: int) -> DataFrame:
     )
 
 
-def assign_ids(df: DataFrame, prefix: str, by: str | list[str], order: list[str], name: str) -> DataFrame:
+def assign_ids(df: DataFrame, prefix: str, by: str | list[str], order: list[str], name: str, *, spread: bool = False) -> DataFrame:
     """Sequence ids in canonical order within each group."""
+    if spread:
+        by = _cols(by)
+        return scans.row_numbers(scans.in_blocks(df, by, order), by, order, "_n").withColumn(name, F.format_string(prefix + "%06d", "_n")).select(*df.columns, name)
     n = F.row_number().over(Window.partitionBy(*_cols(by)).orderBy(*order))
     return df.withColumn(name, F.format_string(prefix + "%06d", n))
 
 
-def canonical_order(df: DataFrame, by: str = "audio_id", key: str = "event_id") -> DataFrame:
-    """(start, end, id) within each group's partition (G1)."""
-    return df.repartition(by).sortWithinPartitions(by, START, END, key)
+def canonical_order(df: DataFrame, by: str = "audio_id", key: str = "event_id", *, spread: bool = False) -> DataFrame:
+    """(start, end, id) within each group's partition (G1). spread: partitions are ranges, so a long group has several, one behind the other."""
+    dealt = df.repartitionByRange(by, START, END, key) if spread else df.repartition(by)
+    return dealt.sortWithinPartitions(by, START, END, key)
 
 
 def dedup_overlapping(df: DataFrame, *, by: list[str], gap_ms: int = 400, score: str = "avg_logprob", key: str = "event_id", windows: str = "window_ids") -> DataFrame:
@@ -105,8 +121,14 @@ def dedup_overlapping(df: DataFrame, *, by: list[str], gap_ms: int = 400, score:
     )
 
 
-def overlap_warnings(cues: DataFrame, by: str = "audio_id", index: str = "cue_index") -> DataFrame:
+def overlap_warnings(cues: DataFrame, by: str = "audio_id", index: str = "cue_index", *, spread: bool = False) -> DataFrame:
     """Neighbours that overlap, and by how much (F8)."""
+    if spread:
+        sorted_by = [START, END, index]
+        held = scans.in_blocks(cues.select(by, index, START, END), [by], sorted_by)
+        rows = scans.neighbour(held, [by], sorted_by, F.struct(F.col(START).alias("s"), F.col(index).alias("i")), "_next")
+        rows = rows.withColumns({"next_start": F.col("_next.s"), "next_index": F.col("_next.i")})
+        return rows.filter(F.col(END) > F.col("next_start")).select(by, index, "next_index", (F.col(END) - F.col("next_start")).alias("overlap_ms"))
     order = Window.partitionBy(by).orderBy(START, END, index)
     rows = cues.select(by, index, START, END, F.lead(START).over(order).alias("next_start"), F.lead(index).over(order).alias("next_index"))
     return rows.filter(F.col(END) > F.col("next_start")).select(by, index, "next_index", (F.col(END) - F.col("next_start")).alias("overlap_ms"))

@@ -6,7 +6,6 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.text import texts_support
 from ..sources.subtitles import render_srt
 from . import batches, evidence, rescue, timeline
 from .graph import checkpoint
@@ -30,7 +29,7 @@ def generations(c: DataFrame) -> DataFrame:
     return parts.select("audio_id", "n_candidates", F.sha2(F.concat_ws("|", "n_candidates", "x", "s"), 256).alias("generation"))
 
 
-def evidence_audit(c: DataFrame, runs: DataFrame, durations: DataFrame, *, support=texts_support, timeline_support=timeline.python_support, **budget) -> Audit:
+def evidence_audit(c: DataFrame, runs: DataFrame, durations: DataFrame, *, support=None, timeline_support=timeline.python_support, **budget) -> Audit:
     """Align, classify, build the timeline and plan the rescue of every recording, from one snapshot.
 
     runs: audio_id, run_key, source_relation. A recording with a run whose source isn't "matched" is

@@ -46,7 +46,7 @@ def span_scores(spans: DataFrame, words: DataFrame, by: tuple[str, ...] = ("cue"
 
 
 def _norm(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKC", text).lower() if c.isalnum())
+    return "".join(c for c in unicodedata.normalize("NFKC", text) if c.isalnum())
 
 
 def best_span(target: str, words: list[tuple[str, int, int, float | None]], first: int = 0) -> dict | None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -71,27 +70,6 @@ def check_manifest(m: DataFrame) -> DataFrame:
     return m.select("doc_id", F.explode(rules).alias("rule"))
 
 
-def write_versioned(df: DataFrame, table_dir: str, manifest_dir: str, expected: DataFrame, current: DataFrame, key: str = "audio_id") -> DataFrame:
-    """Write df's keys whose input is unchanged since it was read, then the manifest rows that make them visible.
-
-    expected, current: key, sha. Readers join the manifest, so a version without its row doesn't
-    exist. Returns the keys left out.
-    """
-    same = expected.select(key, F.col("sha").alias("was")).join(current.select(key, "sha"), key).filter("was = sha").select(key, F.col("sha").alias("input_sha"))
-    version = uuid.uuid4().hex
-    df.join(same.select(key), key, "left_semi").write.mode("append").parquet(f"{table_dir}/version={version}")
-    written = df.sparkSession.read.parquet(f"{table_dir}/version={version}").select(key).distinct()
-    written.join(same, key).select(key, "input_sha", F.lit(version).alias("version"), F.current_timestamp().alias("written_at"), F.lit("complete").alias("status")).write.mode("append").parquet(manifest_dir)
-    return expected.select(key).join(same.select(key), key, "left_anti")
-
-
-def latest_versions(manifest: DataFrame, key: str = "audio_id") -> tuple[DataFrame, DataFrame]:
-    """(current, superseded) manifest rows: the history stays."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("written_at"), F.desc("version")))
-    rows = manifest.withColumn("_n", n)
-    return rows.filter("_n = 1").drop("_n"), rows.filter("_n > 1").drop("_n")
-
-
 def usage_report(calls: DataFrame, by: str = "stage") -> DataFrame:
     """Token totals and the cache's share of prompts."""
     s = lambda c: F.sum(c).alias(c)

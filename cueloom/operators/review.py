@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.text import text_violations
+from ..functions.text import norm_text, text_violations
 from ..functions.timecode import iou
+from . import scans
 from .intervals import END, START
 
 #: The reason that says no more than that an alignment is to be looked at, and those about time.
@@ -73,9 +76,15 @@ def overlap_review(items: DataFrame) -> DataFrame:
     return items.withColumn("needs_review", F.col("timing_kind").contains("overlap") & (small(before) | small(after)) & (F.col("shift_ms") >= 500))
 
 
-def with_context(items: DataFrame) -> DataFrame:
-    """Ids of the previous and next subtitle row, other kinds skipped."""
-    sub = F.when(F.col("kind") == "subtitle", F.col("id"))
+def with_context(items: DataFrame, *, spread: bool = False) -> DataFrame:
+    """Ids of the previous and next subtitle row, other kinds skipped (F7). spread: by blocks, for recordings with a large part of all rows."""
+    is_sub = F.col("kind") == "subtitle"
+    if spread:
+        by, order = ["audio_id"], [START, "id"]
+        rows = scans.in_blocks(items, by, order)
+        rows = scans.neighbour(rows, by, order, F.col("id"), "prev_id", ahead=False, only=is_sub)
+        return scans.neighbour(rows, by, order, F.col("id"), "next_id", only=is_sub).select(*items.columns, "prev_id", "next_id")
+    sub = F.when(is_sub, F.col("id"))
     w = Window.partitionBy("audio_id").orderBy(START, "id")
     return items.withColumns({
         "prev_id": F.last(sub, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
@@ -87,21 +96,19 @@ def review_items(cues: DataFrame, items: DataFrame, c: DataFrame, support, timin
     """The work-list: cues with their timeline item and its text, timing and informational flags.
 
     cues: text_ja, text_zh. items: timeline_id, classification, review_required, timing_kind, evidence_ids.
-    support, timing: (Column, Column) -> Column on candidate and cue text. reasons: what a script's
+    support, timing: (Column, Column) -> Column on the normal forms (J1) of cue and candidate text. reasons: what a script's
     alignment says of items (script_reasons). Given them, they alone ask for review besides doubtful
     evidence: an item's own request, settled disagreements and overlaps without a reason about time
     are left out (the script filter).
     """
     keys = ["audio_id", "cue_index"]
     placed = cues.join(match_cues(cues, items), keys, "left").join(items.select("audio_id", "timeline_id", "classification", "review_required", "timing_kind", "evidence_ids"), ["audio_id", "timeline_id"], "left")
-    rows = placed.select(*keys, START, END, "text_ja", F.explode("evidence_ids").alias("event_id")).join(
-        c.select("event_id", F.col("text").alias("c_text"), F.col(START).alias("c_start"), F.col(END).alias("c_end")), "event_id"
+    rows = placed.select(*keys, START, END, norm_text(F.col("text_ja")).alias("norm"), F.explode("evidence_ids").alias("event_id")).join(
+        c.select("event_id", norm_text(F.col("text")).alias("c_norm"), F.col(START).alias("c_start"), F.col(END).alias("c_end")), "event_id"
     )
-    from ..functions.text import norm_text
-
-    fits = timing(F.col("c_text"), F.col("text_ja"))
-    facts = rows.withColumns({"backs": support(F.col("text_ja"), F.col("c_text")), "fits": fits}).groupBy(*keys).agg(
-        F.bool_or("backs").alias("backed"), F.size(F.array_remove(F.collect_set(norm_text(F.col("c_text"))), "")).alias("n_texts"), F.bool_or("fits").alias("any_fit"),
+    fits = timing(F.col("c_norm"), F.col("norm"))
+    facts = rows.withColumns({"backs": support(F.col("norm"), F.col("c_norm")), "fits": fits}).groupBy(*keys).agg(
+        F.bool_or("backs").alias("backed"), F.size(F.array_remove(F.collect_set("c_norm"), "")).alias("n_texts"), F.bool_or("fits").alias("any_fit"),
         F.min(F.when(F.col("fits"), F.col("c_start"))).alias("s0"), F.max(F.when(F.col("fits"), F.col("c_start"))).alias("s1"),
         F.min(F.when(F.col("fits"), F.col("c_end"))).alias("e0"), F.max(F.when(F.col("fits"), F.col("c_end"))).alias("e1"),
     )
@@ -137,9 +144,21 @@ def join_decisions(items: DataFrame, decisions: DataFrame, keys: tuple[str, ...]
     return both.filter("i IS NULL OR d IS NULL").select(*keys, F.when(F.col("d").isNull(), "missing_decision").otherwise("unknown_item").alias("rule"))
 
 
+#: Texts of the halves of a split cue.
+SPLIT_TEXTS = ("split_ja_before", "split_ja_after", "split_zh_before", "split_zh_after")
+
+
+def with_split_texts(decisions: DataFrame) -> DataFrame:
+    """decisions with all of SPLIT_TEXTS, null where it lacks them."""
+    return decisions.withColumns({c: F.lit(None).cast("string") for c in SPLIT_TEXTS if c not in decisions.columns})
+
+
 def check_review(items: DataFrame, decisions: DataFrame) -> DataFrame:
     """Decisions that break the submission contract (K6)."""
     keys = ["audio_id", "cue_index"]
+    decisions = with_split_texts(decisions)
+    halves = [F.trim(F.coalesce(c, F.lit(""))) for c in SPLIT_TEXTS]
+    unsafe = [F.size(F.filter(text_violations(F.col(c)), lambda v: ~v.isin("empty", *(() if c.startswith("split_ja") else ("newline",))))) > 0 for c in SPLIT_TEXTS]
     w = Window.partitionBy("audio_id").orderBy("cue_index")
     rows = items.select(*keys, START, END).join(decisions, keys).withColumns({"next_action": F.lead("action").over(w), "next_structure": F.lead("structure").over(w), "next_end": F.lead(F.coalesce("edited_end", END)).over(w)})
     start, end = F.coalesce("edited_start", START), F.coalesce("edited_end", END)
@@ -149,6 +168,8 @@ def check_review(items: DataFrame, decisions: DataFrame) -> DataFrame:
         F.when(F.col("action").isin("edit", "accept") & (F.size(text_violations(F.col("edited_zh"))) > 0), F.lit("unsafe_text")),
         F.when(end <= start, F.lit("no_duration")),
         F.when((F.col("structure") == "split") & ~((F.col("split_at") > start) & (F.col("split_at") < end)), F.lit("split_outside")),
+        F.when((F.col("structure") == "split") & reduce(lambda a, b: a | b, [h == "" for h in halves]), F.lit("split_text_missing")),
+        F.when((F.col("structure") == "split") & reduce(lambda a, b: a | b, unsafe), F.lit("unsafe_split_text")),
         F.when(merge & F.col("next_action").isNull(), F.lit("merge_last")),
         F.when(merge & (F.col("next_action") == "reject"), F.lit("merge_rejected")),
         F.when(merge & (F.col("next_structure") != "keep"), F.lit("merge_structured")),
@@ -161,8 +182,10 @@ def apply_review(items: DataFrame, decisions: DataFrame) -> DataFrame:
     """Cues after decisions: rejected ones go, edits apply, splits give two, merge_next takes the next one's end and text.
 
     decisions: action, structure (keep, split, merge_next), edited_ja, edited_zh, edited_start, edited_end,
-    split_at. A split repeats the text with the marks of its halves unless split texts are given.
+    split_at, and split_ja_before, split_ja_after, split_zh_before, split_zh_after, the texts of a
+    split's halves. check_review refuses splits without them; here their halves have null texts.
     """
+    decisions = with_split_texts(decisions)
     keys = ["audio_id", "cue_index"]
     rows = items.join(decisions, keys).withColumn("edits", F.col("action").isin("edit", "accept"))
     rows = rows.withColumns({
@@ -178,7 +201,7 @@ def apply_review(items: DataFrame, decisions: DataFrame) -> DataFrame:
     s, e, ja, zh, i = F.col(START), F.col(END), F.col("text_ja"), F.col("text_zh"), F.col("cue_index").cast("string")
     cut = F.col("split_at")
     out = (
-        F.when(F.col("structure") == "split", F.array(cue(s, cut, F.concat(i, F.lit("-A")), ja, zh), cue(cut, e, F.concat(i, F.lit("-B")), ja, zh)))
+        F.when(F.col("structure") == "split", F.array(cue(s, cut, F.concat(i, F.lit("-A")), F.col("split_ja_before"), F.col("split_zh_before")), cue(cut, e, F.concat(i, F.lit("-B")), F.col("split_ja_after"), F.col("split_zh_after"))))
         .when((F.col("structure") == "merge_next") & F.col("nxt").isNotNull(), F.array(cue(s, F.col(f"nxt.{END}"), F.concat(i, F.lit("+"), (F.col("cue_index") + 1).cast("string")), F.concat(ja, F.col("nxt.text_ja")), F.concat(zh, F.col("nxt.text_zh")))))
         .otherwise(F.array(cue(s, e, i, ja, zh)))
     )

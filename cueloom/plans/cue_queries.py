@@ -134,7 +134,7 @@ def _(s, d):
 @query("f8_overlap_warnings", """n AS (SELECT *, lead(start_ms) OVER w AS ns, lead(cue_index) OVER w AS next_index FROM fx_cue WINDOW w AS (PARTITION BY audio_id ORDER BY start_ms, end_ms, cue_index))
 SELECT audio_id, cue_index, next_index, end_ms - ns AS overlap_ms FROM n WHERE end_ms > ns""", CUE)
 def _(s, d):
-    return iv.overlap_warnings(cue(s, d))
+    return iv.overlap_warnings(cue(s, d), spread=True)
 
 
 @query("f10_reconcile_bounds", """n AS (SELECT *, lag(end_ms) OVER w AS pe, lead(start_ms) OVER w AS ns FROM fx_cue WINDOW w AS (PARTITION BY audio_id ORDER BY start_ms, end_ms, cue_index)),
@@ -157,7 +157,7 @@ def _(s, d):
     return table(s, d, "benchmark").select("item_id", tx.norm_align(F.col("text")).alias("norm"))
 
 
-@query("j3_norm_alnum", "SELECT item_id, lower(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS norm FROM benchmark")
+@query("j3_norm_alnum", "SELECT item_id, regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g') AS norm FROM benchmark")
 def _(s, d):
     return table(s, d, "benchmark").select("item_id", tx.norm_alnum(F.col("text")).alias("norm"))
 
@@ -213,14 +213,18 @@ def _(s, d):
 N2 = P + f", q AS (SELECT item_id, {NORM.format('a')} AS a, {NORM.format('b')} AS b FROM p)"
 
 
+def normed_pairs(s, d) -> DataFrame:
+    return text_pairs(s, d).select("item_id", tx.norm_text(F.col("a")).alias("na"), tx.norm_text(F.col("b")).alias("nb"))
+
+
 @query("j8_texts_support", N2 + f" SELECT item_id, length(a) > 0 AND length(b) > 0 AND ((least(length(a), length(b)) >= 2 AND (contains(a, b) OR contains(b, a))) OR (2 * least(length(a), length(b)) >= 0.62 * (length(a) + length(b)) AND {dice('a', 'b')} >= 0.62)) AS support FROM q")
 def _(s, d):
-    return text_pairs(s, d).select("item_id", tx.texts_support(F.col("a"), F.col("b"), tx.bigram_dice).alias("support"))
+    return normed_pairs(s, d).select("item_id", tx.norms_support(F.col("na"), F.col("nb"), tx.bigram_dice).alias("support"))
 
 
 @query("j9_timing_support", N2 + f" SELECT item_id, length(a) > 0 AND length(b) > 0 AND least(length(a), length(b)) / greatest(length(a), length(b)) >= 0.7 AND (contains(a, b) OR contains(b, a) OR {dice('a', 'b')} >= 0.7) AS support FROM q")
 def _(s, d):
-    return text_pairs(s, d).select("item_id", tx.timing_support(F.col("a"), F.col("b"), tx.bigram_dice).alias("support"))
+    return normed_pairs(s, d).select("item_id", tx.norms_timing_support(F.col("na"), F.col("nb"), tx.bigram_dice).alias("support"))
 
 
 @query("j12_phonetic_hook", "SELECT item_id, text AS reading FROM benchmark")

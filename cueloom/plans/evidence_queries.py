@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import norm_text
-from ..operators import evidence as ev, intervals as iv, rescue as rs
+from ..operators import evidence as ev, intervals as iv, rescue as rs, scans
 from ..operators.graph import checkpoint
 from .fixtures import fx
 from .registry import query
@@ -38,9 +38,8 @@ walk(event_id, c) AS (
 comp AS (SELECT event_id, min(c) AS component FROM walk GROUP BY event_id)"""
 
 
-def contains_only(a, b):
-    """The SQL-expressible part of the support test: no similarity beyond containment."""
-    na, nb = norm_text(a), norm_text(b)
+def contains_only(na, nb):
+    """The SQL-expressible part of the support test on normal forms: no similarity beyond containment."""
     return (F.least(F.length(na), F.length(nb)) >= 2) & (na.contains(nb) | nb.contains(na))
 
 
@@ -67,7 +66,7 @@ def _(s, d):
 
 @query("f1_merge_intervals", ISLANDS.strip() + " SELECT audio_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n FROM isl GROUP BY audio_id, island", C)
 def _(s, d):
-    return iv.merge_intervals(cand(s, d), "audio_id", 800).drop("island")
+    return iv.merge_intervals(cand(s, d), "audio_id", 800, spread=True).drop("island")
 
 
 GAPS = """
@@ -80,20 +79,45 @@ SELECT audio_id, CAST(greatest(0, c - 500) AS BIGINT) AS start_ms, CAST(CASE WHE
 
 @query("f2_coverage_gaps", GAPS, CD)
 def _(s, d):
-    return iv.coverage_gaps(cand(s, d), fx(s, d, "fx_duration"))
+    return iv.coverage_gaps(cand(s, d), fx(s, d, "fx_duration"), spread=True)
 
 
 @query("f3_sequence_ids", "SELECT event_id, printf('W%06d', row_number() OVER (PARTITION BY audio_id ORDER BY start_ms, end_ms, event_id)) AS wid FROM fx_candidate", C)
 def _(s, d):
-    return iv.assign_ids(cand(s, d), "W", "audio_id", ["start_ms", "end_ms", "event_id"], "wid").select("event_id", "wid")
+    return iv.assign_ids(cand(s, d), "W", "audio_id", ["start_ms", "end_ms", "event_id"], "wid", spread=True).select("event_id", "wid")
 
 
-@query("g1_canonical_order", "SELECT audio_id, event_id, row_number() OVER (PARTITION BY audio_id ORDER BY start_ms, end_ms, event_id) AS place FROM fx_candidate", C)
+#: Half of all candidates in recording 0, one behind the other; the rest as they are.
+HOT = "hot AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 0 ELSE audio_id END AS audio_id, CASE WHEN event_id % 2 = 0 THEN start_ms + audio_id * 10000000 ELSE start_ms END AS start_ms, CASE WHEN event_id % 2 = 0 THEN end_ms + audio_id * 10000000 ELSE end_ms END AS end_ms FROM fx_candidate)"
+
+
+def hot(s, d) -> DataFrame:
+    half, far = F.col("event_id") % 2 == 0, F.col("audio_id") * 10_000_000
+    moved = {c: F.when(half, F.col(c) + far).otherwise(F.col(c)) for c in ("start_ms", "end_ms")}
+    return cand(s, d).select("event_id", F.when(half, 0).otherwise(F.col("audio_id")).alias("audio_id"), *[v.alias(k) for k, v in moved.items()])
+
+
+@query("f1_hot_recording", HOT + ", " + ISLANDS.strip().replace("fx_candidate", "hot") + " SELECT audio_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n FROM isl GROUP BY audio_id, island", C)
+def _(s, d):
+    return iv.merge_intervals(hot(s, d), "audio_id", 800, spread=True).drop("island")
+
+
+@query("f2_hot_recording", HOT + ", fx_duration2 AS (SELECT audio_id, max(end_ms) + 5000 AS duration_ms FROM hot GROUP BY audio_id)," + GAPS.replace("fx_candidate", "hot").replace("fx_duration", "fx_duration2"), C)
+def _(s, d):
+    lengths = hot(s, d).groupBy("audio_id").agg((F.max("end_ms") + 5000).alias("duration_ms"))
+    return iv.coverage_gaps(hot(s, d), lengths, spread=True)
+
+
+@query("f3_hot_recording", HOT + " SELECT event_id, printf('W%06d', row_number() OVER (PARTITION BY audio_id ORDER BY start_ms, end_ms, event_id)) AS wid FROM hot", C)
 def _(s, d):
-    from pyspark.sql import Window
+    return iv.assign_ids(hot(s, d), "W", "audio_id", ["start_ms", "end_ms", "event_id"], "wid", spread=True).select("event_id", "wid")
 
-    rows = iv.canonical_order(cand(s, d))
-    return rows.select("audio_id", "event_id", F.row_number().over(Window.partitionBy("audio_id").orderBy("start_ms", "end_ms", "event_id")).cast("long").alias("place"))
+
+@query("g1_canonical_order", "SELECT audio_id, event_id, row_number() OVER (PARTITION BY audio_id ORDER BY start_ms, end_ms, event_id) AS place FROM fx_candidate", C)
+def _(s, d):
+    order = ["start_ms", "end_ms", "event_id"]
+    rows = scans.row_numbers(scans.in_blocks(cand(s, d), ["audio_id"], order), ["audio_id"], order, "place")
+    return iv.canonical_order(rows, spread=True).select("audio_id", "event_id", F.col("place").cast("long").alias("place"))
 
 
 @query("d1_interval_pairs", PAIRS.strip() + " SELECT audio_id, event_id_a, event_id_b FROM pairs", C)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import bigram_dice
-from ..operators import batches as bt, graph, jobs, long_cues as lc, manifests as mf, script_alignment as sa
+from ..operators import batches as bt, graph, jobs, long_cues as lc, manifests as mf, script_alignment as sa, snapshots
 from ..sources import evidence as sv, subtitles as st
 from ..streaming import streams
 from .cue_queries import CUE, cue, dice
@@ -203,19 +203,20 @@ def _(s, d):
 @query("b3_versioned_write", "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'input_changed' ELSE 'written' END AS outcome FROM fx_manifest", ("fx_manifest",))
 def _(s, d):
     m = fx(s, d, "fx_manifest")
-    base = f"{_shared(s)}/versions"
-    left = mf.write_versioned(m.select("doc_id", "output_name"), f"{base}/table", f"{base}/manifest", m.select("doc_id", F.col("recorded_sha").alias("sha")), m.select("doc_id", F.col("current_sha").alias("sha")), "doc_id")
-    current, _ = mf.latest_versions(s.read.parquet(f"{base}/manifest"), "doc_id")
-    return left.withColumn("outcome", F.lit("input_changed")).unionByName(current.select("doc_id", F.lit("written").alias("outcome")))
+    held = snapshots.SnapshotTable(s, f"{_shared(s)}/versions", "doc_id")
+    left = snapshots.write_bound(held, m.select("doc_id", "output_name"), m.select("doc_id", F.col("recorded_sha").alias("sha")), m.select("doc_id", F.col("current_sha").alias("sha")))
+    return left.withColumn("outcome", F.lit("input_changed")).unionByName(held.read().select("doc_id", F.lit("written").alias("outcome")))
 
 
-@query("b5_superseded_versions", "SELECT doc_id, 1::BIGINT AS superseded FROM documents")
+@query("b5_superseded_versions", """w AS (SELECT doc_id, 1 + (doc_id % 2 = 0)::INT + (doc_id % 3 = 0)::INT AS writes, CASE WHEN doc_id % 3 = 0 THEN 2 WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS last FROM documents)
+SELECT doc_id, (writes - 1)::BIGINT AS superseded, last AS current_version FROM w""")
 def _(s, d):
+    """All keys, then every second, then every third."""
     m = fx(s, d, "fx_manifest").select("doc_id", F.col("current_sha").alias("sha"))
-    base = f"{_shared(s)}/history"
-    for _k in range(2):
-        mf.write_versioned(m, f"{base}/table", f"{base}/manifest", m, m, "doc_id")
-    return mf.latest_versions(s.read.parquet(f"{base}/manifest"), "doc_id")[1].groupBy("doc_id").agg(F.count(F.lit(1)).alias("superseded"))
+    held = snapshots.SnapshotTable(s, f"{_shared(s)}/history", "doc_id")
+    for k in (1, 2, 3):
+        snapshots.write_bound(held, m.filter(F.col("doc_id") % k == 0), m, m)
+    return held.history().groupBy("doc_id").agg((F.count(F.lit(1)) - 1).alias("superseded"), F.max("written_in").alias("current_version"))
 
 
 def _shared(s) -> str:
@@ -257,12 +258,13 @@ def _(s, d):
     return s.read.schema(rows.schema).parquet(f"{base}/out").select("audio_id", "event_id")
 
 
-@query("m2_upsert_stream", "SELECT run_key, count(*) AS n FROM fx_candidate GROUP BY run_key", C)
+@query("m2_upsert_stream", "SELECT run_key, count(*) AS n, count(*) FILTER (audio_id % 2 = 0) AS n_second FROM fx_candidate GROUP BY run_key", C)
 def _(s, d):
-    rows, base = cand(s, d), _shared(s)
-    for _k in range(2):  # the second arrival replaces the first
-        streams.upsert_stream(_as_stream(s, rows), f"{base}/table", _shared(s)).awaitTermination()
-    return s.read.parquet(f"{base}/table").groupBy("run_key").agg(F.count(F.lit(1)).alias("n"))
+    """All runs, then those of every second recording again: they replace the first."""
+    rows, held = cand(s, d).withColumn("arrival", F.lit(1)), snapshots.SnapshotTable(s, f"{_shared(s)}/runs", "audio_id")
+    for part in (rows, rows.filter("audio_id % 2 = 0").withColumn("arrival", F.lit(2))):
+        streams.upsert_stream(_as_stream(s, part), held, _shared(s)).awaitTermination()
+    return held.read().groupBy("run_key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("arrival") == 2).alias("n_second"))
 
 
 SESSIONS = """x AS (SELECT *, lag(start_ms) OVER (PARTITION BY audio_id ORDER BY start_ms) AS last FROM fx_candidate),

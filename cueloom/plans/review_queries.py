@@ -212,7 +212,7 @@ SELECT audio_id, id, last_value(sub IGNORE NULLS) OVER (PARTITION BY audio_id OR
 first_value(sub IGNORE NULLS) OVER (PARTITION BY audio_id ORDER BY start_ms, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_id FROM k""", CUE)
 def _(s, d):
     c = cue(s, d).select("audio_id", F.col("cue_index").alias("id"), "start_ms", F.when(F.col("cue_index") % 3 == 0, "excluded").otherwise("subtitle").alias("kind"))
-    return rv.with_context(c).select("audio_id", "id", "prev_id", "next_id")
+    return rv.with_context(c, spread=True).select("audio_id", "id", "prev_id", "next_id")
 
 
 @query("l11_review_items")
@@ -242,13 +242,14 @@ def decisions(s, d, last_ok: bool = True) -> DataFrame:
         "audio_id", "cue_index", F.when(i == 0, "edit").when(i == 1, "reject").otherwise("keep").alias("action"), F.when(i == 3, "split").when(merge, "merge_next").otherwise("keep").alias("structure"),
         F.when(i == 0, F.lit("JA")).alias("edited_ja"), F.when(i == 0, F.lit("ZH")).alias("edited_zh"), F.when(i == 2, F.col("start_ms") + 50).alias("edited_start"), F.when(i == 2, F.col("end_ms") - 50).alias("edited_end"),
         F.when(i == 3, F.floor((F.col("start_ms") + F.col("end_ms")) / 2)).alias("split_at"),
+        *[F.when((i == 3) & (F.col("cue_index") % 4 != 1 if not last_ok else F.lit(True)), half(F.col(f"text_{lang}"))).alias(f"split_{lang}_{side}") for lang in ("ja", "zh") for side, half in (("before", lambda t: F.concat(F.lit("A:"), F.left(t, F.floor(F.length(t) / 2).cast("int")))), ("after", lambda t: F.concat(F.lit("B:"), F.substring(t, F.floor(F.length(t) / 2).cast("int") + 1, F.length(t)))))],
     )
 
 
 REVIEW = """m AS (SELECT *, cue_index % 6 AS i, max(cue_index) OVER (PARTITION BY audio_id) = cue_index AS last_ FROM fx_cue),
 e AS (SELECT audio_id, cue_index, i, last_, CASE WHEN i = 2 THEN start_ms + 50 ELSE start_ms END AS s, CASE WHEN i = 2 THEN end_ms - 50 ELSE end_ms END AS en, CASE WHEN i = 0 THEN 'JA' ELSE text_ja END AS ja, CASE WHEN i = 0 THEN 'ZH' ELSE text_zh END AS zh FROM m),
 x AS (SELECT *, lead(en) OVER w AS ne, lead(ja) OVER w AS nja, lead(zh) OVER w AS nzh, lag(i) OVER w = 4 AS eaten FROM e WINDOW w AS (PARTITION BY audio_id ORDER BY cue_index)),
-y AS (SELECT audio_id, s, CAST(floor((s + en) / 2) AS BIGINT) AS en, cue_index || '-A' AS id, ja, zh FROM x WHERE i = 3 UNION ALL SELECT audio_id, CAST(floor((s + en) / 2) AS BIGINT), en, cue_index || '-B', ja, zh FROM x WHERE i = 3
+y AS (SELECT audio_id, s, CAST(floor((s + en) / 2) AS BIGINT) AS en, cue_index || '-A' AS id, 'A:' || substr(ja, 1, length(ja) // 2) AS ja, 'A:' || substr(zh, 1, length(zh) // 2) AS zh FROM x WHERE i = 3 UNION ALL SELECT audio_id, CAST(floor((s + en) / 2) AS BIGINT), en, cue_index || '-B', 'B:' || substr(ja, length(ja) // 2 + 1), 'B:' || substr(zh, length(zh) // 2 + 1) FROM x WHERE i = 3
   UNION ALL SELECT audio_id, s, ne, cue_index || '+' || cue_index + 1, ja || nja, zh || nzh FROM x WHERE i = 4 AND NOT last_
   UNION ALL SELECT audio_id, s, en, CAST(cue_index AS VARCHAR), ja, zh FROM x WHERE (i IN (0, 2, 5) OR (i = 4 AND last_)) AND NOT coalesce(eaten, FALSE))"""
 
@@ -263,6 +264,6 @@ def _(s, d):
     return rv.apply_review(cue(s, d).select("audio_id", "cue_index", "start_ms", "end_ms", "text_ja", "text_zh"), decisions(s, d)).filter(F.col("id").contains("+")).select("audio_id", "start_ms", "end_ms", "id")
 
 
-@query("k6_review_contract", "SELECT audio_id, max(cue_index) AS cue_index, 'merge_last' AS rule FROM fx_cue GROUP BY audio_id HAVING max(cue_index) % 6 = 4", CUE)
+@query("k6_review_contract", "SELECT audio_id, max(cue_index) AS cue_index, 'merge_last' AS rule FROM fx_cue GROUP BY audio_id HAVING max(cue_index) % 6 = 4 UNION ALL SELECT audio_id, cue_index, 'split_text_missing' FROM fx_cue WHERE cue_index % 6 = 3 AND cue_index % 4 = 1 UNION ALL SELECT audio_id, cue_index, 'unsafe_split_text' FROM fx_cue WHERE cue_index % 6 = 3 AND cue_index % 4 <> 1 AND regexp_matches(text_ja, '[\\r\\n]')", CUE)
 def _(s, d):
     return rv.check_review(cue(s, d).select("audio_id", "cue_index", "start_ms", "end_ms"), decisions(s, d, last_ok=False))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.evidence import upsert_runs
-from ..operators.graph import checkpoint as cached
+from ..operators.snapshots import SnapshotTable
 
 
 def ingest_new(spark: SparkSession, source: str, schema, target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None, fmt: str = "parquet"):
@@ -19,34 +19,19 @@ def ingest_new(spark: SparkSession, source: str, schema, target: str, checkpoint
     return out.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_stream(arriving: DataFrame, target: str, checkpoint: str, *, by: str = "audio_id", buckets: int = 64):
-    """Run-level upsert of every micro-batch into the table at target (M2).
+def upsert_stream(arriving: DataFrame, target: SnapshotTable, checkpoint: str):
+    """Run-level upsert of every micro-batch into a snapshot table, one version each (M2).
 
-    The table is partitioned by a hash of `by`; a micro-batch reads and rewrites only the partitions
-    that it touches. A batch that is run again gives the same table, since it replaces whole runs.
+    A reader sees a batch as a whole or not at all. One that is run again after a failure is known by
+    its number and left out.
     """
 
-    def one(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        cols = batch.columns
-        new = cached(batch.withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int")))
-        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
-        if not touched:
-            return
-        rows = new.select(*cols)
-        if _exists(spark, target):
-            rows = upsert_runs(spark.read.schema(new.schema).parquet(target).filter(F.col("bucket").isin(touched)).select(*cols), rows)
-        merged = cached(rows.withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int")))
-        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
+    def one(batch: DataFrame, n: int) -> None:
+        target.upsert(batch, upsert_runs, writer=checkpoint, batch=n)
 
     return arriving.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def write_complete(totals: DataFrame, target: str, checkpoint: str):
     """All groups of a streaming aggregation as they stand after each micro-batch n, in target/n."""
 
