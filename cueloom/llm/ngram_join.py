@@ -47,7 +47,6 @@ from .neardup import ODD, SALT, parities, words_of
 WIDTH = 4
 THRESHOLD = 85  # per cent
 ORDERS = 3
-FURTHER = [f"o{k}" for k in range(2, ORDERS + 1)]
 #: Shingles that the first order puts last, at most (8 bytes each, and as many for their ranks).
 COMMON = 1 << 17
 #: Centres of a bucket in each round but the last, which takes all pairs left.
@@ -224,47 +223,59 @@ def buckets(rows: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & may_join(threshold), "left_semi")
 
 
-def sets_where_needed(docs: DataFrame, needs: DataFrame, *, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """b, salt, node, shingles, and o2, o3, ... (prefixes under the further orders) for each row of needs(b, salt, node, doc_id, th)."""
+def sets_where_needed(docs: DataFrame, needs: DataFrame, *, width: int = WIDTH) -> DataFrame:
+    """b, salt, node, shingles for each row of needs(b, salt, node, doc_id, th)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, last = Shingler(width), (None, None)
         for part, texts in _texts(batches, 3):
-            sets, prefixes = [], [[] for _ in FURTHER]
+            sets = []
             for node, text in zip(part.column(2).to_pylist(), texts):
                 if node != last[0]:  # a node's rows come one after another
-                    x = make.shingles(text)
-                    last = node, (x, [hashed_prefix(x, k, prefix_size(len(x), threshold)) for k in range(2, ORDERS + 1)])
-                sets.append(last[1][0])
-                for held, p in zip(prefixes, last[1][1]):
-                    held.append(p)
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], _longs(sets), *map(_longs, prefixes)], names=["b", "salt", "node", "shingles", *FURTHER])
+                    last = node, make.shingles(text)
+                sets.append(last[1])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], _longs(sets)], names=["b", "salt", "node", "shingles"])
 
     slot = lambda: F.pmod(F.xxhash64("doc_id", "th"), F.lit(SLOTS)).cast("int").alias("slot")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("th"), "text")
     texts = texts.withColumn("slot", slot()).join(F.broadcast(needs.select(slot()).distinct()), "slot", "left_semi").alias("t")
     named = texts.join(needs.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.th") == F.col("w.th")))
-    return named.select("b", "salt", "node", "text").mapInArrow(run, "b long, salt int, node long, shingles array<long>, " + ", ".join(f"{c} array<long>" for c in FURTHER))
+    return named.select("b", "salt", "node", "text").mapInArrow(run, "b long, salt int, node long, shingles array<long>")
+
+
+def alike(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    """Whether two sets share a prefix token under each of the further orders, and then whether they reach the threshold."""
+    p, q = prefix_size(len(x), threshold), prefix_size(len(y), threshold)
+    if not all(np.intersect1d(hashed_prefix(x, k, p), hashed_prefix(y, k, q)).size for k in range(2, ORDERS + 1)):
+        return False
+    both = np.intersect1d(x, y, assume_unique=True).size
+    return 100 * both >= threshold * (len(x) + len(y) - both)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, *, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """The pairs (a, b) of nodes that share a prefix token under all orders and whose full sets reach the threshold.
 
-    Sets are made where they are compared: b's once for each of SALT parts of its partners, a's once for each pair.
+    Sets are sent once to where they are compared: b's for each of SALT parts of its partners, a's for
+    each pair. There the rows of (b, salt) come in order, b's set first, and only it is held.
     """
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SALT)).cast("int").alias("salt"))
     needs = dealt.select("b", "salt", F.col("a").alias("node")).unionByName(dealt.select("b", "salt", F.col("b").alias("node")).distinct())
     needs = materialize(needs.join(classes.select("node", "doc_id", "th"), "node").select("b", "salt", "node", "doc_id", "th"), "set_needs")
-    sets = materialize(sets_where_needed(docs, needs, width=width, threshold=threshold), "full_sets")
-    named = lambda s, names: [F.col(c).alias(f"{c}_{s}") for c in names]
-    cells = ["shingles", *FURTHER]
-    centre = sets.filter("node = b").select("b", "salt", *named("b", cells))
-    met = sets.filter("node <> b").select("b", "salt", F.col("node").alias("a"), *named("a", cells)).join(centre, ["b", "salt"])
-    for c in FURTHER:
-        met = met.filter(F.arrays_overlap(f"{c}_a", f"{c}_b"))
-    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    met = met.select("a", "b", both.alias("both"), (F.size("shingles_a") + F.size("shingles_b")).alias("sizes"))
-    return met.filter(100 * F.col("both") >= threshold * (F.col("sizes") - F.col("both"))).select("a", "b").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, centre = None, None
+        for part in batches:
+            found: tuple[list, list] = ([], [])
+            for b, salt, node, cell in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3)):
+                shingles = cell.values.to_numpy().view(np.uint64)
+                if node == b:
+                    held, centre = (b, salt), shingles
+                elif held == (b, salt) and alike(shingles, centre, threshold):
+                    found[0].append(node), found[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+
+    sets = sets_where_needed(docs, needs, width=width).repartition("b", "salt").sortWithinPartitions("b", "salt", (F.col("node") != F.col("b")), "node")
+    return sets.select("b", "salt", "node", "shingles").mapInArrow(run, "a long, b long").distinct()
 
 
 def linked(docs: DataFrame, members: DataFrame, classes: DataFrame, *, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame | None:
