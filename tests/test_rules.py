@@ -168,7 +168,7 @@ def test_timeline_never_overlaps(spark):
 
 def test_normal_forms(spark):
     assert one(spark, tx.norm_align(F.lit("カタカナ、ＡＢＣ！"))) == "かたかなabc"
-    assert one(spark, tx.norm_alnum(F.lit("Ｆｕｌｌ-width １２"))) == "fullwidth12"
+    assert one(spark, tx.norm_alnum(F.lit("Ｆｕｌｌ-width １２"))) == "Fullwidth12"
     assert one(spark, tx.ratio()(F.lit("abcd"), F.lit("bcde"))) == 0.75
     with pytest.raises(Exception, match="bad run identity"):
         one(spark, tx.run_key(F.lit("side"), F.lit("v3"), F.lit("raw")))
