@@ -16,9 +16,9 @@ under any one order of all tokens; so a pair must do so under every order.
 4. Rounds: in every bucket with nodes of different components each member meets a few centres of
    other components; the last round takes all pairs left. A pair is taken once. Parities of the sets
    (1,024 bits, which differ in at most as many places as the sets do) spare pairs that are alike,
-   but not enough. The nodes of the pairs left have their texts fetched, as full sets with their
-   prefixes under ORDERS - 1 further orders. A pair must share a prefix token under each of these too;
-   then its full sets are compared. Links join components.
+   but not enough. The nodes of the pairs left have their texts fetched and made into full sets where
+   they meet. A pair must share a prefix token under each of ORDERS - 1 further orders too; then its
+   full sets are compared. Links join components.
 
 No pair of sets at the threshold is lost, but for equal 64-bit hashes of different shingles. Bounds
 on growth: a bucket of many texts that are alike in size and place and yet all apart takes time
@@ -212,35 +212,45 @@ def may_reach(x: Column, y: Column, sizes: Column, threshold: int) -> Column:
     return (100 + threshold) * bits <= (100 - threshold) * sizes
 
 
+def not_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of their first column, those with an equal neighbour, and the first and the last, whose neighbours may be elsewhere."""
+    held, equal = None, True
+    for b in batches:
+        if not b.num_rows:
+            continue
+        part = b if held is None else pa.concat_batches([held, b])
+        key = part.column(0).to_numpy()
+        same = key[1:] == key[:-1]
+        keep = np.append(equal, same)
+        keep[:-1] |= same
+        held, equal = part.slice(part.num_rows - 1), keep[-1]
+        yield part.slice(0, part.num_rows - 1).filter(pa.array(keep[:-1]))
+    if held is not None:
+        yield held
+
+
 def buckets(rows: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """key, node, n, rest of the prefix tokens that nodes share with one they may join."""
-    held = rows.filter("size(prefix) > 0")
-    shared = held.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
-    tokens = held.join(classes.select("node"), F.col("row") == F.col("node")).select("node", F.posexplode("prefix").alias("pos", "key"), F.col("n_shingles").cast("int").alias("n"))
+    """key, node, n, rest of the prefix tokens that nodes share with one they may join.
+
+    Tokens move once, dealt by ranges of (key, node), so that a key of many nodes takes several
+    tasks. There those that stand alone, nearly all, go; the others are few enough to be joined.
+    """
+    held = rows.filter("size(prefix) > 0").join(classes.select("node"), F.col("row") == F.col("node"))
+    tokens = held.select("node", F.posexplode("prefix").alias("pos", "key"), F.col("n_shingles").cast("int").alias("n"))
     tokens = tokens.select("key", "node", "n", (F.col("n") - F.col("pos")).alias("rest"))
-    sized = materialize(tokens.join(shared, "key"), "prefix_buckets")
+    ordered = tokens.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+    sized = materialize(ordered.mapInArrow(not_alone, "key long, node long, n int, rest int"), "prefix_buckets")
     x, y = sized.alias("x"), sized.alias("y")
     return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & may_join(threshold), "left_semi")
 
 
-def sets_where_needed(docs: DataFrame, needs: DataFrame, *, width: int = WIDTH) -> DataFrame:
-    """b, salt, node, shingles for each row of needs(b, salt, node, doc_id, th)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, last = Shingler(width), (None, None)
-        for part, texts in _texts(batches, 3):
-            sets = []
-            for node, text in zip(part.column(2).to_pylist(), texts):
-                if node != last[0]:  # a node's rows come one after another
-                    last = node, make.shingles(text)
-                sets.append(last[1])
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], _longs(sets)], names=["b", "salt", "node", "shingles"])
-
+def texts_where_needed(docs: DataFrame, needs: DataFrame) -> DataFrame:
+    """b, salt, node, text for each row of needs(b, salt, node, doc_id, th)."""
     slot = lambda: F.pmod(F.xxhash64("doc_id", "th"), F.lit(SLOTS)).cast("int").alias("slot")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("th"), "text")
     texts = texts.withColumn("slot", slot()).join(F.broadcast(needs.select(slot()).distinct()), "slot", "left_semi").alias("t")
     named = texts.join(needs.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.th") == F.col("w.th")))
-    return named.select("b", "salt", "node", "text").mapInArrow(run, "b long, salt int, node long, shingles array<long>")
+    return named.select("b", "salt", "node", "text")
 
 
 def alike(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
@@ -255,27 +265,28 @@ def alike(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, *, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """The pairs (a, b) of nodes that share a prefix token under all orders and whose full sets reach the threshold.
 
-    Sets are sent once to where they are compared: b's for each of SALT parts of its partners, a's for
-    each pair. There the rows of (b, salt) come in order, b's set first, and only it is held.
+    Texts, which compress better than sets of hashes, are sent to where their sets are compared: b's for
+    each of SALT parts of its partners, a's for each pair. There the rows of (b, salt) come in order,
+    b's text first, and only b's set is held.
     """
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SALT)).cast("int").alias("salt"))
     needs = dealt.select("b", "salt", F.col("a").alias("node")).unionByName(dealt.select("b", "salt", F.col("b").alias("node")).distinct())
     needs = materialize(needs.join(classes.select("node", "doc_id", "th"), "node").select("b", "salt", "node", "doc_id", "th"), "set_needs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, centre = None, None
-        for part in batches:
+        make, held, centre = Shingler(width), None, None
+        for part, texts in _texts(batches, 3):
             found: tuple[list, list] = ([], [])
-            for b, salt, node, cell in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3)):
-                shingles = cell.values.to_numpy().view(np.uint64)
+            for b, salt, node, text in zip(*(part.column(k).to_pylist() for k in range(3)), texts):
                 if node == b:
-                    held, centre = (b, salt), shingles
-                elif held == (b, salt) and alike(shingles, centre, threshold):
+                    if held != (b, salt):
+                        held, centre = (b, salt), make.shingles(text)
+                elif held == (b, salt) and alike(make.shingles(text), centre, threshold):
                     found[0].append(node), found[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
-    sets = sets_where_needed(docs, needs, width=width).repartition("b", "salt").sortWithinPartitions("b", "salt", (F.col("node") != F.col("b")), "node")
-    return sets.select("b", "salt", "node", "shingles").mapInArrow(run, "a long, b long").distinct()
+    texts = texts_where_needed(docs, needs).repartition("b", "salt").sortWithinPartitions("b", "salt", (F.col("node") != F.col("b")), "node")
+    return texts.select("b", "salt", "node", "text").mapInArrow(run, "a long, b long").distinct()
 
 
 def linked(docs: DataFrame, members: DataFrame, classes: DataFrame, *, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame | None:

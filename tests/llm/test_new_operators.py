@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +192,14 @@ def test_search_of_nothing(docs, spark, empty):
     ties = spark.createDataFrame([(3, "a b"), (1, "a b"), (None, "a b"), (2, "A, b"), (7, None), (8, "c d e"), (9, "f"), (10, "g")], "doc_id long, text string").withColumn("score", F.lit(1)).withColumn("shard", F.lit(2))
     got = lexical.search(lexical.build_index(ties), some.select("item_id", F.lit("b a").alias("text")).limit(1))
     assert [r["doc_id"] for r in got.orderBy("rank").collect()] == [1, 2, 3, None]
+
+
+def test_join_rows_with_equal_neighbours():
+    """Rows alone in the order go, those at the ends of a part stay, whatever the batches."""
+    rng = random.Random(5)
+    for _ in range(200):
+        keys = sorted(rng.randrange(30) for _ in range(rng.randrange(40)))
+        cuts = [0, *sorted(rng.randrange(len(keys) + 1) for _ in range(3)), len(keys)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[i:j], pa.int64()), pa.array(range(i, j), pa.int64())], names=["key", "at"]) for i, j in zip(cuts, cuts[1:])]
+        got = [x for b in ngram_join.not_alone(iter(batches)) for x in b.column(1).to_pylist()]
+        assert got == [k for k in range(len(keys)) if k in (0, len(keys) - 1) or keys[k] in (keys[k - 1], keys[k + 1])]
