@@ -290,7 +290,7 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, *, width: in
 
 
 def linked(docs: DataFrame, members: DataFrame, classes: DataFrame, *, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame | None:
-    """v, c: the smallest node that every linked node reaches. members, a written table: as buckets gives them."""
+    """v, c: the smallest node that every linked node reaches. members, a written table: as buckets gives them; classes: of their nodes at least."""
     labels = links = tried = None
     of = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("odd").alias(f"odd_{s}"))
     for centres in (*CENTRES, None):
@@ -336,7 +336,8 @@ def join_components(docs: DataFrame, *, width: int = WIDTH, threshold: int = THR
     rows = materialize(prefixed(docs, order, width=width, threshold=threshold), "prefixed")
     classes = materialize(set_classes(rows), "set_classes")
     members = materialize(buckets(rows, classes, threshold), "prefix_members")
-    labels = linked(docs, members, classes, width=width, threshold=threshold)
+    met = materialize(classes.join(members.select("node").distinct(), "node", "left_semi"), "met_classes")
+    labels = linked(docs, members, met, width=width, threshold=threshold)
 
     component = classes.select("node", "d1", "d2", F.col("doc_id").alias("component_id"))
     if labels is not None:
