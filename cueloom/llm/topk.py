@@ -26,11 +26,13 @@ QUERY_BLOCK = 8192
 SHARD_ROWS = 16384
 #: Terms probed between two prunings.
 PROBE = 4
+#: Bound of absolute scores, below which no sum overflows.
+MAX_SCORE = 2.0**62
 
 
 def quantized(vectors: DataFrame, *, scale: int = 1024) -> DataFrame:
-    """vec_id and its components as floor(scale * x); vectors with null or non-finite parts are left out."""
-    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    """vec_id and its components as floor(scale * x); vectors with null or non-finite parts are left out, and rows without a vec_id."""
+    whole = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return vectors.filter(whole).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
@@ -101,6 +103,9 @@ def _search_group(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
     columns, low, high = np.ascontiguousarray(m.T), m.min(axis=0), m.max(axis=0)
     q = _matrix(column(queries, "query"))
     width = min(q.shape[1], m.shape[1])  # dimensions that one side lacks are zeros
+    reach = (np.abs(q[:, :width].astype(np.float64)) @ np.maximum(np.abs(low[:width].astype(np.float64)), np.abs(high[:width].astype(np.float64)))).max(initial=0)
+    if reach >= MAX_SCORE:
+        raise OverflowError(f"inner products may reach {reach:.3g}, beyond 64-bit integers: use a smaller scale")
     out: list[list[np.ndarray]] = [[], [], [], []]
     keys = zip(column(queries, "query_id").to_pylist(), column(queries, "query_hash").to_pylist(), column(queries, "floor").to_pylist())
     for vector, (own, tag, floor) in zip(q, keys):
@@ -126,19 +131,31 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _few_copies(candidates: DataFrame, k: int) -> DataFrame:
+    """candidates with at most k copies of a row (one vec_id and vector): no list can show more, and copies land in one shard."""
+    tagged = candidates.withColumn("tag", F.xxhash64("v"))
+    many = tagged.groupBy("vec_id", "tag").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k).select("vec_id", "tag")
+    one = tagged.join(many, ["vec_id", "tag"], "left_semi").groupBy("vec_id", "tag").agg(F.any_value("v").alias("v"))
+    copies = one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    return tagged.join(many, ["vec_id", "tag"], "left_anti").select("vec_id", "v").unionByName(copies.select("vec_id", "v"))
+
+
 def search(candidates: DataFrame, queries: DataFrame, *, k: int = 10, query_block: int = QUERY_BLOCK, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The k best candidates of every query: query_id, rank, vec_id, score. Both inputs: vec_id, v (integers).
 
     A query never finds rows of its own vec_id; rows that repeat another vec_id each count. Queries
     equal in id and vector are one; those of one id and different vectors get a list each, under the
     same id. An empty side gives an empty result; with fewer candidates a query returns them all.
+    Rows without a vec_id take no part. Components so large that a score could pass 2^62 raise an
+    OverflowError; none is ever wrapped.
     """
+    queries, candidates = queries.filter(F.col("vec_id").isNotNull()), candidates.filter(F.col("vec_id").isNotNull())
     queries = queries.select("vec_id", "v", F.xxhash64("v").alias("query_hash")).dropDuplicates(["vec_id", "query_hash"])
     blocks = max(1, -(-queries.count() // query_block))
     shards = max(1, -(-candidates.count() // shard_rows))
     deal = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
     queries = queries.withColumn("block", deal(blocks))
-    candidates = candidates.select("vec_id", "v", deal(shards).alias("shard"))
+    candidates = _few_copies(candidates.select("vec_id", "v"), k).select("vec_id", "v", deal(shards).alias("shard"))
     first = _search_shards(candidates.filter("shard = 0"), queries.withColumn("floor", F.lit(None).cast("long")), F.array(F.lit(0)), blocks, k)
     if shards == 1:
         return _best(first, k).select("query_id", "rank", "vec_id", "score")
