@@ -23,7 +23,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import materialize, new_table_path
+from .common import materialize, named, new_table_path
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -75,8 +75,8 @@ class LineRuns:
         """run as a table in the shared folder, bucketed as a shuffle would deal it."""
         name = f"line_run_{uuid.uuid4().hex}"
         path, buckets = new_table_path(self.spark, name), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        run.write.bucketBy(buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
         self.tables.append(name)
+        run.write.bucketBy(buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
         stored = self.spark.table(name)
         self.paths[id(stored)] = path
         return stored
@@ -115,18 +115,19 @@ def repeated_lines(lines: DataFrame, *, min_docs: int, batches: int, fanout: int
     cuts = lines.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or [] if batches > 1 else []
     runs = LineRuns(lines.sparkSession, min_docs=min_docs, fanout=fanout)
     upper = None
-    for cut in [*sorted(set(cuts), reverse=True), None]:
-        batch = lines
-        if cut is not None:
-            batch = batch.filter(F.col("doc_id") >= cut)
-        if upper is not None:
-            below = F.col("doc_id") < upper
-            batch = batch.filter(below if cut is not None else below | F.col("doc_id").isNull())  # nulls in the last
-        runs.ingest(batch)
-        upper = cut
-    out = materialize(runs.repeated(), "repeated")
-    runs.close()
-    return out
+    try:
+        for cut in [*sorted(set(cuts), reverse=True), None]:
+            batch = lines
+            if cut is not None:
+                batch = batch.filter(F.col("doc_id") >= cut)
+            if upper is not None:
+                below = F.col("doc_id") < upper
+                batch = batch.filter(below if cut is not None else below | F.col("doc_id").isNull())  # nulls in the last
+            runs.ingest(batch)
+            upper = cut
+        return materialize(runs.repeated(), "repeated")
+    finally:
+        runs.close()
 
 
 def deduped(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
@@ -137,7 +138,7 @@ def deduped(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     others = lines.join(often.select(*KEY), KEY, "left_anti").join(repeated, KEY)
     lost = lines.join(often, KEY).unionByName(others).filter(F.col("doc_id") < F.col("top"))
     gone = lost.groupBy(F.col("doc_id").alias("of"), F.col("th").alias("of_text")).agg(F.collect_set("pos").alias("gone"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
+    rows = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
     joined = rows.join(gone, (F.col("id") == F.col("of")) & (F.col("th") == F.col("of_text")), "left")
     split = joined.select("row", "gone", text_lines(F.col("row.text")).alias("lines"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
@@ -150,7 +151,7 @@ def deduped(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """docs with n_lines, n_dropped and kept_text; columns of these names are replaced."""
     done = deduped(docs, min_chars=min_chars, min_docs=min_docs, batches=batches, fanout=fanout)
-    own = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept_text")]
+    own = [named(c, "row") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept_text")]
     return done.select(*own, "n_lines", "n_dropped", F.col("kept").alias("kept_text"))
 
 

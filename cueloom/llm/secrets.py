@@ -20,7 +20,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize
+from .common import materialize, named
 
 #: The patterns of the base kinds, in order. For hex strings and access keys the
 #: least length stands in the pattern, which finds the same runs.
@@ -86,7 +86,7 @@ def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
     text = F.col("text")
     base = F.array_sort(F.concat(_spans(text, ASSIGN, "assign", 0, "secret", (2, MIN_SECRET)), _spans(text, ACCESS, "access", 1, "access"), _spans(text, HEX, "hex", 2, "secret")))
     weak = F.concat(*[_spans(text, pattern, kind, order, role) for kind, order, role, pattern in WEAK])
-    row = F.struct(*[F.col(f"`{c}`") for c in keep])
+    row = F.struct(*[named(c) for c in keep])
     return materialize(docs.select(F.monotonically_increasing_id().alias("rid"), row.alias("row"), base.alias("base"), weak.alias("weak")), "candidates")
 
 

@@ -195,6 +195,32 @@ def test_long_texts_are_parsed_as_one(dense):
     assert got == [[greedy(t, s) for _, t in sample] for s in texts]
 
 
+def test_topk_without_ids_with_copies_and_huge_parts(spark):
+    rows = [(1 + k % 7, [float(k % 7), 1.0]) for k in range(70)] + [(None, [9.0, 9.0]), (100, [1.0, 1.0]), (200, None)] + [(8, [9.0, 0.0])] * 300
+    v = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), scale=1)
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in topk.search(v, v.filter("vec_id = 100"), k=12, shard_rows=40).orderBy("rank").collect()]
+    assert got == [(k, 8, 9) for k in range(1, 13)]
+    got = [(r["vec_id"], r["score"]) for r in topk.search(v.filter("vec_id <> 8"), v.filter("vec_id = 100"), k=12, shard_rows=40).orderBy("rank").collect()]
+    assert got == [(7, 7)] * 10 + [(6, 6)] * 2
+    huge = topk.quantized(spark.createDataFrame([(100, [1e8, 1.0]), (1, [1e8, 2.0])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="beyond 64-bit"):
+        topk.search(huge, huge.filter("vec_id = 100")).collect()
+
+
+def test_columns_with_backticks_stay(spark):
+    df = spark.createDataFrame([(k, "a line that is repeated in all\ntoken=abcdef" + str(k), k) for k in range(4)], "doc_id long, text string, `a.b``c` int")
+    for out in (secrets.redact(df), linededup.drop_repeated(df), linededup.dedup_lines(df)):
+        assert sorted(r["a.b`c"] for r in out.collect()) == [0, 1, 2, 3]
+
+
+def test_line_runs_leave_the_catalog_when_a_job_fails(spark):
+    lines = spark.range(50).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 5, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.lit(1)).alias("h1"), F.lit(2).cast("long").alias("h2"))
+    before = {t.name for t in spark.catalog.listTables()}
+    with pytest.raises(Exception, match="lost"):
+        linededup.repeated_lines(lines, min_docs=3, batches=3, fanout=3)
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_topk_queries_that_repeat(spark):
     rows = [(k, [float(k % 7) - 3, float(k % 5) - 2, 0.25 * k]) for k in range(120)] + [(100, [100 % 7 - 3.0, 0.0 - 2, 25.0]), (0, [9.0, 9.0, 9.0])]
     v = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
@@ -271,16 +297,21 @@ def test_site_shares_are_shrunk_posteriors_without_the_own_vote(spark):
     host, path = {k: h or "" for k, _, h, _ in docs}, {k: (h or "", lang or "") for k, _, h, lang in docs}
     share = sum(vote.values()) / len(vote)
 
-    def strength(site):
+    def strength(site, above, prior):
         held: dict = {}
         for k, v in vote.items():
-            held.setdefault(site[k], []).append(v)
-        sizes, n = [len(v) for v in held.values()], len(vote)
-        ss = sum(len(v) * (sum(v) / len(v) - share) ** 2 for v in held.values())
-        between = max(1e-6, (ss - (len(held) - 1) * share * (1 - share)) / max(1e-9, n - sum(x * x for x in sizes) / n))
-        return min(1e6, max(1.0, share * (1 - share) / between - 1))
-
-    mh, mp = strength(host), strength(path)
+            held.setdefault(above[k], {}).setdefault(site[k], []).append(v)
+        excess = spread = weighed = 0.0
+        for a, sites in held.items():
+            p, sizes = prior[a], [len(v) for v in sites.values()]
+            excess += sum(len(v) * (sum(v) / len(v) - p) ** 2 for v in sites.values()) - (len(sites) - 1) * p * (1 - p)
+            spread += sum(sizes) - sum(x * x for x in sizes) / sum(sizes)
+            weighed += sum(sizes) * p * (1 - p)
+        return min(1e6, max(1.0, weighed / len(vote) / max(1e-6, excess / max(1e-9, spread)) - 1))
+
+    mh = strength(host, dict.fromkeys(vote, 0), {0: share})
+    votes = {h: [vote[k] for k in vote if host[k] == h] for h in host.values()}
+    mp = strength(path, host, {h: (sum(v) + mh * share) / (len(v) + mh) for h, v in votes.items()})
     for k, r in out.items():
         at = lambda site: [vote[j] for j in vote if site[j] == site[k] and j != k]  # noqa: B023, E731
         prior = (sum(at(host)) + mh * share) / (len(at(host)) + mh)
@@ -292,6 +323,13 @@ def test_site_shares_are_shrunk_posteriors_without_the_own_vote(spark):
     assert {r["kept"] for r in out.values()} == {True, False}
 
 
+def test_what_hosts_differ_in_is_not_the_paths_own(spark):
+    rows = [(h, 0.9 if h < 4 else 0.1, 1000.0, 900.0 if h < 4 else 100.0) for h in range(8) for _ in range(5)]
+    assert site_quality._strength(spark.createDataFrame(rows, "above long, prior double, n double, good double")) > 1e4
+    apart = spark.createDataFrame([(0, 0.5, n, g) for _, _, n, g in rows], "above long, prior double, n double, good double")
+    assert site_quality._strength(apart) < 2
+
+
 def test_held_out_quality(spark, sf):
     """Fitted on two thirds of the labels, judged on the other third, which neither the forest nor the threshold has seen."""
     larger = os.path.join(os.path.dirname(sf.rstrip("/")), "sf0.01")
