@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as tx, timecode as tc
-from ..operators import cues as cu, intervals as iv
+from ..operators import cues as cu, graph, intervals as iv
 from ..sources import subtitles as st
+from ..sources.srt_source import read_blocks
 from .evidence_queries import NORM
 from .fixtures import fx, table
 from .registry import query
@@ -44,6 +47,14 @@ def _(s, d):
     return st.parse_cues(rendered(s, d).withColumnRenamed("srt", "body")).select("audio_id", "cue_index", "start_ms", "end_ms", "text")
 
 
+@query("a4_srt_source", "SELECT row_number() OVER (PARTITION BY audio_id ORDER BY start_ms, end_ms, cue_index) AS cue_index, start_ms, end_ms, trim(replace(text_ja, chr(10), ' ')) AS text FROM fx_cue WHERE trim(text_ja) <> ''", CUE)
+def _(s, d):
+    """All recordings' SRT texts merged into few files, read by byte ranges."""
+    path = f"{graph.shared_dir(s)}/cueloom/{uuid.uuid4().hex}/merged"
+    rendered(s, d).select("srt").coalesce(2).write.option("lineSep", "\n\n").text(path)
+    return st.parse_cues(read_blocks(s, path, glob="part-*", split_bytes=1 << 16)).select("cue_index", "start_ms", "end_ms", "text")
+
+
 def bilingual(s, d) -> DataFrame:
     c = flat(s, d).withColumn("text", F.concat("text", F.lit("\n"), F.when(F.col("text_zh") == "", F.lit("-")).otherwise(F.replace("text_zh", F.lit("\n"), F.lit(" ")))))
     return st.render_srt(c).withColumnRenamed("srt", "body")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.timecode import TIMECODE, ms_to_tc, tc_to_ms
+from ..operators import scans
+from .srt_source import SPLIT_BYTES, read_blocks
 
 ARROW = TIMECODE.replace("(", "").replace(")", "")
 SPAN = f"({ARROW})" + r"\s*-->\s*" + f"({ARROW})"
@@ -17,13 +19,27 @@ def read_files(spark: SparkSession, path: str, glob: str = "*.srt") -> DataFrame
 
 
 def blocks(files: DataFrame, by: str = "audio_id") -> DataFrame:
-    """by, ord, lines: the blocks of each body, numbered from 1."""
+    """by, ord, lines: the blocks of each body, numbered from 1. files: whole (by, body), or by blocks (by, pos, lines) as the srt source gives them."""
+    if "lines" in files.columns:
+        return _numbered(files, by)
     body = F.regexp_replace(F.regexp_replace("body", "\r\n?", "\n"), "^﻿", "")
     parts = F.split(F.regexp_replace(F.regexp_replace(body, r"^\s+", ""), r"\s+$", ""), "\n\n+")
     rows = files.select(by, F.posexplode(parts).alias("p", "block"))
     return rows.select(by, (F.col("p") + 1).alias("ord"), F.split(F.regexp_replace(F.regexp_replace("block", r"^\s+", ""), r"\s+$", ""), "\n").alias("lines"))
 
 
+def _numbered(found: DataFrame, by: str) -> DataFrame:
+    """by, ord, lines of found(by, pos, lines); blank blocks count only between others, or as all that a file has.
+
+    A long file's blocks are numbered by ranges, so it is never one task.
+    """
+    real = F.when(F.col("lines") != F.array(F.lit("")), F.col("pos"))
+    held = scans.in_blocks(found.select(by, "pos", "lines"), [by], ["pos"])
+    edges = held.groupBy(F.col(by).alias("_of")).agg(F.coalesce(F.min(real), F.min("pos")).alias("_first"), F.coalesce(F.max(real), F.min("pos")).alias("_last"))
+    within = held.join(edges, held[by] == edges["_of"]).filter(F.col("pos").between(F.col("_first"), F.col("_last"))).select(*held.columns)
+    return scans.row_numbers(within, [by], ["pos"], "ord").select(by, F.col("ord").cast("int").alias("ord"), "lines")
+
+
 def parse_cues(files: DataFrame, by: str = "audio_id") -> DataFrame:
     """Lenient reader: the index line is optional, text lines are joined by a space, bad blocks are dropped (A4)."""
     rows = blocks(files, by)
@@ -73,9 +89,12 @@ def check_blocks(files: DataFrame, by: str = "audio_id", most: int = 20_000) ->
     return rows.select(by, "ord", "cue_index", "start_ms", "end_ms", "text", reasons.alias("reasons"))
 
 
-def read_cues(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame | tuple[DataFrame, DataFrame]:
-    """PERMISSIVE: lenient cues. FAILFAST: strict, an error for any bad block. QUARANTINE: (good files' cues, bad blocks)."""
-    files = read_files(spark, path)
+def read_cues(spark: SparkSession, path: str, mode: str = "PERMISSIVE", *, ranges: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """PERMISSIVE: lenient cues. FAILFAST: strict, an error for any bad block. QUARANTINE: (good files' cues, bad blocks).
+
+    ranges: long files are read by byte ranges through the srt source, else each is one row.
+    """
+    files = read_blocks(spark, path, split_bytes=split_bytes) if ranges else read_files(spark, path)
     if mode == "PERMISSIVE":
         return parse_cues(files)
     checked = check_blocks(files)
