@@ -9,8 +9,9 @@ from math import prod
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.text import text_score
+from ..functions.text import ratio, text_score
 from ..functions.timecode import band, relation
+from . import scans
 from .graph import checkpoint
 from .scripts import unique_anchors
 from .walk import walk_groups
@@ -275,3 +276,71 @@ def check_alignment(matches: DataFrame) -> DataFrame:
         F.when(F.col("band") != band(F.col("score")), F.lit("bad_band")), F.when((F.col("score") < 0) | (F.col("score") > 1 + 1e-9), F.lit("bad_score")),
     ))
     return rows.select("audio_id", "first_unit", F.explode(rules).alias("rule"))
+
+
+def _members(matches: DataFrame, rows: DataFrame, first: str, count: str) -> DataFrame:
+    """audio_id, match, at and the fields of each row that a match names; null fields where there is no such row."""
+    begin = rows.select("audio_id", F.col("pos").alias(first), F.col("nth").alias("_begin"))
+    named = matches.select("audio_id", "match", first, count, "evidence_ids").join(begin, ["audio_id", first], "left")
+    span = F.sequence(F.lit(0), F.greatest(F.col(count), F.lit(1)) - 1)
+    each = named.select("audio_id", "match", "_begin", "evidence_ids", F.explode(span).alias("at")).withColumn("nth", F.col("_begin") + F.col("at"))
+    return each.join(rows, ["audio_id", "nth"], "left")
+
+
+def check_alignment_inputs(matches: DataFrame, units: DataFrame, items: DataFrame, unmatched: DataFrame) -> DataFrame:
+    """audio_id, side (match, unit or item), pos and rule of all that is wrong with an alignment of these inputs (K5).
+
+    matches: L9's columns. units: audio_id, pos, norm. items: the same, and options (provenance,
+    evidence_id, norm) if matches choose among them. unmatched: audio_id, side, pos, reasons.
+    Positions of a match are those from its first row on, in order, so it is contiguous if it is
+    known. Scores and bands are computed again from the texts chosen; where these are unknown,
+    only that is told. A side's rows must each be in one match or unmatched with a reason. Matches
+    of no units (regions over budget) name no rows: theirs count as unmatched.
+    """
+    if "options" not in items.columns:
+        items = items.withColumn("options", F.lit(None).cast("array<struct<provenance:string,evidence_id:string,norm:string>>"))
+    nth = lambda df: scans.row_numbers(scans.in_blocks(df, ["audio_id"], ["pos"]), ["audio_id"], ["pos"], "nth").drop(scans.BLOCK)
+    u, t = nth(units.select("audio_id", "pos", "norm")), nth(items.select("audio_id", "pos", "norm", "options"))
+    order = ["first_unit", "first_item", "n_units", "n_items", "score"]
+    m = scans.in_blocks(matches.filter("n_units > 0"), ["audio_id"], order)
+    m = scans.row_numbers(m, ["audio_id"], order, "match").withColumn("evidence_ids", F.coalesce("evidence_ids", F.array().cast("array<string>")))
+    of_units, of_items = checkpoint(_members(m, u, "first_unit", "n_units")), checkpoint(_members(m, t, "first_item", "n_items"))
+
+    own = F.get(F.filter("options", lambda o: o["evidence_id"] == F.get("evidence_ids", F.col("at"))), F.lit(0))
+    free = F.size("evidence_ids") == 0
+    chosen = of_items.withColumn("own", own).withColumns({"text": F.when(free, F.col("norm")).otherwise(F.col("own.norm")), "foreign": ~free & F.col("pos").isNotNull() & F.col("own").isNull(), "provenance": F.col("own.provenance")})
+    joined = lambda text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", text))), lambda x: x[text]), "")
+    left = of_units.groupBy("audio_id", "match").agg(joined("norm").alias("left"), F.bool_or(F.col("pos").isNull()).alias("no_unit"), F.min("_begin").alias("u0"))
+    right = chosen.groupBy("audio_id", "match").agg(
+        joined("text").alias("right"), F.bool_or(F.col("pos").isNull()).alias("no_item"), F.min("_begin").alias("t0"),
+        F.bool_or(F.col("foreign")).alias("foreign"), F.size(F.collect_set("provenance")).alias("ways"),
+    )
+    rows = m.join(left, ["audio_id", "match"]).join(right, ["audio_id", "match"])
+    known = ~F.col("no_unit") & ~F.col("no_item") & ~F.col("foreign") & ((F.size("evidence_ids") == 0) | (F.size("evidence_ids") == F.col("n_items")))
+    kernel = lambda a, b: F.coalesce(ratio(False)(F.when(known & (a != b), a), b), F.lit(0.0))
+    rows = rows.withColumn("again", text_score(F.col("left"), F.col("right"), kernel))
+    for name, start, count in (("u_before", "u0", "n_units"), ("t_before", "t0", "n_items")):
+        rows = scans.running_max(rows, ["audio_id"], order, F.col(start) + F.col(count), name)
+    unsure = F.coalesce(F.col("margin") <= AMBIGUOUS, F.lit(False)) | (F.col("score") < 0.58) | F.col("reason").isNotNull()
+    rules = F.array_compact(F.array(
+        F.when(F.col("no_unit"), F.lit("unknown_unit")), F.when(F.col("no_item"), F.lit("unknown_item")),
+        F.when(F.col("u_before") > F.col("u0"), F.lit("unit_overlap")), F.when(F.col("t_before") > F.col("t0"), F.lit("item_overlap")),
+        F.when(~F.col("relation").eqNullSafe(relation(F.col("n_units"), F.col("n_items"))), F.lit("bad_relation")),
+        F.when(F.col("foreign") | ((F.size("evidence_ids") > 0) & (F.size("evidence_ids") != F.col("n_items"))), F.lit("foreign_evidence")),
+        F.when(F.col("ways") > 1, F.lit("mixed_provenance")),
+        F.when(known & ~F.coalesce(F.abs(F.col("again") - F.col("score")) < 1e-6, F.lit(False)), F.lit("score_mismatch")),
+        F.when(known & ~F.col("band").eqNullSafe(band(F.col("again"))), F.lit("bad_band")),
+        F.when(F.isnan("margin") | (F.col("margin") < 0) | (F.col("margin") == float("inf")), F.lit("bad_margin")),
+        F.when(~F.col("review_required").eqNullSafe(unsure), F.lit("bad_review_flag")),
+    ))
+    wrong = rows.select("audio_id", F.lit("match").alias("side"), F.col("first_unit").cast("long").alias("pos"), F.explode(rules).alias("rule"))
+
+    def cover(side: str, every: DataFrame, members: DataFrame) -> DataFrame:
+        in_match = members.filter("pos IS NOT NULL").select("audio_id", "pos", F.lit(True).alias("matched"), F.lit(True).alias("told"))
+        left_out = unmatched.filter(F.col("side") == side).select("audio_id", "pos", F.lit(False).alias("matched"), (F.coalesce(F.size("reasons"), F.lit(0)) > 0).alias("told"))
+        said = in_match.unionByName(left_out).groupBy("audio_id", "pos").agg(F.count(F.lit(1)).alias("n"), F.bool_and("told").alias("told"))
+        both = every.select("audio_id", "pos", F.lit(True).alias("real")).join(said, ["audio_id", "pos"], "full")
+        rule = F.when(F.col("real").isNull(), f"unknown_{side}").when(F.col("n").isNull(), f"{side}_uncovered").when(F.col("n") > 1, f"{side}_twice").when(~F.col("told"), "no_reason")
+        return both.select("audio_id", F.lit(side).alias("side"), F.col("pos").cast("long").alias("pos"), rule.alias("rule")).filter("rule IS NOT NULL")
+
+    return wrong.unionByName(cover("unit", u, of_units)).unionByName(cover("item", t, of_items))

@@ -165,6 +165,26 @@ def _(s, d):
     return sa.check_alignment(t)
 
 
+@query("k5_alignment_inputs", """b AS (SELECT conv_id AS audio_id, turn AS pos, turn % 9 AS k FROM conversations)
+SELECT audio_id, 'match' AS side, pos, CASE k WHEN 1 THEN 'score_mismatch' WHEN 2 THEN 'bad_band' WHEN 3 THEN 'bad_relation' WHEN 4 THEN 'foreign_evidence' WHEN 5 THEN 'bad_review_flag' ELSE 'bad_margin' END AS rule FROM b WHERE k BETWEEN 1 AND 6
+UNION ALL SELECT audio_id, side, pos, side || '_uncovered' FROM b, (VALUES ('unit'), ('item')) v(side) WHERE k = 7
+UNION ALL SELECT audio_id, 'item', pos, 'no_reason' FROM b WHERE k = 8""")
+def _(s, d):
+    """Every turn as unit and item, matched one to one; by its number one rule is broken."""
+    k, none = F.col("pos") % 9, F.lit(None)
+    text = F.concat(F.lit("t"), F.col("turn").cast("string"), F.lit(" "), F.coalesce(F.lower("text"), F.lit("")))
+    u = table(s, d, "conversations").select(F.col("conv_id").alias("audio_id"), F.col("turn").alias("pos"), text.alias("norm"))
+    way = lambda p, i, n: F.struct(F.lit(p).alias("provenance"), F.lit(i).alias("evidence_id"), n.alias("norm"))
+    t = u.withColumn("options", F.array(way("main", "a", F.col("norm")), way("other", "b", F.lit("else"))))
+    m = u.filter(k < 7).select(
+        "audio_id", F.col("pos").alias("first_unit"), F.lit(1).alias("n_units"), F.col("pos").alias("first_item"), F.lit(1).alias("n_items"), F.when(k == 1, 0.9).otherwise(1.0).alias("score"),
+        F.when(k == 2, "low").otherwise("high").alias("band"), F.when(k == 3, "many_to_many").otherwise("one_to_one").alias("relation"), F.array(F.when(k == 4, "zz").otherwise("a")).alias("evidence_ids"),
+        (k >= 5).alias("review_required"), F.when(k == 6, -1.0).alias("margin"), none.cast("string").alias("reason"))
+    side = F.explode(F.array(F.lit("unit"), F.lit("item")))
+    out = u.filter(k == 8).select("audio_id", side.alias("side"), "pos").withColumn("reasons", F.when(F.col("side") == "unit", F.array(F.lit("no_match"))).otherwise(F.array().cast("array<string>")))
+    return sa.check_alignment_inputs(m, u, t, out)
+
+
 # ---- nested sources ----
 @query("a8_segment_ingest", """SELECT audio_id, printf('main:v3:raw:%06d', row_number() OVER (PARTITION BY audio_id ORDER BY event_id)) AS evidence_id, start_ms, end_ms, trim(text) AS text, CASE WHEN event_id % 5 = 0 THEN NULL ELSE avg_logprob END AS avg_logprob FROM fx_candidate QUALIFY event_id % 7 <> 0""", C)
 def _(s, d):
