@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import keyword, track_id
+from .graph import checkpoint
 
 #: Every line end that splits a script.
 LINE_ENDS = r"(?<=\r\n)|(?<=\r)(?!\n)|(?<=[\n\x0b\x0c\x1c\x1d\x1e\x85  ])"
@@ -87,29 +88,36 @@ def match_keyword(audio: DataFrame, scripts: DataFrame) -> DataFrame:
     Whoever holds the keyword holds its inner words as whole words, so it is looked up by the longest
     of them. A keyword without one is looked up by its first GRAM characters: up to that length the
     look-up is the answer, and each text's first script is known before the join. Other candidates
-    get the content once per pair. All joins are equi joins.
+    get the content once per pair. All joins are equi joins, and go by different keywords and
+    different contents: recordings that share a keyword, and scripts that share a content, never
+    meet one by one.
     """
-    a = audio.select("asset_key", keyword(F.col("audio_base")).alias("kw"))
+    a = audio.select("asset_key", keyword(F.col("audio_base")).alias("kw")).filter("kw IS NOT NULL")
     parts = F.split(F.lower("kw"), r"[^\p{L}\p{N}]+")
     inner = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: w != "")
-    keyed = a.withColumn("word", F.when(F.size(inner) > 0, F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]))
-    s = scripts.select("script_base", "content").filter("content IS NOT NULL")
-    by_word = keyed.filter("word IS NOT NULL").join(s.select("script_base", F.explode(words(F.col("content"))).alias("word")), "word").select("asset_key", "kw", "script_base")
-
-    plain = keyed.filter("word IS NULL AND kw IS NOT NULL").select("asset_key", "kw", F.left("kw", F.lit(GRAM)).alias("gram"))
+    longest = F.when(F.size(inner) > 0, F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    keyed = checkpoint(a.select("kw").distinct().withColumn("word", longest))
+    # contents of one hash are told apart by looking into each of them
+    s = scripts.filter("content IS NOT NULL AND script_base IS NOT NULL").groupBy("content").agg(F.min("script_base").alias("script_base"))
+    s = checkpoint(s.withColumn("_c", F.xxhash64("content")))
+    by_word = keyed.filter("word IS NOT NULL").join(s.select("_c", F.explode(words(F.col("content"))).alias("word")), "word").select("kw", "_c")
+
+    plain = keyed.filter("word IS NULL").select("kw", F.left("kw", F.lit(GRAM)).alias("gram"))
     lengths = sorted(r[0] for r in plain.select(F.length("gram")).distinct().collect())  # GRAM + 1 values at most
     if not lengths:
         found = by_word
         short = None
     else:
         wanted = plain.select("gram").distinct()
-        held = s.withColumn("chars", F.split("content", "", -1)).select("script_base", F.explode(grams(F.col("content"), F.col("chars"), lengths)).alias("gram"))
+        held = s.withColumn("chars", F.split("content", "", -1)).select("_c", "script_base", F.explode(grams(F.col("content"), F.col("chars"), lengths)).alias("gram"))
         if wanted.count() <= FEW_GRAMS:  # the others' grams never leave their task
             held = held.join(F.broadcast(wanted), "gram", "left_semi")
-        short = plain.filter(F.col("kw") == F.col("gram")).join(held.groupBy("gram").agg(F.min("script_base").alias("script_base")), "gram").select("asset_key", "script_base")
-        found = by_word.unionByName(plain.filter(F.col("kw") != F.col("gram")).join(held, "gram").select("asset_key", "kw", "script_base"))
-    both = found.join(s, "script_base").filter(F.col("content").contains(F.col("kw"))).select("asset_key", "script_base")
-    return (both if short is None else both.unionByName(short)).groupBy("asset_key").agg(F.min("script_base").alias("script_base"))
+        short = plain.filter(F.col("kw") == F.col("gram")).join(held.groupBy("gram").agg(F.min("script_base").alias("script_base")), "gram").select("kw", "script_base")
+        found = by_word.unionByName(plain.filter(F.col("kw") != F.col("gram")).join(held, "gram").select("kw", "_c"))
+    both = found.join(s, "_c").filter(F.col("content").contains(F.col("kw"))).select("kw", "script_base")
+    first = (both if short is None else both.unionByName(short)).groupBy("kw").agg(F.min("script_base").alias("script_base"))
+    # a row per recording, so that a repeated asset_key has one script
+    return a.join(first, "kw").groupBy("asset_key").agg(F.min("script_base").alias("script_base"))
 
 
 def build_mapping(audio: DataFrame, scripts: DataFrame, external: DataFrame | None = None, *, fallback_full: bool = True) -> DataFrame:
