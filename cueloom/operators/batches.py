@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .walk import walk_groups
+
 SEPARATOR = "---SPLIT---"
 
 
@@ -23,21 +24,21 @@ def batch_rows(df: DataFrame, size: int, overlap: int = 0, by: str = "audio_id",
 def pack_lines(lines: DataFrame, max_lines: int = 250, max_chars: int = 24_000, by: str = "script_id", order: str = "pos", chars: str = "n_chars") -> DataFrame:
     """Greedy batches by lines and characters; an oversize line is alone and flagged.
 
-    Where a batch ends depends on where it began, so the fold runs over one script's lengths.
+    Where a batch ends depends on where it began, so the fold runs over one script's lengths, which
+    come sorted in one stream: a script has no frame of its own.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
+    def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
         out, batch, n, total = [], -1, max_lines, 0
-        for size in pdf[chars]:
-            if n >= max_lines or total >= max_chars or n + 1 > max_lines or total + size > max_chars:
+        for at, size in rows:
+            if n >= max_lines or total >= max_chars or total + size > max_chars:
                 batch, n, total = batch + 1, 0, 0
-            n, total = n + 1, total + int(size)
-            out.append(batch)
-        return pd.DataFrame({by: pdf[by].values, order: pdf[order].values, "batch": out, "oversized": [int(c) > max_chars for c in pdf[chars]]})
+            n, total = n + 1, total + size
+            out.append((*key, at, batch, size > max_chars))
+        return out
 
     kinds = dict(lines.dtypes)
-    return lines.select(by, order, chars).groupBy(by).applyInPandas(fold, f"{by} {kinds[by]}, {order} {kinds[order]}, batch long, oversized boolean")
+    return walk_groups(lines, [by], [order], [order, chars], fold, f"{by} {kinds[by]}, {order} {kinds[order]}, batch long, oversized boolean")
 
 
 def rebase_batches(rows: DataFrame, starts: DataFrame, by: str = "script_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cueloom.operators import scripts as sc
+from cueloom.operators import batches as bt, scripts as sc
 from cueloom.operators.walk import walk_groups
 
 
@@ -47,3 +47,19 @@ def test_equal_keywords_and_contents_meet_once(spark):
     found = sc.match_keyword(audio, scripts)
     assert {(r["asset_key"], r["script_base"]) for r in found.collect()} == {(k, "s00000") for k in range(n)}
     assert _most_rows(found._jdf.queryExecution().executedPlan()) <= 4 * n
+
+
+def test_lines_are_packed_without_a_frame_per_script(spark):
+    lines = spark.range(0, 900, 1, 6).select((F.col("id") % 7).alias("script_id"), F.col("id").alias("pos"), (F.col("id") * 37 % 311).cast("int").alias("n_chars"))
+    got = bt.pack_lines(lines, 5, 300)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    want = []
+    for script in range(7):
+        batch, n, total = -1, 5, 0
+        for pos in range(script, 900, 7):
+            size = pos * 37 % 311
+            if n == 5 or total >= 300 or total + size > 300:
+                batch, n, total = batch + 1, 0, 0
+            n, total = n + 1, total + size
+            want.append((script, pos, batch, size > 300))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
