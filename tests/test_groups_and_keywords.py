@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cueloom.operators import batches as bt, scripts as sc
+from cueloom.operators import batches as bt, long_cues as lc, scripts as sc
 from cueloom.operators.walk import walk_groups
 
 
@@ -63,3 +63,12 @@ def test_lines_are_packed_without_a_frame_per_script(spark):
             n, total = n + 1, total + size
             want.append((script, pos, batch, size > 300))
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_long_cues_are_aligned_without_a_frame_per_cue(spark):
+    cues = spark.range(40).select(F.lit(1).cast("long").alias("audio_id"), F.col("id").alias("cue_index"), F.lit(0).cast("long").alias("start_ms"), F.lit(20_000).cast("long").alias("end_ms"), F.lit("moon river").alias("text"))
+    at = F.col("p").cast("long") * 1000
+    words = cues.filter("cue_index < 30").select("audio_id", "cue_index", F.posexplode(F.array(F.lit("moon"), F.lit("river"))).alias("p", "text")).select("audio_id", "cue_index", "text", at.alias("start_ms"), (at + 500).alias("end_ms"), F.lit(0.9).alias("probability"))
+    got = lc.align_long_cues(cues, words)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    assert sorted((r["cue_index"], r["status"], r["reason"], r["end_ms"]) for r in got.collect()) == [(k, "aligned", "whole_text", 1750) if k < 30 else (k, "unresolved", "no_words", None) for k in range(40)]
