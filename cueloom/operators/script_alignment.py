@@ -6,7 +6,6 @@ from difflib import SequenceMatcher
 from itertools import product
 from math import prod
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import ratio, text_score
@@ -190,12 +189,27 @@ def align_region(us: list[str], ts: list) -> tuple[list[tuple], float | None]:
 MATCH = "audio_id long, region long, first_unit long, n_units int, first_item long, n_items int, score double, evidence_ids array<string>, margin double, anchored boolean, reason string"
 
 
-def _texts(side: pd.DataFrame) -> list:
-    """A region's texts between anchors: units' norms, items with their options."""
-    rows = side[side["anchor"] == 0]
-    if "options" not in side.columns:
-        return [t or "" for t in rows["norm"]]
-    return [Item([(o["provenance"], o["evidence_id"], o["norm"]) for o in held]) for held in rows["options"]]
+def _texts(side: list[tuple]) -> list:
+    """A region's texts between anchors: norms, or items with their options. Rows: pos, anchor, norm, reason, options."""
+    out = []
+    for _, anchor, norm, _, options in side:
+        if anchor == 0:
+            out.append((norm or "") if options is None else Item([(o["provenance"], o["evidence_id"], o["norm"]) for o in options]))
+    return out
+
+
+def _walk_regions(units: DataFrame, items: DataFrame, walk, schema: str) -> DataFrame:
+    """What walk(key, units, items) returns for every region; both sides come sorted in one stream."""
+    none = {"norm": "string", "reason": "string", "options": "array<struct<provenance:string,evidence_id:string,norm:string>>"}
+
+    def one(df: DataFrame, side: int) -> DataFrame:
+        cols = [(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in none.items()]
+        return df.select("audio_id", "region", F.lit(side).alias("side"), F.col("pos").cast("long").alias("pos"), "anchor", *cols)
+
+    def both(key: tuple, rows: list[tuple]) -> list[tuple]:
+        return walk(key, [r[1:] for r in rows if r[0] == 0], [r[1:] for r in rows if r[0] == 1])
+
+    return walk_groups(one(units, 0).unionByName(one(items, 1)), ["audio_id", "region"], ["side", "pos"], ["side", "pos", "anchor", *none], both, schema)
 
 
 def budget_regions(units: DataFrame, items: DataFrame, *, cells: int = REGION_CELLS, total_cells: int = TOTAL_CELLS, total_work: int = TOTAL_WORK) -> DataFrame:
@@ -205,10 +219,10 @@ def budget_regions(units: DataFrame, items: DataFrame, *, cells: int = REGION_CE
     left of the recording's budgets, which regions use up in order.
     """
 
-    def cost(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        us, ts = _texts(left.sort_values("pos")), [t if isinstance(t, Item) else Item(t) for t in _texts(right.sort_values("pos"))]
+    def cost(key: tuple, left: list[tuple], right: list[tuple]) -> list[tuple]:
+        us, ts = _texts(left), [x if isinstance(x, Item) else Item(x) for x in _texts(right)]
         n = len(us) * len(ts)
-        return pd.DataFrame([(int(key[0]), int(key[1]), n, region_work(us, ts) if n <= cells else 0)], columns=["audio_id", "region", "cells", "work"])
+        return [(*key, n, region_work(us, ts) if n <= cells else 0)]
 
     def spend(key: tuple, rows: list[tuple]) -> list[tuple]:
         room, work, out = total_cells, total_work, []
@@ -227,7 +241,7 @@ def budget_regions(units: DataFrame, items: DataFrame, *, cells: int = REGION_CE
             out.append((*key, region, reason))
         return out
 
-    costs = units.groupBy("audio_id", "region").cogroup(items.groupBy("audio_id", "region")).applyInPandas(cost, "audio_id long, region long, cells long, work long")
+    costs = _walk_regions(units, items, cost, "audio_id long, region long, cells long, work long")
     return walk_groups(costs, ["audio_id"], ["region"], ["region", "cells", "work"], spend, "audio_id long, region long, reason string")
 
 
@@ -244,24 +258,22 @@ def align_scripts(units: DataFrame, items: DataFrame, cells: int = REGION_CELLS,
     plan = checkpoint(budget_regions(u, t, cells=cells, **budgets))
     u = u.join(plan, ["audio_id", "region"], "left")
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        audio, region = int(key[0]), int(key[1])
-        left, right = left.sort_values("pos"), right.sort_values("pos")
-        lu, lt = left[left["anchor"] == 0], right[right["anchor"] == 0]
+    def run(key: tuple, left: list[tuple], right: list[tuple]) -> list[tuple]:
+        lu, lt = ([r[0] for r in side if r[1] == 0] for side in (left, right))
         us, ts = _texts(left), _texts(right)
-        why = next((r for r in left["reason"] if isinstance(r, str)), None)
+        why = next((r[3] for r in left if r[3] is not None), None)
         out = []
         if us and ts and why:
-            out.append((audio, region, int(lu["pos"].iat[0]), 0, int(lt["pos"].iat[0]), 0, 0.0, None, None, False, why))
+            out.append((*key, lu[0], 0, lt[0], 0, 0.0, None, None, False, why))
         elif us and ts:
             steps, margin = align_region(us, ts)
             for i, a, j, b, s, ids in steps:
-                out.append((audio, region, int(lu["pos"].iat[i]), a, int(lt["pos"].iat[j]), b, s, list(filter(None, ids)), margin, False, None))
-        for x, y in zip(left[left["anchor"] == 1]["pos"], right[right["anchor"] == 1]["pos"]):
-            out.append((audio, region, int(x), 1, int(y), 1, 1.0, [], None, True, None))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in MATCH.split(", ")])
+                out.append((*key, lu[i], a, lt[j], b, s, list(filter(None, ids)), margin, False, None))
+        for x, y in zip([r[0] for r in left if r[1] == 1], [r[0] for r in right if r[1] == 1]):
+            out.append((*key, x, 1, y, 1, 1.0, [], None, True, None))
+        return out
 
-    rows = u.groupBy("audio_id", "region").cogroup(t.groupBy("audio_id", "region")).applyInPandas(run, MATCH)
+    rows = _walk_regions(u, t, run, MATCH)
     unsure = F.coalesce(F.col("margin") <= AMBIGUOUS, F.lit(False))
     return rows.withColumns({"band": band(F.col("score")), "relation": relation(F.col("n_units"), F.col("n_items")), "review_required": unsure | (F.col("score") < 0.58) | F.col("reason").isNotNull()})
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cueloom.operators import batches as bt, long_cues as lc, scripts as sc
+from cueloom.operators import batches as bt, long_cues as lc, script_alignment as sa, scripts as sc
 from cueloom.operators.walk import walk_groups
 
 
@@ -72,3 +72,10 @@ def test_long_cues_are_aligned_without_a_frame_per_cue(spark):
     got = lc.align_long_cues(cues, words)
     assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
     assert sorted((r["cue_index"], r["status"], r["reason"], r["end_ms"]) for r in got.collect()) == [(k, "aligned", "whole_text", 1750) if k < 30 else (k, "unresolved", "no_words", None) for k in range(40)]
+
+
+def test_regions_are_aligned_without_a_frame_per_region(spark):
+    units = spark.range(30).select((F.col("id") % 3).alias("audio_id"), F.floor(F.col("id") / 3).alias("pos"), F.concat(F.lit("line number "), F.col("id").cast("string")).alias("norm"))
+    got = sa.align_scripts(units, units.filter("pos <> 4"))
+    assert "FlatMapCoGroups" not in got._jdf.queryExecution().toString()
+    assert sorted((r["audio_id"], r["first_unit"]) for r in got.filter("score = 1").collect()) == [(a, p) for a in range(3) for p in range(10) if p != 4]
