@@ -13,6 +13,7 @@ from .test_groups_and_keywords import _most_rows
 LATE_BROADCAST = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
 KEYWORDS = [
     "e10_merged_scripts",
+    "l10_script_mapping",
 ]
 
 
