@@ -26,8 +26,6 @@ from .textstats import STATS, features, measure
 TREES, TREE_ROWS = 256, 256
 #: Levels of a tree beyond log2 of its rows, since cuts may fall where no row is.
 EXTRA_DEPTH = 4
-#: Labelled rows at most that the quality classifier learns from.
-LABELLED_ROWS = 16384
 LOSS_WEIGHT = 20.0
 SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in STATS)
 
@@ -213,15 +211,6 @@ def threshold_over(rows: DataFrame, weight: float = LOSS_WEIGHT) -> float:
     return threshold
 
 
-def _bounded(rows: DataFrame, most: int, seed: int) -> list:
-    """At most `most` rows, by a hash of doc_id: the same rows on every run."""
-    n = rows.count()
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    if n > 2 * most:
-        rows = rows.filter(F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * 2 * most / n))
-    return rows.orderBy(order, "doc_id").limit(most).collect()
-
-
 def grow(stats: DataFrame, marked: DataFrame) -> Forest | None:
     """The forest over all good rows of marked(quality, statistics), or over all of stats where they are few."""
     n = marked.agg(F.count(F.lit(1)).alias("held"), F.count_if(F.col("quality") == 1).alias("good")).first()

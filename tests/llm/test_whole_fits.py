@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cueloom.llm import quality_rules
+from cueloom.llm import quality_rules, site_quality
 from cueloom.llm.textstats import STATS, features
 
 
@@ -45,3 +45,13 @@ def test_forest_counts_all_rows(marked):
     assert np.allclose(forest.score(x[:500]), want.score(x[:500]))
     cuts = quality_rules.Cuts(x.min(axis=0), x.max(axis=0))
     assert cuts.count(x[good]).sum() == good.sum() * quality_rules.TREES
+
+
+def test_logistic_fit_over_all_rows(marked):
+    rows = marked.toPandas()
+    x, y = features({c: rows[c].to_numpy() for c in STATS}), rows["quality"].to_numpy()
+    mean, scale, w = site_quality.fit_logistic(marked, len(y))
+    assert np.allclose(mean, x.mean(axis=0)) and np.allclose(scale, np.maximum(x.std(axis=0), 1e-9))
+    z = np.column_stack([np.clip((x - mean) / scale, -6, 6), np.ones(len(x))])
+    p = 1 / (1 + np.exp(-(z @ w)))
+    assert np.abs(z.T @ (y - p) - 1e-4 * len(y) * w).max() < 1e-3 * len(y) ** 0.5
