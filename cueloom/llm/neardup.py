@@ -131,9 +131,9 @@ def _text_hash() -> Column:
     return F.xxhash64("text")
 
 
-def parities(shingles: np.ndarray) -> np.ndarray:
-    """How many shingles fall on each of PARITY places, modulo 2, 64 places to a word."""
-    odd = np.bincount((shingles & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+def parities(shingles: np.ndarray, places: int = PARITY) -> np.ndarray:
+    """How many shingles fall on each of so many places (a power of two), modulo 2, 64 places to a word."""
+    odd = np.bincount((shingles & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 

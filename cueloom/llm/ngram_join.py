@@ -16,7 +16,8 @@ under any one order of all tokens; so a pair must do so under every order.
 4. Rounds: in every bucket with nodes of different components each member meets a few centres of
    other components; the last round takes all pairs left. A pair is taken once. Parities of the sets
    (1,024 bits, which differ in at most as many places as the sets do) spare pairs that are alike,
-   but not enough. The nodes of the pairs left have their texts fetched and made into full sets where
+   but not enough; these say nothing about sets of some 3,000 shingles and more, so that larger sets
+   have as many bits as shingles too, which the pairs left are tested by. The nodes of the pairs left then have their texts fetched and made into full sets where
    they meet. A pair must share a prefix token under each of ORDERS - 1 further orders too; then its
    full sets are compared. Links join components.
 
@@ -42,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.graph import connected_components
 from .common import materialize
-from .neardup import ODD, SALT, parities, words_of
+from .neardup import ODD, PARITY, SALT, parities, words_of
 
 WIDTH = 4
 THRESHOLD = 85  # per cent
@@ -98,6 +99,11 @@ def prefix_size(n: int, threshold: int) -> int:
     return n - -(-threshold * n // 100) + 1 if 100 * n >= threshold * (n + 1) else 0
 
 
+def wide_parities(shingles: np.ndarray) -> np.ndarray | None:
+    """Parities of as many places as shingles, rounded up to a power of two; none where PARITY places are as many."""
+    return parities(shingles, 1 << (len(shingles) - 1).bit_length()) if len(shingles) > PARITY else None
+
+
 class FirstOrder:
     """Common shingles last, rarest first; all others before them, by hash."""
 
@@ -135,8 +141,8 @@ def _texts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.Re
                 begin, chars, held = k + 1, 0, []
 
 
-def _longs(rows: list[np.ndarray]) -> pa.Array:
-    return pa.array([x.view(np.int64) for x in rows], pa.list_(pa.int64()))
+def _longs(rows: list[np.ndarray | None]) -> pa.Array:
+    return pa.array([x if x is None else x.view(np.int64) for x in rows], pa.list_(pa.int64()))
 
 
 def common_shingles(docs: DataFrame, *, width: int = WIDTH, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +177,7 @@ def _text_hash() -> Column:
 
 
 def prefixed(docs: DataFrame, order: FirstOrder, *, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """row, doc_id, th (hash of the text), n_shingles, d1, d2 (digest of the set), odd (parities), prefix under the first order."""
+    """row, doc_id, th (hash of the text), n_shingles, d1, d2 (digest of the set), odd and wide (parities), prefix under the first order."""
     sent = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,13 +189,13 @@ def prefixed(docs: DataFrame, order: FirstOrder, *, width: int = WIDTH, threshol
             digest = np.array([np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), ">i8") for x in sets], np.int64)
             prefixes = [first.prefix(x, prefix_size(len(x), threshold)) for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + len(sets))), part.column(0), part.column(1), pa.array(list(map(len, sets)), pa.int64()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), _longs(list(map(parities, sets))), _longs(prefixes)],
-                names=["row", "doc_id", "th", "n_shingles", "d1", "d2", "odd", "prefix"],
+                [pa.array(np.arange(row, row + len(sets))), part.column(0), part.column(1), pa.array(list(map(len, sets)), pa.int64()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), _longs(list(map(parities, sets))), _longs(list(map(wide_parities, sets))), _longs(prefixes)],
+                names=["row", "doc_id", "th", "n_shingles", "d1", "d2", "odd", "wide", "prefix"],
             )
             row += len(sets)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("th"), "text")
-    return rows.mapInArrow(run, "row long, doc_id long, th long, n_shingles long, d1 long, d2 long, odd array<long>, prefix array<long>")
+    return rows.mapInArrow(run, "row long, doc_id long, th long, n_shingles long, d1 long, d2 long, odd array<long>, wide array<long>, prefix array<long>")
 
 
 def set_classes(rows: DataFrame) -> DataFrame:
@@ -212,6 +218,15 @@ def may_reach(x: Column, y: Column, sizes: Column, threshold: int) -> Column:
     return (100 + threshold) * bits <= (100 - threshold) * sizes
 
 
+def may_reach_wide(x: Column, y: Column, sizes: Column, threshold: int) -> Column:
+    """The same by wide parities, where both have them; the longer ones are folded to the places of the others."""
+    words, most = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
+    folded = lambda p: F.when(F.size(p) > words, F.zip_with(F.slice(p, F.lit(1), words), F.slice(p, words + 1, words), lambda a, b: a.bitwiseXOR(b))).otherwise(p)
+    bits = F.aggregate(F.zip_with(folded(x), folded(y), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
+    known = x.isNotNull() & y.isNotNull() & (most <= 2 * words)
+    return F.when(known, (100 + threshold) * bits <= (100 - threshold) * sizes).otherwise(F.lit(True))
+
+
 def not_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows in the order of their first column, those with an equal neighbour, and the first and the last, whose neighbours may be elsewhere."""
     held, equal = None, True
@@ -289,8 +304,15 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, *, width: in
     return texts.select("b", "salt", "node", "text").mapInArrow(run, "a long, b long").distinct()
 
 
+def worth_reading(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that wide parities leave."""
+    of = lambda s: classes.filter("wide IS NOT NULL").select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("wide").alias(f"wide_{s}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.filter(may_reach_wide(F.col("wide_a"), F.col("wide_b"), F.col("n_a") + F.col("n_b"), threshold)).select("a", "b")
+
+
 def linked(docs: DataFrame, members: DataFrame, classes: DataFrame, *, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame | None:
-    """v, c: the smallest node that every linked node reaches. members, a written table: as buckets gives them; classes: of their nodes at least."""
+    """v, c: the smallest node that every linked node reaches. members, a written table: as buckets gives them; classes: of their nodes at least, with wide."""
     labels = links = tried = None
     of = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("odd").alias(f"odd_{s}"))
     for centres in (*CENTRES, None):
@@ -305,6 +327,7 @@ def linked(docs: DataFrame, members: DataFrame, classes: DataFrame, *, width: in
                 owned = owned.join(classes.select("node", "odd"), "node")
                 near = near & may_reach(F.col("x.odd"), F.col("y.odd"), F.col("x.n") + F.col("y.n"), threshold)
             owned = materialize(owned, "prefix_open")
+            members = owned.select(*members.columns)  # a bucket of one component stays one
         if owned.isEmpty():
             break
         x, y, apart = owned.alias("x"), owned.alias("y"), F.col("x.c") < F.col("y.c")
@@ -319,7 +342,7 @@ def linked(docs: DataFrame, members: DataFrame, classes: DataFrame, *, width: in
         else:
             met = met.withColumn("may", F.lit(True))
         met = materialize(met, "prefix_pairs")
-        pairs = met.filter("may").select("a", "b")
+        pairs = materialize(worth_reading(met.filter("may").select("a", "b"), classes, threshold), "prefix_alike")
         found = materialize(verified(docs, pairs, classes, width=width, threshold=threshold), "prefix_links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
@@ -336,7 +359,8 @@ def join_components(docs: DataFrame, *, width: int = WIDTH, threshold: int = THR
     rows = materialize(prefixed(docs, order, width=width, threshold=threshold), "prefixed")
     classes = materialize(set_classes(rows), "set_classes")
     members = materialize(buckets(rows, classes, threshold), "prefix_members")
-    met = materialize(classes.join(members.select("node").distinct(), "node", "left_semi"), "met_classes")
+    wide = rows.filter("wide IS NOT NULL").select(F.col("row").alias("node"), "wide")
+    met = materialize(classes.join(members.select("node").distinct(), "node", "left_semi").join(wide, "node", "left"), "met_classes")
     labels = linked(docs, members, met, width=width, threshold=threshold)
 
     component = classes.select("node", "d1", "d2", F.col("doc_id").alias("component_id"))
