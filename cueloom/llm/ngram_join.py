@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.graph import connected_components
 from .common import materialize
-from .neardup import ODD, PARITY, SALT, parities, words_of
+from .neardup import FOLD, ODD, PARITY, SALT, parities
 
 WIDTH = 4
 THRESHOLD = 85  # per cent
@@ -54,11 +54,15 @@ COMMON = 1 << 17
 CENTRES = (1, 8)
 #: Slots by which texts that aren't wanted are left out before those that are get fetched.
 SLOTS = 1 << 19
-WORD_MEMORY = 150_000
+#: Bytes of a word that are hashed together with other words'.
+LONG = 64
 #: Characters and texts that a worker holds at once (one text may hold more).
 BATCH_CHARS, BATCH_TEXTS = 1 << 22, 2048
 
 _P = np.uint64(0x9E3779B97F4A7C15)
+#: Masks of the first bytes of eight; which bytes are white space.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+WHITE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -68,30 +72,60 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sets of n-gram hashes; remembers the hashes of words it has met."""
+    """Sets of n-gram hashes, made for many texts at once."""
 
     def __init__(self, width: int = WIDTH):
         self.width = width
-        self.words: dict[bytes, int] = {}
+
+    def sets(self, texts: list[str]) -> list[np.ndarray]:
+        """Sorted distinct hashes of each text's shingles."""
+        coded = [t.encode("utf-8", "surrogatepass") for t in texts]
+        data = b" " + b" ".join(coded).translate(FOLD) + b" "
+        white = WHITE[np.frombuffer(data, np.uint8)]
+        edges = np.flatnonzero(white[1:] != white[:-1]) + 1
+        start, end = edges[::2], edges[1::2]
+        h = word_hashes(data, start, end - start)
+        ends = np.searchsorted(start, np.cumsum([len(t) + 1 for t in coded]))  # words up to each text's end
+        whole = self._hashed(h, self.width) if len(h) >= self.width else h
+        return [self._distinct(h, whole, a, b) for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
     def shingles(self, text: str) -> np.ndarray:
-        """Sorted distinct hashes of the text's shingles."""
-        import xxhash
+        return self.sets([text])[0]
 
-        words = words_of(text)
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(self.words) > WORD_MEMORY:
-            self.words.clear()
-        for w in set(words):
-            if w not in self.words:
-                self.words[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
-        size = min(self.width, len(words))
-        x = np.full(len(words) - size + 1, size, np.uint64)
+    @staticmethod
+    def _hashed(h: np.ndarray, size: int) -> np.ndarray:
+        x = np.full(len(h) - size + 1, size, np.uint64)
         for k in range(size):
-            x = x * _P + h[k : len(words) - size + 1 + k]
-        return np.unique(mix(x))
+            x = x * _P + h[k : len(h) - size + 1 + k]
+        return mix(x)
+
+    def _distinct(self, h: np.ndarray, whole: np.ndarray, a: int, b: int) -> np.ndarray:
+        """The set of the words from a to b; whole: shingles from each word on."""
+        if b - a < self.width:
+            return self._hashed(h[a:b], b - a) if b > a else np.zeros(0, np.uint64)
+        x = np.sort(whole[a : b - self.width + 1])
+        new = x[1:] != x[:-1]
+        return x if new.all() else x[np.append(True, new)]
+
+
+def word_hashes(data: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each word, eight bytes at a time for all words; the few longer than LONG bytes by a call each."""
+    import xxhash
+
+    held = data + bytes(8)
+    eight = np.ndarray(len(data), "<u8", held, strides=(1,))  # the eight bytes from each place on
+    left = np.minimum(size, 8)
+    h = mix((eight[start] & _BYTES[left]) ^ (size.astype(np.uint64) * _P))
+    more = np.flatnonzero((size > 8) & (size <= LONG))
+    for at in range(8, LONG, 8):
+        if not len(more):
+            break
+        left = np.minimum(size[more] - at, 8)
+        h[more] = mix((h[more] + _P) ^ (eight[start[more] + at] & _BYTES[left]))
+        more = more[size[more] > at + 8]
+    for k in np.flatnonzero(size > LONG).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[start[k] : start[k] + size[k]])
+    return h
 
 
 def prefix_size(n: int, threshold: int) -> int:
@@ -110,14 +144,18 @@ class FirstOrder:
     def __init__(self, common: np.ndarray, rank: np.ndarray):
         self.common, self.rank = common, rank
 
+    def ranks(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.common):
+            return np.zeros(len(shingles), np.int64)
+        at = np.minimum(np.searchsorted(self.common, shingles), len(self.common) - 1)
+        return np.where(self.common[at] == shingles, self.rank[at], 0)
+
     def prefix(self, shingles: np.ndarray, size: int) -> np.ndarray:
-        rank = np.zeros(len(shingles), np.int64)
-        if len(self.common):
-            at = np.minimum(np.searchsorted(self.common, shingles), len(self.common) - 1)
-            rank = np.where(self.common[at] == shingles, self.rank[at], 0)
-        rare = np.flatnonzero(rank == 0)
-        if len(rare) >= size:  # sorted by hash already
-            return shingles[rare[:size]]
+        for part in (shingles[: 2 * size], shingles):  # most sets have rare ones enough near their beginning
+            rank = self.ranks(part)
+            rare = np.flatnonzero(rank == 0)
+            if len(rare) >= size:  # sorted by hash already
+                return part[rare[:size]]
         held = np.flatnonzero(rank)
         return shingles[np.append(rare, held[np.argsort(rank[held], kind="stable")])[:size]]
 
@@ -151,7 +189,7 @@ def common_shingles(docs: DataFrame, *, width: int = WIDTH, most: int = COMMON)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(width)
         for _, texts in _texts(batches, 0):
-            sets = {x.tobytes(): x for x in map(make.shingles, texts)}
+            sets = {x.tobytes(): x for x in make.sets(texts)}
             shingle, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(shingle[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], names=["shingle", "times"])
 
@@ -185,7 +223,7 @@ def prefixed(docs: DataFrame, order: FirstOrder, *, width: int = WIDTH, threshol
 
         make, first, row = Shingler(width), sent.value, TaskContext.get().partitionId() << 33
         for part, texts in _texts(batches, 2):
-            sets = list(map(make.shingles, texts))
+            sets = make.sets(texts)
             digest = np.array([np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), ">i8") for x in sets], np.int64)
             prefixes = [first.prefix(x, prefix_size(len(x), threshold)) for x in sets]
             yield pa.RecordBatch.from_arrays(
@@ -292,11 +330,11 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, *, width: in
         make, held, centre = Shingler(width), None, None
         for part, texts in _texts(batches, 3):
             found: tuple[list, list] = ([], [])
-            for b, salt, node, text in zip(*(part.column(k).to_pylist() for k in range(3)), texts):
+            for b, salt, node, x in zip(*(part.column(k).to_pylist() for k in range(3)), make.sets(texts)):
                 if node == b:
                     if held != (b, salt):
-                        held, centre = (b, salt), make.shingles(text)
-                elif held == (b, salt) and alike(make.shingles(text), centre, threshold):
+                        held, centre = (b, salt), x
+                elif held == (b, salt) and alike(x, centre, threshold):
                     found[0].append(node), found[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
