@@ -1,5 +1,7 @@
 """Shingle sets of many texts are made at once, without a call or a look-up per word."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -12,7 +14,8 @@ def _sets(texts):
     """Tuples of words, by the contract's words and windows."""
     out = []
     for t in texts:
-        words = [w.lower() if w.isascii() else w for w in t.encode().translate(nj.FOLD).decode().replace("\v", " ").replace("\f", " ").replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ") if w]
+        words = re.split(rb"[\x20\x09-\x0D]+", t.encode().translate(nj.FOLD).strip(b" \t\n\v\f\r"))
+        words = [w for w in words if w]
         n = min(nj.WIDTH, len(words))
         out.append({tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if words else set())
     return out
