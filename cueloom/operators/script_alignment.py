@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+from collections.abc import Iterable, Iterator
 from itertools import product
 from math import prod
 
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.blocks import HELD_CHARS, Matches, codes_of
 from ..functions.text import ratio, text_score
 from ..functions.timecode import band, relation
 from . import scans
@@ -24,30 +26,50 @@ REGION_CELLS, TOTAL_CELLS = 30_000, 120_000
 PAIR_WORK, REGION_WORK, TOTAL_WORK = 1_000_000, 50_000_000, 200_000_000
 
 
-def dice(a: str, b: str) -> float:
-    if len(a) < 2 or len(b) < 2:
-        return float(a == b)
-    ga: dict[str, int] = {}
-    for k in range(len(a) - 1):
-        ga[a[k : k + 2]] = ga.get(a[k : k + 2], 0) + 1
-    common = 0
-    for k in range(len(b) - 1):
-        g = b[k : k + 2]
-        if ga.get(g, 0):
-            ga[g] -= 1
-            common += 1
-    return 2 * common / (len(a) + len(b) - 2)
+class Scorer:
+    """Composite similarity of normalised texts, for many pairs of a region: bigrams are counted once a text, pieces matched once."""
+
+    def __init__(self):
+        self.matches, self.grams, self.chars = Matches(), {}, 0
+
+    def bigrams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        if text not in self.grams:
+            if self.chars > HELD_CHARS:
+                self.grams, self.chars = {}, 0
+            codes = codes_of(text).astype(np.int64)
+            self.grams[text] = np.unique(codes[:-1] << 32 | codes[1:], return_counts=True)
+            self.chars += len(text)
+        return self.grams[text]
+
+    def dice(self, a: str, b: str) -> float:
+        if len(a) < 2 or len(b) < 2:
+            return float(a == b)
+        (ga, na), (gb, nb) = self.bigrams(a), self.bigrams(b)
+        at = np.minimum(np.searchsorted(gb, ga), len(gb) - 1)
+        common = int(np.minimum(na, nb[at])[gb[at] == ga].sum())
+        return 2 * common / (len(a) + len(b) - 2)
+
+    def score(self, a: str, b: str, least: float = 0.0) -> float:
+        """Where it is below least, what is returned may be any number below it."""
+        if not a or not b:
+            return 0.0
+        if a == b:
+            return 1.0
+        short, long = sorted((len(a), len(b)))
+        if short <= 2:
+            return 0.0
+        most = 0.55 * (2.0 * short / (short + long)) + 0.15 * short / long
+        if most + 0.30 * min(1.0, 2 * (short - 1) / (short + long - 2)) + 1e-9 < least:
+            return 0.0
+        dice = self.dice(a, b)
+        if most + 0.30 * dice + 1e-9 < least:
+            return 0.0
+        return 0.55 * (2.0 * self.matches.count(a, b) / len(a + b)) + 0.30 * dice + 0.15 * short / long
 
 
 def score(a: str, b: str) -> float:
     """Composite similarity of normalised texts."""
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    if min(len(a), len(b)) <= 2:
-        return 0.0
-    return 0.55 * SequenceMatcher(None, a, b, autojunk=False).ratio() + 0.30 * dice(a, b) + 0.15 * min(len(a), len(b)) / max(len(a), len(b))
+    return Scorer().score(a, b)
 
 
 def with_regions(units: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -102,20 +124,26 @@ class Item:
         self.longest = max((len(t) for o in self.options.values() for _, t in o), default=0)
 
 
-def variants(items: list[Item]) -> list[tuple[tuple[str, ...], str]] | None:
-    """All (evidence ids, text) of items in a row by G5's rule; None where a provenance has too many."""
-    out: list[tuple[tuple[str, ...], str]] = []
+def every_variant(items: list[Item]) -> Iterator[tuple[tuple[str, ...], str]]:
+    """All (evidence ids, text) of items in a row by G5's rule, one after another."""
     for provenance in set.intersection(*(set(i.options) for i in items)):
-        sets = [i.options[provenance] for i in items]
-        if prod(map(len, sets)) > MAX_VARIANTS:
-            return None
-        out += [(tuple(e for e, _ in pick), "".join(t for _, t in pick)) for pick in product(*sets)]
-    return out
+        for pick in product(*[i.options[provenance] for i in items]):
+            yield tuple(e for e, _ in pick), "".join(t for _, t in pick)
 
 
-def best_variant(want: str, texts: list[tuple[tuple[str, ...], str]] | None) -> tuple[float, tuple[str, ...]]:
-    """Score and evidence ids of the best of variants."""
-    best = min(((-score(want, t), abs(len(want) - len(t)), ids, t) for ids, t in texts or []), default=None)
+def variants(items: list[Item]) -> list[tuple[tuple[str, ...], str]] | None:
+    """The same as a list; None where a provenance has too many for one."""
+    if any(prod(len(i.options[p]) for i in items) > MAX_VARIANTS for p in set.intersection(*(set(i.options) for i in items))):
+        return None
+    return list(every_variant(items))
+
+
+def best_variant(want: str, texts: Iterable[tuple[tuple[str, ...], str]], scorer: Scorer | None = None, least: float = 0.0) -> tuple[float, tuple[str, ...]]:
+    """Score and evidence ids of the best of variants; no more than a lower score is said of those below least."""
+    scorer, best = scorer or Scorer(), None
+    for ids, t in texts:
+        this = (-scorer.score(want, t, max(least, -best[0] if best else 0.0)), abs(len(want) - len(t)), ids, t)
+        best = this if best is None else min(best, this)
     return (-best[0], best[2]) if best else (0.0, ())
 
 
@@ -149,8 +177,8 @@ def align_region(us: list[str], ts: list) -> tuple[list[tuple], float | None]:
     """
     items = [t if isinstance(t, Item) else Item(t) for t in ts]
     n, m = len(us), len(items)
+    scorer = Scorer()
     texts: dict[tuple[int, int], list | None] = {}
-    memory: dict[tuple[int, int, int, int], tuple[float, tuple[str, ...]]] = {}
     cells: dict[tuple[int, int], list[tuple]] = {(0, 0): [((0.0, 0, 0), ())]}
 
     def put(at: tuple[int, int], key: tuple, path: tuple) -> None:
@@ -160,28 +188,29 @@ def align_region(us: list[str], ts: list) -> tuple[list[tuple], float | None]:
             held.sort(key=lambda x: (-x[0][0], -x[0][1], x[0][2], x[1]))
             del held[2:]
 
-    def match(i: int, j: int, a: int, b: int, left: str) -> tuple[float, tuple[str, ...]]:
-        if (i, j, a, b) not in memory:
-            if (j, b) not in texts:
-                texts[j, b] = variants(items[j : j + b])
-            memory[i, j, a, b] = best_variant(left, texts[j, b])
-        return memory[i, j, a, b]
+    def match(left: str, j: int, b: int) -> tuple[float, tuple[str, ...]]:
+        if (j, b) not in texts:
+            texts[j, b] = variants(items[j : j + b])
+        ways = texts[j, b]
+        return best_variant(left, every_variant(items[j : j + b]) if ways is None else ways, scorer, MIN_SCORE)
 
     for i in range(n + 1):
         for j in range(m + 1):
-            for (total, chars, skips), path in list(cells.get((i, j), [])):
+            matches = []
+            for a in range(1, min(MAX_UNITS, n - i) + 1):
+                left = "".join(us[i : i + a])
+                for b in range(1, min(MAX_ITEMS, m - j) + 1):
+                    s, ids = match(left, j, b)
+                    if s >= MIN_SCORE:
+                        gain = GAIN * (s - MIN_SCORE) - a * SKIP_UNIT - b * SKIP_ITEM - GROUP_PENALTY * (a - 1) + (EXACT_BONUS if s >= 1 - 1e-12 and len(left) >= 4 else 0)
+                        matches.append((a, b, gain, len(left), (i, a, j, b, s, ids)))
+            for (total, chars, skips), path in cells[i, j] if (i, j) == (n, m) else cells.pop((i, j)):
                 if i < n:
                     put((i + 1, j), (round(total - SKIP_UNIT, 12), chars, skips + 1), path)
                 if j < m:
                     put((i, j + 1), (round(total - SKIP_ITEM, 12), chars, skips + 1), path)
-                for a in range(1, min(MAX_UNITS, n - i) + 1):
-                    left = "".join(us[i : i + a])
-                    for b in range(1, min(MAX_ITEMS, m - j) + 1):
-                        s, ids = match(i, j, a, b, left)
-                        if s < MIN_SCORE:
-                            continue
-                        gain = GAIN * (s - MIN_SCORE) - a * SKIP_UNIT - b * SKIP_ITEM - GROUP_PENALTY * (a - 1) + (EXACT_BONUS if s >= 1 - 1e-12 and len(left) >= 4 else 0)
-                        put((i + a, j + b), (round(total + gain, 12), chars + len(left), skips), (*path, (i, a, j, b, s, ids)))
+                for a, b, gain, length, step in matches:
+                    put((i + a, j + b), (round(total + gain, 12), chars + length, skips), (*path, step))
     ends = cells[n, m]
     return list(ends[0][1]), (ends[0][0][0] - ends[1][0][0] if len(ends) > 1 else None)
 
@@ -245,18 +274,18 @@ def budget_regions(units: DataFrame, items: DataFrame, *, cells: int = REGION_CE
     return walk_groups(costs, ["audio_id"], ["region"], ["region", "cells", "work"], spend, "audio_id long, region long, reason string")
 
 
-def align_scripts(units: DataFrame, items: DataFrame, cells: int = REGION_CELLS, **budgets: int) -> DataFrame:
+def align_scripts(units: DataFrame, items: DataFrame, **budgets: int) -> DataFrame:
     """Matches of script units to timeline items with band, relation and review flag.
 
-    Regions between anchors align on their own, one kernel call each, within the budgets of region
-    and recording; one over them is left unmatched and says so. units, items: audio_id, pos, norm;
-    items may have options (an array of provenance, evidence_id, norm), of which matches take the
-    best variant (G5).
+    Regions between anchors align on their own, one kernel call each, whatever their size. Only a
+    caller that names budgets (of budget_regions) has regions over them left unmatched, which then say
+    so. units, items: audio_id, pos, norm; items may have options (an array of provenance,
+    evidence_id, norm), of which matches take the best variant (G5).
     """
     u, t = with_regions(units, items)
     t = t.select(*[F.col(c).alias(c) for c in t.columns])  # both sides may come from one table
-    plan = checkpoint(budget_regions(u, t, cells=cells, **budgets))
-    u = u.join(plan, ["audio_id", "region"], "left")
+    if budgets:
+        u = u.join(checkpoint(budget_regions(u, t, **budgets)), ["audio_id", "region"], "left")
 
     def run(key: tuple, left: list[tuple], right: list[tuple]) -> list[tuple]:
         lu, lt = ([r[0] for r in side if r[1] == 0] for side in (left, right))
