@@ -1,13 +1,16 @@
 """Script alignment leaves no region, pair or variant out for its size, and its fast scores are difflib's."""
 
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from cueloom.functions import blocks
 from cueloom.operators import script_alignment as sa
 from cueloom.plans import catalog
+from cueloom.plans.fixtures import table
 
 SIDE = "audio_id long, pos long, norm string"
 
@@ -47,6 +50,22 @@ def test_no_region_of_the_query_is_left_out(spark, sf):
     assert rows and not [r for r in rows if r["reason"] is not None or r["n_units"] == 0]
 
 
+def test_the_summary_counts_what_budgets_would_leave_out(spark, sf):
+    """Recordings whose items run backwards have no anchors: each is one region, here those over the budget of work."""
+    turns: dict[int, list[str]] = {}
+    for r in table(spark, sf, "conversations").filter("conv_id % 4 = 0").orderBy("conv_id", "turn").collect():
+        turns.setdefault(r["conv_id"], []).append(r["text"].lower())
+    want, relation = Counter(), lambda a, b: f"{'one' if a == 1 else 'many'}_to_{'one' if b == 1 else 'many'}"
+    for audio, us in turns.items():
+        ts = [t for k, t in enumerate(us) if k % 3 != 2][::-1]
+        if len(ts) > 1 and len(set(us)) == len(us) and sa.region_work(us, [sa.Item(t) for t in ts]) > sa.REGION_WORK:
+            want.update((audio, relation(a, b)) for _, a, _, b, _, _ in sa.align_region(us, ts)[0])
+    got = Counter()
+    for r in catalog.QUERIES["l9_alignment_summary"](spark, sf).filter(F.col("audio_id").isin([a for a, _ in want])).collect():
+        got[r["audio_id"], r["relation"]] += r["n"]
+    assert want and got == want
+
+
 def test_matches_are_those_of_difflib():
     rng = random.Random(7)
     for _ in range(400):
